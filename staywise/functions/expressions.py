@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,11 +69,11 @@ def to_number(name: str, kind: T.DataType) -> Column:
     )
 
 
-def flag_number(name: str) -> Column:
-    """0/1 from the closed alias table, NULL when missing or unknown."""
+def flag_number(name: str, aliases: Mapping[str, int] = FLAG_ALIASES) -> Column:
+    """0/1 from a closed alias table, NULL when missing or unknown."""
     token = F.lower(F.trim(F.col(name).cast("string")))
-    zeros = [spelling for spelling, value in FLAG_ALIASES.items() if value == 0]
-    ones = [spelling for spelling, value in FLAG_ALIASES.items() if value == 1]
+    zeros = [spelling for spelling, value in aliases.items() if value == 0]
+    ones = [spelling for spelling, value in aliases.items() if value == 1]
     return F.when(token.isin(zeros), 0).when(token.isin(ones), 1)
 
 

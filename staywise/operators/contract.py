@@ -52,7 +52,7 @@ def clean_columns(schema: T.StructType, spec: ContractSpec) -> dict[str, Column]
     for name in spec.required:
         kind = schema[name].dataType
         if name in spec.flags:
-            cleaned[name] = flag_number(name)
+            cleaned[name] = flag_number(name, spec.aliases)
         elif name in spec.numerics:
             number = to_number(name, kind)
             stored = spec.imputed.get(name)
@@ -67,7 +67,7 @@ def violation_array(schema: T.StructType, spec: ContractSpec) -> Column:
     for name in spec.flags:
         missing = is_missing(name, schema[name].dataType)
         findings.append(_finding(missing, name, MISSING))
-        findings.append(_finding(~missing & flag_number(name).isNull(), name, UNKNOWN))
+        findings.append(_finding(~missing & flag_number(name, spec.aliases).isNull(), name, UNKNOWN))
     for name in spec.numerics:
         number = to_number(name, schema[name].dataType)
         if name not in spec.imputed:
@@ -166,7 +166,7 @@ def describe_contract(spec: ContractSpec, df: DataFrame) -> DataFrame:
         kind = df.schema[name].dataType
         if name in spec.flags:
             role, policy, levels = "flag", "reject", "0, 1"
-            fits = flag_number(name).isNotNull()
+            fits = flag_number(name, spec.aliases).isNotNull()
         elif name in spec.numerics:
             role = "numeric"
             policy = "impute" if name in spec.imputed else "reject"

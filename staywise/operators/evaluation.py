@@ -96,7 +96,7 @@ def roc_curve(
     """(threshold, fpr, tpr) with the (0, 0) start point, whose threshold is NULL.
 
     ``drop_collinear`` removes inner points that continue a straight line: a step
-    equal to the following step.  Neighbours meet through a join on the rank, so
+    equal to the following step; the first and last score always stay.  Neighbours meet through a join on the rank, so
     the curve is never sorted in one task.
     """
     steps = score_steps(scored, score, label, rows_per_slice=rows_per_slice)
@@ -107,7 +107,8 @@ def roc_curve(
             (F.col("rank") - 1).alias("rank"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg")
         )
         bends = (
-            F.col("next_pos").isNull()
+            (F.col("rank") == 1)
+            | F.col("next_pos").isNull()
             | (F.col("next_pos") != F.col("pos"))
             | (F.col("next_neg") != F.col("neg"))
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,11 +44,18 @@ def feature_list(numerics: Sequence[str], levels: Mapping[str, Sequence[str]], d
     return found
 
 
-def feature_column(feature: Feature, means: Mapping[str, float], deviations: Mapping[str, float]) -> Column:
+def feature_column(
+    feature: Feature,
+    means: Mapping[str, float],
+    deviations: Mapping[str, float],
+    get: Callable[[str], Column] = F.col,
+) -> Column:
+    """The feature's value; ``get`` says where a raw column comes from."""
+    raw = get(feature.raw)
     if feature.level is None:
         spread = deviations[feature.raw] or 1.0
-        return (F.col(feature.raw).cast("double") - float(means[feature.raw])) / float(spread)
-    return F.when(F.col(feature.raw) == feature.level, 1.0).otherwise(0.0)
+        return (raw.cast("double") - float(means[feature.raw])) / float(spread)
+    return F.when(raw == feature.level, 1.0).otherwise(0.0)
 
 
 def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
@@ -58,23 +58,26 @@ class Scorecard:
     def features(self) -> list[Feature]:
         return feature_list(self.numerics, self.levels, self.drop_first)
 
-    def column(self, feature: Feature) -> Column:
-        return feature_column(feature, self.means, self.deviations)
+    def column(self, feature: Feature, get: Callable[[str], Column] = F.col) -> Column:
+        return feature_column(feature, self.means, self.deviations, get)
 
-    def margin(self) -> Column:
+    def margin(self, get: Callable[[str], Column] = F.col) -> Column:
         """Log-odds: scaled numerics plus one CASE per category."""
         total = F.lit(float(self.intercept))
         for feature in self.features:
             if feature.level is None:
-                total = total + float(self.weights[feature.name]) * self.column(feature)
+                total = total + float(self.weights[feature.name]) * self.column(feature, get)
         for name in self.levels:
             points = F.lit(0.0)
             for feature in self.features:
                 if feature.raw == name and feature.level is not None:
-                    points = F.when(F.col(name) == feature.level, float(self.weights[feature.name])).otherwise(points)
+                    points = F.when(get(name) == feature.level, float(self.weights[feature.name])).otherwise(points)
             total = total + points
         return total
 
+    def probability(self, get: Callable[[str], Column] = F.col) -> Column:
+        return logistic(self.margin(get))
+
 
 def probability_percent(probability: Column) -> Column:
     return F.round(100.0 * probability, 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ MART_CONTRACT = ContractSpec(
     imputed={"TotalCharges": LIFETIME_MEDIAN},
 )
 
+# The narrower flag spellings of the earlier, separate contract.
+NARROW_ALIASES = {"yes": 1, "1": 1, "true": 1, "no": 0, "0": 0}
+
+NARROW_CONTRACT = replace(MART_CONTRACT, aliases=NARROW_ALIASES)
+
 MART_RULES = RuleBook(
     flexible_contract="Month-to-month",
     risky_service="MACHINERY",

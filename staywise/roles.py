@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from staywise.functions.expressions import FLAG_ALIASES
+
 
 @dataclass(frozen=True)
 class ColumnRoles:
@@ -35,7 +37,7 @@ class ColumnRoles:
 class ContractSpec:
     """What a record must look like before it may be scored.
 
-    ``flags`` are 0/1 columns read through a closed alias table, ``numerics``
+    ``flags`` are 0/1 columns read through the closed ``aliases`` table, ``numerics``
     are measured numbers, ``domains`` the accepted levels per category and
     ``imputed`` the stored training statistic of the numerics that may be
     missing.  Every other missing value is a violation.
@@ -46,6 +48,7 @@ class ContractSpec:
     numerics: tuple[str, ...]
     domains: dict[str, tuple[str, ...]]
     imputed: dict[str, float] = field(default_factory=dict)
+    aliases: dict[str, int] = field(default_factory=lambda: dict(FLAG_ALIASES))
 
 
 @dataclass(frozen=True)
