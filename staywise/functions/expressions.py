@@ -8,14 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from staywise.functions.sql import one_of, quoted, text
+
 # Accepted spellings of a 0/1 flag, after lower-casing and trimming.
 FLAG_ALIASES = {
     "0": 0, "0.0": 0, "no": 0, "false": 0, "n": 0, "f": 0,
     "1": 1, "1.0": 1, "yes": 1, "true": 1, "y": 1, "t": 1,
 }
 
-PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INFINITY_TOKEN = r"^[+-]?(?i:inf|infinity)$"
+PLAIN_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+INFINITY_TOKEN = "^[+-]?(?i:inf|infinity)$"
 
 SLOTS = 10007
 SLOT_STEP = 7919
@@ -46,35 +48,46 @@ def logistic(z: Column) -> Column:
     return F.when(z >= 0, 1.0 / (1.0 + shrunk)).otherwise(shrunk / (1.0 + shrunk))
 
 
-def is_missing(name: str, kind: T.DataType) -> Column:
+def missing_sql(name: str, kind: T.DataType) -> str:
     """NULL, NaN and blank text are all the same missing value."""
-    column = F.col(name)
+    column = quoted(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return column.isNull() | F.isnan(column)
+        return f"({column} IS NULL OR isnan({column}))"
     if isinstance(kind, T.StringType):
-        return column.isNull() | (F.trim(column) == "")
-    return column.isNull()
+        return f"({column} IS NULL OR trim({column}) = '')"
+    return f"({column} IS NULL)"
 
 
-def to_number(name: str, kind: T.DataType) -> Column:
+def number_sql(name: str, kind: T.DataType) -> str:
     """Text to double; anything but a plain decimal or an infinity token is missing."""
-    column = F.col(name)
     if not isinstance(kind, T.StringType):
-        number = column.cast("double")
-        return F.when(~F.isnan(number), number)
-    text = F.trim(column)
-    infinite = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double")).when(
-        text.rlike(INFINITY_TOKEN), infinite
+        return f"nullif(CAST({quoted(name)} AS DOUBLE), double('NaN'))"
+    token = f"trim({quoted(name)})"
+    return (
+        f"CASE WHEN {token} RLIKE {text(PLAIN_NUMBER)} THEN try_cast({token} AS DOUBLE)"
+        f" WHEN {token} RLIKE {text(INFINITY_TOKEN)}"
+        f" THEN if({token} LIKE '-%', double('-Infinity'), double('Infinity')) END"
     )
 
 
-def flag_number(name: str, aliases: Mapping[str, int] = FLAG_ALIASES) -> Column:
+def flag_sql(name: str, aliases: Mapping[str, int] = FLAG_ALIASES) -> str:
     """0/1 from a closed alias table, NULL when missing or unknown."""
-    token = F.lower(F.trim(F.col(name).cast("string")))
+    token = f"lower(trim(CAST({quoted(name)} AS STRING)))"
     zeros = [spelling for spelling, value in aliases.items() if value == 0]
     ones = [spelling for spelling, value in aliases.items() if value == 1]
-    return F.when(token.isin(zeros), 0).when(token.isin(ones), 1)
+    return f"CASE WHEN {one_of(token, zeros)} THEN 0 WHEN {one_of(token, ones)} THEN 1 END"
+
+
+def is_missing(name: str, kind: T.DataType) -> Column:
+    return F.expr(missing_sql(name, kind))
+
+
+def to_number(name: str, kind: T.DataType) -> Column:
+    return F.expr(number_sql(name, kind))
+
+
+def flag_number(name: str, aliases: Mapping[str, int] = FLAG_ALIASES) -> Column:
+    return F.expr(flag_sql(name, aliases))
 
 
 def slot(name: str, kind: T.DataType, seed: int) -> Column:

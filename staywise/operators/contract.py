@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.functions.expressions import flag_number, is_missing, to_number
+from staywise.functions.expressions import flag_number, flag_sql, is_missing, missing_sql, number_sql, to_number
+from staywise.functions.sql import array, one_of, quoted, struct, text
 from staywise.roles import ContractSpec
 
 MISSING = "missing"
 UNKNOWN = "unknown_value"
 INFINITE = "infinite"
 
-VIOLATION = "struct<feature:string,rule:string,value:string>"
 SHOWN_IN_ERROR = 20
 
 
@@ -39,45 +39,42 @@ def require_columns(columns: Sequence[str], spec: ContractSpec) -> None:
         raise ContractViolation(f"missing required columns: {', '.join(absent)}")
 
 
-def _finding(test: Column, feature: str, rule: str) -> Column:
-    row = F.struct(
-        F.lit(feature).alias("feature"), F.lit(rule).alias("rule"), F.col(feature).cast("string").alias("value")
-    )
-    return F.when(test, row)
+def _finding(test: str, feature: str, rule: str) -> str:
+    row = {"feature": text(feature), "rule": text(rule), "value": f"CAST({quoted(feature)} AS STRING)"}
+    return f"CASE WHEN {test} THEN {struct(row)} END"
 
 
 def clean_columns(schema: T.StructType, spec: ContractSpec) -> dict[str, Column]:
     """The value each required column takes once accepted."""
     cleaned: dict[str, Column] = {}
     for name in spec.required:
-        kind = schema[name].dataType
         if name in spec.flags:
             cleaned[name] = flag_number(name, spec.aliases)
         elif name in spec.numerics:
-            number = to_number(name, kind)
+            value = to_number(name, schema[name].dataType)
             stored = spec.imputed.get(name)
-            cleaned[name] = number if stored is None else F.coalesce(number, F.lit(float(stored)))
+            cleaned[name] = value if stored is None else F.coalesce(value, F.lit(float(stored)))
         else:
             cleaned[name] = F.col(name)
     return cleaned
 
 
 def violation_array(schema: T.StructType, spec: ContractSpec) -> Column:
-    findings: list[Column] = []
+    """array<struct<feature, rule, value>> of every rule the record breaks."""
+    found: list[str] = []
     for name in spec.flags:
-        missing = is_missing(name, schema[name].dataType)
-        findings.append(_finding(missing, name, MISSING))
-        findings.append(_finding(~missing & flag_number(name, spec.aliases).isNull(), name, UNKNOWN))
+        missing = missing_sql(name, schema[name].dataType)
+        found.append(_finding(missing, name, MISSING))
+        found.append(_finding(f"NOT {missing} AND ({flag_sql(name, spec.aliases)}) IS NULL", name, UNKNOWN))
     for name in spec.numerics:
-        number = to_number(name, schema[name].dataType)
+        value = number_sql(name, schema[name].dataType)
         if name not in spec.imputed:
-            findings.append(_finding(number.isNull(), name, MISSING))
-        findings.append(_finding(F.abs(number) == float("inf"), name, INFINITE))
+            found.append(_finding(f"({value}) IS NULL", name, MISSING))
+        found.append(_finding(f"abs({value}) = double('Infinity')", name, INFINITE))
     for name, levels in spec.domains.items():
-        missing = F.col(name).isNull()
-        findings.append(_finding(missing, name, MISSING))
-        findings.append(_finding(~missing & ~F.col(name).isin(list(levels)), name, UNKNOWN))
-    return F.array_compact(F.array(*findings))
+        found.append(_finding(f"{quoted(name)} IS NULL", name, MISSING))
+        found.append(_finding(f"NOT {one_of(quoted(name), levels)}", name, UNKNOWN))
+    return F.expr(f"array_compact({array(found)})")
 
 
 def checked(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = ()) -> DataFrame:

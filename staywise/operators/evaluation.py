@@ -382,3 +382,28 @@ def leaderboard(metrics: DataFrame, name: str = "model", digits: int = 4) -> Dat
 def champion(table: DataFrame, metric: str, name: str = "model") -> DataFrame:
     """The model with the highest metric; the name decides a tie."""
     return table.orderBy(F.col(metric).desc(), name).limit(1)
+
+
+def full_report(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """Split, sweep, ranking, candidate and calibration results as (section, item, metric, value)."""
+
+    def long(table: DataFrame, section: str, item: str | None) -> DataFrame:
+        metrics = [c for c in table.columns if c != item]
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        place = F.lit(None).cast("double") if item is None else F.col(item).cast("double")
+        return table.select(F.lit(section).alias("section"), place.alias("item"), F.inline(cells))
+
+    sweep = threshold_sweep(scored, score, label)
+    parts = [
+        long(split_summary(scored, label), "split", None),
+        long(sweep, "sweep", "threshold"),
+        long(ranking_summary(scored, score, label), "ranking", None),
+        long(f1_candidate(sweep), "f1_maximizing", None),
+        long(recall_candidates(sweep), "recall_at_precision", "min_precision"),
+        long(calibration_table(scored, score, label), "calibration", "bin"),
+        long(calibration_summary(scored, score, label), "calibration_summary", None),
+    ]
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    return report

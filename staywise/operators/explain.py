@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import logistic
+from staywise.functions.sql import array, inside, number, quoted, struct, text
 from staywise.operators.features import Feature, encode
 from staywise.operators.ordering import fit_medians
 from staywise.operators.profile import ordered_sample
@@ -44,30 +45,34 @@ def fit_background(
 ) -> Background:
     """Means of the encoded features over a seeded sample, or over everything when ``rows`` is None."""
     sample = clean if rows is None else ordered_sample(clean, key, rows, seed)
-    row = sample.agg(*[F.avg(card.column(f)).alias(f"f{i}") for i, f in enumerate(card.features)]).first()
+    row = sample.select(*[F.expr(f"avg({card.value(f)})").alias(f"f{i}") for i, f in enumerate(card.features)]).first()
     means = {f.name: float(row[f"f{i}"] or 0.0) for i, f in enumerate(card.features)}
     base = card.intercept + sum(card.weights[name] * mean for name, mean in means.items())
     return Background(means=means, base=base)
 
 
-def contribution(card: Scorecard, background: Background, feature: Feature) -> Column:
-    weight = float(card.weights[feature.name])
-    return weight * (card.column(feature) - float(background.means[feature.name]))
+def contribution(
+    card: Scorecard, background: Background, feature: Feature, get: Callable[[str], str] = quoted
+) -> str:
+    """Weight times distance from the background mean, as expression text."""
+    return f"{number(card.weights[feature.name])} * ({card.value(feature, get)} - {number(background.means[feature.name])})"
 
 
 def contributions(card: Scorecard, background: Background) -> Column:
     """array<struct> with one entry per feature, in feature order."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("feature"),
-                F.lit(f.label).alias("label"),
-                F.lit(f.raw).alias("raw_feature"),
-                F.col(f.raw).cast("string").alias("value"),
-                contribution(card, background, f).alias("contribution"),
+    return F.expr(
+        array(
+            struct(
+                {
+                    "feature": text(f.name),
+                    "label": text(f.label),
+                    "raw_feature": text(f.raw),
+                    "value": f"CAST({quoted(f.raw)} AS STRING)",
+                    "contribution": contribution(card, background, f),
+                }
             )
             for f in card.features
-        ]
+        )
     )
 
 
@@ -105,7 +110,7 @@ def explain_nested(clean: DataFrame, card: Scorecard, background: Background, ke
     ordered = strongest_first(contributions(card, background))
     total = F.aggregate(F.col("ordered"), F.lit(0.0), lambda acc, x: acc + x["contribution"])
     names = lambda keep: F.transform(F.filter(F.col("ordered"), keep), lambda x: x["feature"])
-    return clean.select(key, card.margin().alias("log_odds"), ordered.alias("ordered")).select(
+    return clean.select(key, F.expr(card.margin()).alias("log_odds"), ordered.alias("ordered")).select(
         key,
         F.lit(background.base).alias("base_value"),
         "log_odds",
@@ -126,19 +131,19 @@ def additivity(clean: DataFrame, card: Scorecard, background: Background, key: s
 
 def global_importance(clean: DataFrame, card: Scorecard, background: Background) -> DataFrame:
     """Mean magnitude per feature in one pass; refuses values that are not finite."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("feature"),
-                F.lit(f.label).alias("label"),
-                F.avg(F.abs(contribution(card, background, f))).alias("mean_abs"),
-            )
-            for f in card.features
-        ]
+    cells = array(
+        struct(
+            {
+                "feature": text(f.name),
+                "label": text(f.label),
+                "mean_abs": f"avg(abs({contribution(card, background, f)}))",
+            }
+        )
+        for f in card.features
     )
     finite = F.assert_true(F.coalesce(F.col("mean_abs") < float("inf"), F.lit(False)), F.lit("attribution is not finite"))
     return (
-        clean.agg(cells.alias("cells"))
+        clean.agg(F.expr(cells).alias("cells"))
         .select(F.inline("cells"))
         .where(finite.isNull())
         .select("feature", "label", F.round("mean_abs", DIGITS).alias("mean_abs_contribution"))
@@ -156,17 +161,16 @@ def global_direction(clean: DataFrame, card: Scorecard, background: Background)
     medians = fit_medians(encoded, [f.name for f in numbers]) if numbers else {}
     cells = []
     for f in card.features:
-        x, phi = card.column(f), contribution(card, background, f)
-        binary = (F.min(x) == 0.0) & (F.max(x) == 1.0) & (F.count_if((x != 0.0) & (x != 1.0)) == 0)
-        above = F.avg(F.when(x > float(medians.get(f.name, 0.0)), phi))
-        present = F.avg(F.when(x == 1.0, phi))
+        x, phi = card.value(f), contribution(card, background, f)
+        above = f"avg(CASE WHEN {x} > {number(medians.get(f.name, 0.0))} THEN {phi} END)"
+        present = f"avg(CASE WHEN {x} = 1 THEN {phi} END)"
+        binary = f"min({x}) = 0 AND max({x}) = 1 AND count_if({x} NOT IN (0D, 1D)) = 0"
         # An indicator that never changes is not binary here and has no row above its median.
-        effect = F.when(binary, present).otherwise(
-            F.when(F.max(x) == F.min(x), F.lit(0.0)).otherwise(above) if f.level is not None else above
-        )
-        cells.append(F.struct(F.lit(f.name).alias("feature"), F.coalesce(effect, F.lit(0.0)).alias("effect")))
+        otherwise = above if f.level is None else f"if(max({x}) = min({x}), 0D, {above})"
+        effect = f"coalesce(if({binary}, {present}, {otherwise}), 0D)"
+        cells.append(struct({"feature": text(f.name), "effect": effect}))
     return (
-        clean.agg(F.array(*cells).alias("cells"))
+        clean.agg(F.expr(array(cells)).alias("cells"))
         .select(F.inline("cells"))
         .select(
             "feature",
@@ -192,23 +196,22 @@ def attribution_deltas(
     use the same background, so the difference comes from changed columns only.
     """
 
-    def side(name: str) -> Callable[[str], Column]:
-        return lambda raw: F.col(f"{name}.{raw}")
-
     items = []
     for f in card.features:
-        weight, mean = float(card.weights[f.name]), float(background.means[f.name])
-        old, new = weight * (card.column(f, side(before)) - mean), weight * (card.column(f, side(after)) - mean)
+        old = contribution(card, background, f, inside(before))
+        new = contribution(card, background, f, inside(after))
         items.append(
-            F.struct(
-                F.lit(f.name).alias("feature"),
-                F.lit(f.raw).alias("raw_feature"),
-                old.alias("baseline_contribution"),
-                new.alias("simulated_contribution"),
-                (new - old).alias("delta"),
+            struct(
+                {
+                    "feature": text(f.name),
+                    "raw_feature": text(f.raw),
+                    "baseline_contribution": old,
+                    "simulated_contribution": new,
+                    "delta": f"({new}) - ({old})",
+                }
             )
         )
-    ordered = F.slice(strongest_first(F.array(*items), "delta"), 1, top)
+    ordered = F.slice(strongest_first(F.expr(array(items)), "delta"), 1, top)
     return before_after.select(key, *carry, F.posexplode(ordered).alias("position", "item")).select(
         key,
         *carry,

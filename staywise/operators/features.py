@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import slot
+from staywise.functions.sql import array, literal, number, quoted, struct, text
 from staywise.operators.ordering import fit_medians
 from staywise.operators.portfolio import long_levels
 from staywise.session import stage
@@ -44,18 +45,21 @@ def feature_list(numerics: Sequence[str], levels: Mapping[str, Sequence[str]], d
     return found
 
 
-def feature_column(
+def feature_sql(
     feature: Feature,
     means: Mapping[str, float],
     deviations: Mapping[str, float],
-    get: Callable[[str], Column] = F.col,
-) -> Column:
-    """The feature's value; ``get`` says where a raw column comes from."""
+    get: Callable[[str], str] = quoted,
+) -> str:
+    """The feature's value as expression text; ``get`` says where a raw column comes from."""
     raw = get(feature.raw)
     if feature.level is None:
-        spread = deviations[feature.raw] or 1.0
-        return (raw.cast("double") - float(means[feature.raw])) / float(spread)
-    return F.when(raw == feature.level, 1.0).otherwise(0.0)
+        return f"((CAST({raw} AS DOUBLE) - {number(means[feature.raw])}) / {number(deviations[feature.raw] or 1.0)})"
+    return f"if({raw} = {text(feature.level)}, 1D, 0D)"
+
+
+def feature_column(feature: Feature, means: Mapping[str, float], deviations: Mapping[str, float]) -> Column:
+    return F.expr(feature_sql(feature, means, deviations))
 
 
 def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,20 +120,20 @@ def encode(
 
 def feature_totals(encoded: DataFrame, features: Sequence[Feature]) -> DataFrame:
     """(feature, raw_feature, level, label, rows, total) of an encoded matrix."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("feature"),
-                F.lit(f.raw).alias("raw_feature"),
-                F.lit(f.level).cast("string").alias("level"),
-                F.lit(f.label).alias("label"),
-                F.count(f.name).alias("rows"),
-                F.sum(f.name).alias("total"),
-            )
-            for f in features
-        ]
+    cells = array(
+        struct(
+            {
+                "feature": text(f.name),
+                "raw_feature": text(f.raw),
+                "level": f"CAST({literal(f.level)} AS STRING)",
+                "label": text(f.label),
+                "rows": f"count({quoted(f.name)})",
+                "total": f"sum({quoted(f.name)})",
+            }
+        )
+        for f in features
     )
-    return encoded.agg(cells.alias("cells")).select(F.inline("cells"))
+    return encoded.agg(F.expr(cells).alias("cells")).select(F.inline("cells"))
 
 
 def cut_points(df: DataFrame, key: str, stratum: str, shares: Sequence[float], seed: int) -> list[dict]:

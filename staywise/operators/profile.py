@@ -13,7 +13,7 @@ from staywise.operators.portfolio import long_levels
 from staywise.roles import ColumnRoles
 from staywise.session import stage
 
-DIGITS = 4
+DIGITS = 6
 QUARTILES = (0.25, 0.5, 0.75)
 WHISKER = 1.5
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import percent, ratio
+from staywise.functions.sql import inside, literal
 from staywise.operators.portfolio import MONTHS, money, segment_signals
 from staywise.operators.scoring import Scorecard
 from staywise.roles import ColumnRoles, RuleBook
@@ -71,7 +72,7 @@ def scenario_states(
 
 
 def _state_probability(card: Scorecard, side: str) -> Column:
-    return card.probability(lambda raw: F.col(f"{side}.{raw}"))
+    return card.probability(inside(side))
 
 
 def rescored(states: DataFrame, card: Scorecard, roles: ColumnRoles) -> DataFrame:
@@ -195,7 +196,7 @@ def archetype_positions(
     """
     cells = []
     for name, profile in archetypes.items():
-        own = card.probability(lambda raw, profile=profile: F.lit(profile[raw]))
+        own = card.probability(lambda raw, profile=profile: literal(profile[raw]))
         cells.append(
             F.struct(
                 F.lit(name).alias("archetype"),

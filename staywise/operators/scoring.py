@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import logistic, percent
+from staywise.functions.sql import number, quoted, text
 from staywise.operators.contract import accepted
-from staywise.operators.features import Feature, feature_column, feature_list
+from staywise.operators.features import Feature, feature_list, feature_sql
 from staywise.operators.ordering import numbered
 from staywise.operators.portfolio import histogram, money, tier_share
 from staywise.roles import ColumnRoles, ContractSpec, RuleBook
@@ -58,25 +59,25 @@ class Scorecard:
     def features(self) -> list[Feature]:
         return feature_list(self.numerics, self.levels, self.drop_first)
 
-    def column(self, feature: Feature, get: Callable[[str], Column] = F.col) -> Column:
-        return feature_column(feature, self.means, self.deviations, get)
+    def value(self, feature: Feature, get: Callable[[str], str] = quoted) -> str:
+        return feature_sql(feature, self.means, self.deviations, get)
 
-    def margin(self, get: Callable[[str], Column] = F.col) -> Column:
-        """Log-odds: scaled numerics plus one CASE per category."""
-        total = F.lit(float(self.intercept))
+    def margin(self, get: Callable[[str], str] = quoted) -> str:
+        """Log-odds as expression text: scaled numerics plus one CASE per category."""
+        terms = [number(self.intercept)]
+        by_category: dict[str, list[Feature]] = {name: [] for name in self.levels}
         for feature in self.features:
             if feature.level is None:
-                total = total + float(self.weights[feature.name]) * self.column(feature, get)
-        for name in self.levels:
-            points = F.lit(0.0)
-            for feature in self.features:
-                if feature.raw == name and feature.level is not None:
-                    points = F.when(get(name) == feature.level, float(self.weights[feature.name])).otherwise(points)
-            total = total + points
-        return total
+                terms.append(f"{number(self.weights[feature.name])} * {self.value(feature, get)}")
+            else:
+                by_category[feature.raw].append(feature)
+        for name, listed in by_category.items():
+            points = " ".join(f"WHEN {text(f.level)} THEN {number(self.weights[f.name])}" for f in listed)
+            terms.append(f"CASE {get(name)} {points} ELSE 0D END")
+        return " + ".join(terms)
 
-    def probability(self, get: Callable[[str], Column] = F.col) -> Column:
-        return logistic(self.margin(get))
+    def probability(self, get: Callable[[str], str] = quoted) -> Column:
+        return logistic(F.expr(self.margin(get)))
 
 
 def probability_percent(probability: Column) -> Column:
@@ -91,7 +92,7 @@ def with_score(df: DataFrame, card: Scorecard, prefix: str = "") -> DataFrame:
     """Adds margin, probability, percentage and label; a narrow projection."""
     margin, probability = f"{prefix}margin", f"{prefix}{PROBABILITY}"
     return (
-        df.withColumn(margin, card.margin())
+        df.withColumn(margin, F.expr(card.margin()))
         .withColumn(probability, logistic(F.col(margin)))
         .withColumns(
             {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise.roles import ColumnRoles, ContractSpec, RuleBook
-from staywise.session import fresh_path
+from staywise.session import stage
 
 CUTOFF = "2000-08-01"
 ADDON_WINDOW_START = "2000-02-01"
@@ -150,14 +150,12 @@ def subscriber_mart(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple[str, str], DataFrame] = {}
 
 
 def load_mart(spark: SparkSession, folder: str) -> DataFrame:
     """The mart as a table, built once per application and scanned by every report."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _staged:
-        path = fresh_path(spark, "subscribers")
-        subscriber_mart(spark, folder).write.parquet(path)
-        _staged[key] = path
-    return spark.read.parquet(_staged[key])
+        _staged[key] = stage(subscriber_mart(spark, folder), "subscribers")
+    return _staged[key]

@@ -62,12 +62,13 @@ def parse_requests(requests: DataFrame, body: str, columns: Sequence[str]) -> Da
         [T.StructField("records", T.ArrayType(record)), T.StructField("csv_content", T.StringType())]
     )
     parsed = requests.select(F.from_json(body, envelope).alias("request"))
-    lines = F.slice(F.split(F.rtrim("request.csv_content"), "\r?\n"), 2, 2147483647)
+    lines = F.slice(F.split("request.csv_content", "\r?\n"), 2, 2147483647)
     ddl = ", ".join(f"`{name}` STRING" for name in columns)
     from_records = parsed.select(F.explode("request.records").alias("record"))
     from_text = (
         parsed.where(F.col("request.csv_content").isNotNull())
         .select(F.explode(lines).alias("line"))
+        .where(F.trim("line") != "")
         .select(F.from_csv("line", ddl).alias("record"))
     )
     return from_records.unionByName(from_text).select("record.*")
