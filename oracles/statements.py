@@ -472,7 +472,7 @@ def statements() -> dict[str, str]:
     sql = s.__setitem__
 
     # --- sources and sinks
-    sql("subscriber_table", with_(MART, f"SELECT * REPLACE ({smooth('MonthlyCharges', 9)} AS MonthlyCharges) FROM mart"))
+    sql("subscriber_table", with_(MART, f"SELECT * REPLACE ({smooth('MonthlyCharges', 8)} AS MonthlyCharges) FROM mart"))
     sql(
         "csv_scan_imputed",
         with_(
@@ -714,7 +714,8 @@ FROM mart GROUP BY Churn"""),
     sql("tier_distribution", with_(SCORED, f"SELECT risk_tier, count(*) AS customers, {pct('count(*)', '(SELECT count(*) FROM scored)')} AS share_pct FROM scored GROUP BY 1"))
     bucket = "floor(churn_pct / 5)::BIGINT"
     sql("probability_histogram", with_(SCORED, f"SELECT {bucket} AS bucket, {bucket} * 5::DOUBLE AS lower, ({bucket} + 1) * 5::DOUBLE AS upper, count(*) AS n FROM scored GROUP BY 1"))
-    sql("intervention_plan", with_(SCORED + actions_cte(), "SELECT customerID, row_number() OVER (PARTITION BY customerID ORDER BY place) AS step, action, priority FROM acts"))
+    impacts = " ".join(f"WHEN {q(a)} THEN {q(i)}" for a, i, _, _ in catalog.scoring.ACTIONS)
+    sql("intervention_plan", with_(SCORED + actions_cte(), f"SELECT customerID, row_number() OVER (PARTITION BY customerID ORDER BY place) AS step, action, CASE action {impacts} END AS impact, priority FROM acts"))
     sql("intervention_counts", with_(SCORED + actions_cte(), "SELECT action, priority, risk_level, count(*) AS subscribers FROM acts GROUP BY 1, 2, 3"))
     nba = union(f"SELECT {q(name)} AS action, risk_tier FROM scored WHERE {test}" for test, name in BEST_ACTIONS)
     sql("next_best_actions", with_(SCORED + f", acts AS ({nba})", "SELECT action, risk_tier, count(*) AS subscribers FROM acts GROUP BY 1, 2"))
@@ -722,7 +723,7 @@ FROM mart GROUP BY Churn"""),
     sql(
         "result_records",
         with_(SCORED, f"""SELECT row_number() OVER (ORDER BY customerID) AS row, customerID, prediction, prediction = 'Yes' AS churn, churn_pct, risk_level,
-  tenure, Contract, {smooth('MonthlyCharges', 9)} AS MonthlyCharges, Segment FROM scored"""),
+  tenure, Contract, {smooth('MonthlyCharges', 8)} AS MonthlyCharges, Segment FROM scored"""),
     )
     sql("active_version_scores", with_(BOTH, f"SELECT customerID, 'v2' AS version, {smooth('p2', 9)} AS churn_probability, l2 AS prediction FROM versions"))
     sql("batch_invariance", with_(CLEAN, f"SELECT count(*) AS records, 0::DOUBLE AS max_difference FROM clean WHERE {FLEX}"))

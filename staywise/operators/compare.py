@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import percent
-from staywise.operators.contract import violation_array
+from staywise.functions.sql import array, literal, quoted, struct, text
+from staywise.operators.contract import conforms_sql
 
 from staywise.operators.ordering import fit_medians
 from staywise.operators.scoring import Scorecard, with_score
@@ -143,11 +144,13 @@ def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def determinism_check(run: Callable[[], DataFrame], columns: Sequence[str]) -> DataFrame:
-    """Run twice and compare fingerprints; each run is reduced to one row before they meet."""
-    runs = checksum(run(), columns).unionByName(checksum(run(), columns))
-    return runs.agg(
-        F.max("rows").alias("rows"),
-        ((F.min("fingerprint") == F.max("fingerprint")) & (F.min("rows") == F.max("rows"))).alias("deterministic"),
+    """Run twice, in two jobs, and compare the one-row fingerprints.
+
+    In a single plan the second run would be answered by reusing the first.
+    """
+    first, second = (checksum(run(), columns).first() for _ in range(2))
+    return run().sparkSession.createDataFrame(
+        [(first["rows"], first == second)], "rows bigint, deterministic boolean"
     )
 
 
@@ -208,19 +211,20 @@ def contract_comparison(
     """
     columns = list(first.required)
 
-    def mutated(name: str, column: str, value: object) -> Column:
-        fields = [
-            (F.col(c) if c != column or value == "keep" else F.lit(value).cast("string")).alias(c) for c in columns
-        ]
-        return F.struct(F.lit(name).alias("probe"), *fields)
+    def mutated(name: str, column: str, value: object) -> str:
+        fields = {"probe": text(name)}
+        for c in columns:
+            changed = c == column and value != "keep"
+            fields[c] = f"CAST({literal(value)} AS STRING)" if changed else quoted(c)
+        return struct(fields)
 
-    cases = F.array(*[mutated(name, column, value) for name, (column, value) in probes.items()])
+    cases = F.expr(array(mutated(name, column, value) for name, (column, value) in probes.items()))
     rows = raw.select(F.explode(cases).alias("case")).select("case.*")
 
-    def passes(spec: ContractSpec) -> Column:
-        return F.size(violation_array(rows.schema, spec)) == 0
-
-    counted = rows.select("probe", passes(first).alias("ok1"), passes(second).alias("ok2")).groupBy("probe").agg(
+    judged = rows.select(
+        "probe", *[F.expr(conforms_sql(rows.schema, spec)).alias(name) for name, spec in (("ok1", first), ("ok2", second))]
+    )
+    counted = judged.groupBy("probe").agg(
         F.count("*").alias("records"),
         F.count_if("ok1").alias("v1_accepted"),
         F.count_if("ok2").alias("v2_accepted"),

@@ -77,27 +77,30 @@ def violation_array(schema: T.StructType, spec: ContractSpec) -> Column:
     return F.expr(f"array_compact({array(found)})")
 
 
-def checked(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = ()) -> DataFrame:
-    """Carried columns, the cleaned required columns in contract order, and ``violations``."""
-    require_columns(df.columns, spec)
-    cleaned = clean_columns(df.schema, spec)
-    return df.select(
-        *carry,
-        *[cleaned[name].alias(name) for name in spec.required],
-        violation_array(df.schema, spec).alias("violations"),
-    )
+def conforms_sql(schema: T.StructType, spec: ContractSpec) -> str:
+    """True exactly when :func:`violation_array` would be empty, without building it."""
+    tests = [f"({flag_sql(name, spec.aliases)}) IS NOT NULL" for name in spec.flags]
+    for name in spec.numerics:
+        finite = f"abs({number_sql(name, schema[name].dataType)}) < double('Infinity')"
+        tests.append(f"coalesce({finite}, {'true' if name in spec.imputed else 'false'})")
+    tests += [f"coalesce({one_of(quoted(name), levels)}, false)" for name, levels in spec.domains.items()]
+    return " AND ".join(tests)
 
 
 def accepted(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = ()) -> DataFrame:
-    return checked(df, spec, carry).where(F.size("violations") == 0).drop("violations")
+    """Conforming records: carried columns, then the cleaned required columns in contract order."""
+    require_columns(df.columns, spec)
+    cleaned = clean_columns(df.schema, spec)
+    return df.where(conforms_sql(df.schema, spec)).select(
+        *carry, *[cleaned[name].alias(name) for name in spec.required]
+    )
 
 
 def rejected(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = ()) -> DataFrame:
     """Refused records as they arrived, with the reasons."""
     require_columns(df.columns, spec)
-    return df.select(*carry, *spec.required, violation_array(df.schema, spec).alias("violations")).where(
-        F.size("violations") > 0
-    )
+    broken = df.where(f"NOT ({conforms_sql(df.schema, spec)})")
+    return broken.select(*carry, *spec.required, violation_array(df.schema, spec).alias("violations"))
 
 
 def findings(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = ()) -> DataFrame:

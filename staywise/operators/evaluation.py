@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import ratio
+from staywise.functions.sql import array, number, quoted, struct, text
 from staywise.operators.ordering import ROWS_PER_SLICE, numbered, running_totals
 from staywise.session import stage
 
@@ -49,19 +50,21 @@ def threshold_sweep(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Confusion counts at every threshold from one pass: a fixed set of conditional sums."""
-    positive = F.col(label) == 1
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(float(t)).alias("threshold"),
-                F.count_if((F.col(score) >= float(t)) & positive).alias("tp"),
-                F.count_if((F.col(score) >= float(t)) & ~positive).alias("fp"),
-                F.count_if((F.col(score) < float(t)) & ~positive).alias("tn"),
-                F.count_if((F.col(score) < float(t)) & positive).alias("fn"),
-            )
-            for t in thresholds
-        ]
-    )
+    s, positive = quoted(score), f"{quoted(label)} = 1"
+
+    def cell(t: float) -> str:
+        called, passed = f"{s} >= {number(t)}", f"{s} < {number(t)}"
+        return struct(
+            {
+                "threshold": number(t),
+                "tp": f"count_if({called} AND {positive})",
+                "fp": f"count_if({called} AND NOT {positive})",
+                "tn": f"count_if({passed} AND NOT {positive})",
+                "fn": f"count_if({passed} AND {positive})",
+            }
+        )
+
+    cells = F.expr(array(cell(t) for t in thresholds))
     grouped = scored.groupBy(*by).agg(cells.alias("cells"))
     return _rates(grouped.select(*by, F.inline("cells")))
 
@@ -70,22 +73,28 @@ def metrics_at(scored: DataFrame, score: str, label: str, threshold: float, by:
     return threshold_sweep(scored, score, label, [threshold], by)
 
 
-def score_steps(
-    scored: DataFrame,
-    score: str,
-    label: str,
-    by: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """One row per distinct score, highest first: its counts and the running tp / fp."""
+def score_counts(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Staged (by…, score, pos, neg): one row per distinct score, all that ranking needs."""
     counted = scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"),
         F.sum(1 - F.col(label).cast("bigint")).alias("neg"),
     )
-    steps = running_totals(counted, "score", ["pos", "neg"], by, descending=True, rows_per_slice=rows_per_slice)
+    return stage(counted, "scores")
+
+
+def score_steps(counted: DataFrame, by: Sequence[str] = (), rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Staged counts with the running tp / fp from the highest score down."""
+    steps = running_totals(
+        counted, "score", ["pos", "neg"], by, descending=True, rows_per_slice=rows_per_slice, staged=True
+    )
     return steps.withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
 
 
+def class_totals(counted: DataFrame) -> tuple[int, int]:
+    row = counted.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return row["p"] or 0, row["n"] or 0
+
+
 def roc_curve(
     scored: DataFrame,
     score: str,
@@ -96,13 +105,16 @@ def roc_curve(
     """(threshold, fpr, tpr) with the (0, 0) start point, whose threshold is NULL.
 
     ``drop_collinear`` removes inner points that continue a straight line: a step
-    equal to the following step; the first and last score always stay.  Neighbours meet through a join on the rank, so
-    the curve is never sorted in one task.
+    equal to the following step; the first and last score always stay.  Neighbours
+    meet through a join on the rank, so the curve is never sorted in one task.
     """
-    steps = score_steps(scored, score, label, rows_per_slice=rows_per_slice)
+    counted = score_counts(scored, score, label)
+    positives, negatives = class_totals(counted)
+    steps = score_steps(counted, rows_per_slice=rows_per_slice)
     if drop_collinear:
-        steps = stage(steps, "steps")
-        ranked = numbered(steps.withColumn("_k", -F.col("score")), "_k", "rank", rows_per_slice).drop("_k")
+        ranked = stage(
+            numbered(steps.withColumn("_k", -F.col("score")), "_k", "rank", rows_per_slice).drop("_k"), "ranked"
+        )
         following = ranked.select(
             (F.col("rank") - 1).alias("rank"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg")
         )
@@ -112,8 +124,7 @@ def roc_curve(
             | (F.col("next_pos") != F.col("pos"))
             | (F.col("next_neg") != F.col("neg"))
         )
-        steps = ranked.join(following, "rank", "left").where(bends).select(steps.columns)
-    positives, negatives = _totals(scored, label)
+        steps = ranked.join(following, "rank", "left").where(bends)
     points = steps.select(
         F.round("score", DIGITS).alias("threshold"),
         F.round(ratio(F.col("fp"), F.lit(negatives)), DIGITS).alias("fpr"),
@@ -125,18 +136,13 @@ def roc_curve(
     return points.unionByName(start)
 
 
-def _totals(scored: DataFrame, label: str) -> tuple[int, int]:
-    row = scored.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    return row["p"], row["n"]
-
-
 def precision_recall_curve(
     scored: DataFrame, score: str, label: str, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """(threshold, precision, recall) with the (recall 0, precision 1) end point."""
-    steps = score_steps(scored, score, label, rows_per_slice=rows_per_slice)
-    positives, _ = _totals(scored, label)
-    points = steps.select(
+    counted = score_counts(scored, score, label)
+    positives, _ = class_totals(counted)
+    points = score_steps(counted, rows_per_slice=rows_per_slice).select(
         F.round("score", DIGITS).alias("threshold"),
         F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), DIGITS).alias("precision"),
         F.round(ratio(F.col("tp"), F.lit(positives)), DIGITS).alias("recall"),
@@ -160,7 +166,7 @@ def ranking_summary(
     ranked above them, tie with half of their own positives, and its positives
     add precision weighted by their share.
     """
-    steps = score_steps(scored, score, label, by, rows_per_slice)
+    steps = score_steps(score_counts(scored, score, label, by), by, rows_per_slice)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     sums = steps.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
@@ -236,25 +242,26 @@ def calibration_table(scored: DataFrame, score: str, label: str, bins: int = CAL
     prediction minus observed rate, so a positive gap over-states risk.
     """
     edges = bin_edges(bins)
+    s, y = quoted(score), quoted(label)
     cells = []
     for i in range(bins):
-        inside = F.lit(True)
-        if i > 0:
-            inside = inside & (F.col(score) >= edges[i])
-        if i < bins - 1:
-            inside = inside & (F.col(score) < edges[i + 1])
+        sides = [f"{s} >= {number(edges[i])}"] if i > 0 else []
+        sides += [f"{s} < {number(edges[i + 1])}"] if i < bins - 1 else []
+        inside = " AND ".join(sides) or "true"
         cells.append(
-            F.struct(
-                F.lit(i).alias("bin"),
-                F.lit(round(edges[i], 12)).alias("lower"),
-                F.lit(round(edges[i + 1], 12)).alias("upper"),
-                F.count_if(inside).alias("count"),
-                F.avg(F.when(inside, F.col(score))).alias("_mean"),
-                F.avg(F.when(inside, F.col(label))).alias("_rate"),
+            struct(
+                {
+                    "bin": str(i),
+                    "lower": number(round(edges[i], 12)),
+                    "upper": number(round(edges[i + 1], 12)),
+                    "count": f"count_if({inside})",
+                    "_mean": f"avg(CASE WHEN {inside} THEN {s} END)",
+                    "_rate": f"avg(CASE WHEN {inside} THEN {y} END)",
+                }
             )
         )
     return (
-        scored.agg(F.array(*cells).alias("cells"))
+        scored.agg(F.expr(array(cells)).alias("cells"))
         .select(F.inline("cells"))
         .select(
             "bin",

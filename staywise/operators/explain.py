@@ -59,34 +59,31 @@ def contribution(
 
 
 def contributions(card: Scorecard, background: Background) -> Column:
-    """array<struct> with one entry per feature, in feature order."""
-    return F.expr(
-        array(
+    """array<struct> with one entry per feature, largest magnitude first, the name deciding a tie.
+
+    The sort key leads the struct, so ordering is a plain array sort in the row.
+    """
+    items = []
+    for f in card.features:
+        phi = contribution(card, background, f)
+        items.append(
             struct(
                 {
+                    "order": f"-abs({phi})",
                     "feature": text(f.name),
                     "label": text(f.label),
                     "raw_feature": text(f.raw),
                     "value": f"CAST({quoted(f.raw)} AS STRING)",
-                    "contribution": contribution(card, background, f),
+                    "contribution": phi,
                 }
             )
-            for f in card.features
         )
-    )
-
-
-def strongest_first(items: Column, measure: str = "contribution") -> Column:
-    """Order by magnitude within the row; the feature name decides a tie."""
-    keyed = F.transform(
-        items, lambda x: F.struct((-F.abs(x[measure])).alias("order"), x["feature"].alias("name"), x.alias("item"))
-    )
-    return F.transform(F.array_sort(keyed), lambda x: x["item"])
+    return F.expr(f"sort_array({array(items)})")
 
 
 def explain_rows(clean: DataFrame, card: Scorecard, background: Background, key: str, top: int | None = None) -> DataFrame:
     """Long form: one row per subscriber and feature, ranked by magnitude."""
-    ordered = strongest_first(contributions(card, background))
+    ordered = contributions(card, background)
     if top is not None:
         ordered = F.slice(ordered, 1, top)
     phi = F.col("item.contribution")
@@ -107,7 +104,7 @@ def explain_rows(clean: DataFrame, card: Scorecard, background: Background, key:
 
 def explain_nested(clean: DataFrame, card: Scorecard, background: Background, key: str) -> DataFrame:
     """One row per subscriber: totals, and the ordered lists of what raises and lowers the score."""
-    ordered = strongest_first(contributions(card, background))
+    ordered = contributions(card, background)
     total = F.aggregate(F.col("ordered"), F.lit(0.0), lambda acc, x: acc + x["contribution"])
     names = lambda keep: F.transform(F.filter(F.col("ordered"), keep), lambda x: x["feature"])
     return clean.select(key, F.expr(card.margin()).alias("log_odds"), ordered.alias("ordered")).select(
@@ -162,12 +159,15 @@ def global_direction(clean: DataFrame, card: Scorecard, background: Background)
     cells = []
     for f in card.features:
         x, phi = card.value(f), contribution(card, background, f)
-        above = f"avg(CASE WHEN {x} > {number(medians.get(f.name, 0.0))} THEN {phi} END)"
-        present = f"avg(CASE WHEN {x} = 1 THEN {phi} END)"
-        binary = f"min({x}) = 0 AND max({x}) = 1 AND count_if({x} NOT IN (0D, 1D)) = 0"
-        # An indicator that never changes is not binary here and has no row above its median.
-        otherwise = above if f.level is None else f"if(max({x}) = min({x}), 0D, {above})"
-        effect = f"coalesce(if({binary}, {present}, {otherwise}), 0D)"
+        if f.level is None:
+            above = f"avg(CASE WHEN {x} > {number(medians.get(f.name, 0.0))} THEN {phi} END)"
+            present = f"avg(CASE WHEN {x} = 1 THEN {phi} END)"
+            binary = f"min({x}) = 0 AND max({x}) = 1 AND count_if({x} NOT IN (0D, 1D)) = 0"
+            effect = f"coalesce(if({binary}, {present}, {above}), 0D)"
+        else:
+            # A linear model gives every active row of an indicator the same contribution.
+            active = number(card.weights[f.name] * (1.0 - background.means[f.name]))
+            effect = f"if(min({x}) = 0 AND max({x}) = 1, {active}, 0D)"
         cells.append(struct({"feature": text(f.name), "effect": effect}))
     return (
         clean.agg(F.expr(array(cells)).alias("cells"))
@@ -196,22 +196,26 @@ def attribution_deltas(
     use the same background, so the difference comes from changed columns only.
     """
 
+    sides = []
     items = []
-    for f in card.features:
-        old = contribution(card, background, f, inside(before))
-        new = contribution(card, background, f, inside(after))
+    for i, f in enumerate(card.features):
+        sides.append(F.expr(contribution(card, background, f, inside(before))).alias(f"o{i}"))
+        sides.append(F.expr(contribution(card, background, f, inside(after))).alias(f"n{i}"))
         items.append(
             struct(
                 {
+                    "order": f"-abs(n{i} - o{i})",
                     "feature": text(f.name),
                     "raw_feature": text(f.raw),
-                    "baseline_contribution": old,
-                    "simulated_contribution": new,
-                    "delta": f"({new}) - ({old})",
+                    "baseline_contribution": f"o{i}",
+                    "simulated_contribution": f"n{i}",
+                    "delta": f"n{i} - o{i}",
                 }
             )
         )
-    ordered = F.slice(strongest_first(F.expr(array(items)), "delta"), 1, top)
+    # Both sides are projected once, then compared, ordered and cut within the row.
+    before_after = before_after.select(key, *carry, *sides)
+    ordered = F.expr(f"slice(sort_array({array(items)}), 1, {int(top)})")
     return before_after.select(key, *carry, F.posexplode(ordered).alias("position", "item")).select(
         key,
         *carry,

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staywise.functions.sql import array, number, quoted, struct, text
 from staywise.session import stage
 
 ROWS_PER_SLICE = 1_000_000
@@ -86,14 +87,10 @@ def numbered(df: DataFrame, key: str, name: str = "row", rows_per_slice: int = R
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by…, feature, value) with one row per non-missing measured value."""
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("value")) for name in columns])
-    ).alias("cell")
-    return (
-        df.select(*by, stacked)
-        .select(*by, "cell.feature", "cell.value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+    cells = array(
+        struct({"feature": text(name), "value": f"CAST({quoted(name)} AS DOUBLE)"}) for name in columns
     )
+    return df.select(*by, F.inline(F.expr(cells))).where("value IS NOT NULL AND NOT isnan(value)")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -108,8 +105,17 @@ def quantiles_of(
     by: Sequence[str] = (),
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Linearly interpolated quantiles of staged value counts."""
+    """Linearly interpolated quantiles of staged value counts.
+
+    While the counted distinct values fit one slice, Spark's exact ``percentile``
+    holds them in its buffer; beyond that the ranks are found with running totals.
+    """
     groups = [*by, "feature"]
+    if counted.count() <= rows_per_slice:
+        listed = array(number(p) for p in probabilities)
+        held = counted.groupBy(*groups).agg(F.expr(f"percentile(value, {listed}, n)").alias("found"))
+        pairs = F.arrays_zip(F.expr(listed).alias("probability"), F.col("found").alias("quantile"))
+        return held.select(*groups, F.inline(pairs).alias("probability", "quantile"))
     ranked = running_totals(counted, "value", ["n"], groups, rows_per_slice=rows_per_slice, staged=True)
     low, high = F.floor("position"), F.ceil("position")
 

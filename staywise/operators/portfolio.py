@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staywise.functions.expressions import is_positive, percent, ratio
+from staywise.functions.expressions import is_positive, percent
+from staywise.functions.sql import array, quoted, struct, text
 from staywise.operators.ordering import fit_medians
 from staywise.roles import ColumnRoles, RuleBook
 
@@ -163,10 +164,8 @@ def revenue_at_risk(df: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 def long_levels(df: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """(carry…, feature, level), one row per category cell, from a single scan."""
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in columns])
-    ).alias("cell")
-    return df.select(*carry, cells).select(*carry, "cell.feature", "cell.level")
+    cells = array(struct({"feature": text(c), "level": f"CAST({quoted(c)} AS STRING)"}) for c in columns)
+    return df.select(*carry, F.inline(F.expr(cells)))
 
 
 def churn_by_category(df: DataFrame, roles: ColumnRoles, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staywise.functions.expressions import is_missing, is_positive, slot
+from staywise.functions.expressions import is_missing, slot
+from staywise.functions.sql import array, number, quoted, struct, text
 from staywise.operators.ordering import exact_quantiles, long_values, quantiles_of, value_counts
 from staywise.operators.portfolio import long_levels
 from staywise.roles import ColumnRoles
@@ -156,25 +157,27 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], roles: ColumnRoles
     cancel, and a pair only counts rows where both sides are present.
     """
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    centred = {c: F.col(c).cast("double") - F.lit(float(means[c] or 0.0)) for c in columns}
-    centred["churn"] = is_positive(roles.target, roles.positive).cast("double")
+    centred = {c: f"(CAST({quoted(c)} AS DOUBLE) - {number(means[c] or 0.0)})" for c in columns}
+    centred["churn"] = f"if({quoted(roles.target)} <=> {text(roles.positive)}, 1D, 0D)"
     names = list(centred)
 
-    def pair(x: str, y: str):
-        both = centred[x].isNotNull() & centred[y].isNotNull()
-        a, b = F.when(both, centred[x]), F.when(both, centred[y])
-        return F.struct(
-            F.lit(x).alias("x"),
-            F.lit(y).alias("y"),
-            F.count_if(both).cast("double").alias("n"),
-            F.sum(a).alias("a"),
-            F.sum(b).alias("b"),
-            F.sum(a * a).alias("aa"),
-            F.sum(b * b).alias("bb"),
-            F.sum(a * b).alias("ab"),
+    def pair(x: str, y: str) -> str:
+        a, b = centred[x], centred[y]
+        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+        return struct(
+            {
+                "x": text(x),
+                "y": text(y),
+                "n": f"CAST(count_if({both}) AS DOUBLE)",
+                "a": f"sum(CASE WHEN {both} THEN {a} END)",
+                "b": f"sum(CASE WHEN {both} THEN {b} END)",
+                "aa": f"sum(CASE WHEN {both} THEN {a} * {a} END)",
+                "bb": f"sum(CASE WHEN {both} THEN {b} * {b} END)",
+                "ab": f"sum({a} * {b})",
+            }
         )
 
-    pairs = F.array(*[pair(x, y) for i, x in enumerate(names) for y in names[i:]])
+    pairs = F.expr(array(pair(x, y) for i, x in enumerate(names) for y in names[i:]))
     moments = df.agg(pairs.alias("pairs")).select(F.inline("pairs"))
     n, a, b = F.col("n"), F.col("a"), F.col("b")
     spread = F.sqrt((n * F.col("aa") - a * a) * (n * F.col("bb") - b * b))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import logistic, percent
-from staywise.functions.sql import number, quoted, text
+from staywise.functions.sql import array, number, quoted, struct, text
 from staywise.operators.contract import accepted
 from staywise.operators.features import Feature, feature_list, feature_sql
 from staywise.operators.ordering import numbered
@@ -27,12 +27,38 @@ BULK_TIERS = ((30.0, "Low Risk"), (60.0, "Moderate Risk"), (100.0, "High Risk"))
 API_LEVELS = ((30.0, "Low Risk"), (60.0, "Medium Risk"), (80.0, "High Risk"), (None, "Critical Risk"))
 VIEW_STATUS = ((30.0, "LOW RISK"), (60.0, "MODERATE RISK"), (None, "HIGH RISK"))
 
-# Retention actions of the scoring API.
-CONTRACT_ACTION = ("Contract Upgrade Incentive", "HIGH")
-SUPPORT_ACTION = ("Complimentary Premium Tech Support", "HIGH")
-PAYMENT_ACTION = ("Autopay / Credit Card Migration", "MEDIUM")
-BILL_ACTION = ("Plan Right-Sizing Review", "MEDIUM")
-LOYALTY_ACTION = ("Loyalty Appreciation", "LOW")
+# Retention actions of the scoring API as (action, impact, description, priority).
+CONTRACT_ACTION = (
+    "Contract Upgrade Incentive",
+    "Reduces churn risk by ~30%",
+    "Offer 15% discount on an annual contract lock-in.",
+    "HIGH",
+)
+SUPPORT_ACTION = (
+    "Complimentary Premium Tech Support",
+    "Reduces churn risk by ~18%",
+    "Include free 3-month VIP technical onboarding to resolve connectivity friction.",
+    "HIGH",
+)
+PAYMENT_ACTION = (
+    "Autopay / Credit Card Migration",
+    "Reduces payment churn by ~12%",
+    "Provide a $5 monthly bill credit for switching to automated bank transfer or credit card.",
+    "MEDIUM",
+)
+BILL_ACTION = (
+    "Plan Right-Sizing Review",
+    "Prevents bill-shock churn",
+    "Review unutilized streaming/add-on services and tailor a balanced loyalty bundle.",
+    "MEDIUM",
+)
+LOYALTY_ACTION = (
+    "Loyalty Appreciation",
+    "Reinforces retention",
+    "Send quarterly satisfaction check-in and loyalty milestone reward.",
+    "LOW",
+)
+ACTIONS = (CONTRACT_ACTION, SUPPORT_ACTION, PAYMENT_ACTION, BILL_ACTION, LOYALTY_ACTION)
 
 # Next-best-action headlines of the single view.
 LOCK_IN = "Offer 1-Year Contract Lock-in"
@@ -180,24 +206,29 @@ def with_tiers(scored: DataFrame) -> DataFrame:
     )
 
 
-def _action(test: Column, action: tuple[str, str]) -> Column:
-    return F.when(test, F.struct(F.lit(action[0]).alias("action"), F.lit(action[1]).alias("priority")))
+def _action(test: str, action: tuple[str, str, str, str]) -> str:
+    fields = dict(zip(("action", "impact", "description", "priority"), map(text, action)))
+    return f"CASE WHEN {test} THEN {struct(fields)} END"
 
 
 def interventions(roles: ColumnRoles, rules: RuleBook) -> Column:
-    """array<struct<action, priority>> in rule order; a loyalty action when no rule fires."""
-    found = F.array_compact(
-        F.array(
-            _action(F.col(roles.contract) == rules.flexible_contract, CONTRACT_ACTION),
-            _action(
-                (F.col(roles.service) == rules.risky_service) & (F.col(roles.support) == rules.addon_no),
-                SUPPORT_ACTION,
-            ),
-            _action(F.col(roles.payment) == rules.friction_payment, PAYMENT_ACTION),
-            _action(F.col(roles.revenue).cast("double") > rules.high_bill, BILL_ACTION),
+    """array<struct<action, impact, description, priority>> in rule order; a loyalty action when no rule fires."""
+    contract, service, support = quoted(roles.contract), quoted(roles.service), quoted(roles.support)
+    payment, bill = quoted(roles.payment), quoted(roles.revenue)
+    risky = f"{service} = {text(rules.risky_service)} AND {support} = {text(rules.addon_no)}"
+    found = F.expr(
+        "array_compact("
+        + array(
+            [
+                _action(f"{contract} = {text(rules.flexible_contract)}", CONTRACT_ACTION),
+                _action(risky, SUPPORT_ACTION),
+                _action(f"{payment} = {text(rules.friction_payment)}", PAYMENT_ACTION),
+                _action(f"CAST({bill} AS DOUBLE) > {number(rules.high_bill)}", BILL_ACTION),
+            ]
         )
+        + ")"
     )
-    return F.when(F.size(found) == 0, F.array(_action(F.lit(True), LOYALTY_ACTION))).otherwise(found)
+    return F.when(F.size(found) == 0, F.expr(array([_action("true", LOYALTY_ACTION)]))).otherwise(found)
 
 
 def next_best_actions(roles: ColumnRoles, rules: RuleBook) -> Column:

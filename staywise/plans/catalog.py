@@ -92,7 +92,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
 
 @job
 def subscriber_table(spark, folder):
-    return subscriber_mart(spark, folder).withColumn(ROLES.revenue, F.round(ROLES.revenue, 9))
+    return subscriber_mart(spark, folder).withColumn(ROLES.revenue, F.round(ROLES.revenue, 8))
 
 
 @job
@@ -689,7 +689,7 @@ def probability_histogram(spark, folder):
 @job
 def intervention_plan(spark, folder):
     found = scored(spark, folder).select(ROLES.id, F.posexplode(scoring.interventions(ROLES, RULES)).alias("position", "item"))
-    return found.select(ROLES.id, (F.col("position") + 1).cast("bigint").alias("step"), "item.action", "item.priority")
+    return found.select(ROLES.id, (F.col("position") + 1).cast("bigint").alias("step"), "item.action", "item.impact", "item.priority")
 
 
 @job
@@ -712,7 +712,7 @@ def value_at_risk_by_tier(spark, folder):
 @job
 def result_records(spark, folder):
     rows = scoring.result_records(scored(spark, folder), ROLES)
-    return rows.withColumn(ROLES.revenue, F.round(ROLES.revenue, 9))
+    return rows.withColumn(ROLES.revenue, F.round(ROLES.revenue, 8))
 
 
 @job

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from staywise.operators.contract import checked
+from staywise.operators.contract import accepted, rejected
 from staywise.operators.scoring import Scorecard, interventions, with_score, with_tiers
 from staywise.roles import ColumnRoles, ContractSpec, RuleBook
 
@@ -18,8 +18,7 @@ def score_records(
     df: DataFrame, roles: ColumnRoles, spec: ContractSpec, rules: RuleBook, card: Scorecard, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Response fields of the accepted records; the same plan for a batch and a micro-batch."""
-    clean = checked(df, spec, [roles.id, *carry]).where(F.size("violations") == 0)
-    tiered = with_tiers(with_score(clean, card))
+    tiered = with_tiers(with_score(accepted(df, spec, [roles.id, *carry]), card))
     return tiered.select(
         roles.id,
         *carry,
@@ -32,7 +31,8 @@ def score_records(
 
 
 def quarantined(df: DataFrame, roles: ColumnRoles, spec: ContractSpec) -> DataFrame:
-    return checked(df, spec, [roles.id]).where(F.size("violations") > 0).select(roles.id, "violations")
+    """Refused records as they arrived, with the reasons."""
+    return rejected(df, spec, [roles.id])
 
 
 def start_scoring(
