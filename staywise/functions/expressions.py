@@ -60,8 +60,10 @@ def missing_sql(name: str, kind: T.DataType) -> str:
 
 def number_sql(name: str, kind: T.DataType) -> str:
     """Text to double; anything but a plain decimal or an infinity token is missing."""
-    if not isinstance(kind, T.StringType):
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
         return f"nullif(CAST({quoted(name)} AS DOUBLE), double('NaN'))"
+    if not isinstance(kind, T.StringType):
+        return f"CAST({quoted(name)} AS DOUBLE)"
     token = f"trim({quoted(name)})"
     return (
         f"CASE WHEN {token} RLIKE {text(PLAIN_NUMBER)} THEN try_cast({token} AS DOUBLE)"
