@@ -590,8 +590,8 @@ WHERE rule = 'unknown_value' AND feature <> 'SeniorCitizen' GROUP BY feature, va
     sql("revenue_by_contract", with_(MART, f"SELECT Contract, Churn, {money('sum(MonthlyCharges)')} AS mrr FROM mart GROUP BY 1, 2"))
     sql(
         "churn_distribution",
-        with_(MART, f"""SELECT CASE Churn WHEN 'Yes' THEN 'Churned Customers' ELSE 'Retained Customers' END AS status, count(*) AS customers,
-  {pct('count(*)', '(SELECT count(*) FROM mart)')} AS share_pct FROM mart GROUP BY 1"""),
+        with_(MART, f"""SELECT status, count(Churn) AS customers, {pct('count(Churn)', '(SELECT count(*) FROM mart)')} AS share_pct
+FROM (VALUES ('Churned Customers', 'Yes'), ('Retained Customers', 'No')) v(status, code) LEFT JOIN mart ON Churn = code GROUP BY 1"""),
     )
     sql("tenure_histogram", histogram("tenure", 2.0))
     sql("bill_histogram", histogram("MonthlyCharges", 6000.0))
@@ -711,7 +711,11 @@ FROM mart GROUP BY Churn"""),
         with_(SCORED, f"""SELECT count(*) FILTER (WHERE {high}) AS high_risk_accounts, {pct(f'count(*) FILTER (WHERE {high})', 'count(*)')} AS high_risk_pct,
   {money(f'sum(CASE WHEN {high} THEN MonthlyCharges END)')} AS high_risk_mrr FROM scored"""),
     )
-    sql("tier_distribution", with_(SCORED, f"SELECT risk_tier, count(*) AS customers, {pct('count(*)', '(SELECT count(*) FROM scored)')} AS share_pct FROM scored GROUP BY 1"))
+    sql(
+        "tier_distribution",
+        with_(SCORED, f"""SELECT v.tier AS risk_tier, count(customerID) AS customers, {pct('count(customerID)', '(SELECT count(*) FROM scored)')} AS share_pct
+FROM (VALUES ('Low Risk'), ('Moderate Risk'), ('High Risk')) v(tier) LEFT JOIN scored ON risk_tier = v.tier GROUP BY 1"""),
+    )
     bucket = "floor(churn_pct / 5)::BIGINT"
     sql("probability_histogram", with_(SCORED, f"SELECT {bucket} AS bucket, {bucket} * 5::DOUBLE AS lower, ({bucket} + 1) * 5::DOUBLE AS upper, count(*) AS n FROM scored GROUP BY 1"))
     impacts = " ".join(f"WHEN {q(a)} THEN {q(i)}" for a, i, _, _ in catalog.scoring.ACTIONS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import is_positive, percent
@@ -59,19 +59,26 @@ def revenue_by_contract(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     )
 
 
-def churn_distribution(df: DataFrame, roles: ColumnRoles) -> DataFrame:
-    """Counts per status; the two status rows are a fixed set, so one window frame suffices."""
-    status = F.when(F.col(roles.target) == roles.positive, "Churned Customers").when(
-        F.col(roles.target) == roles.negative, "Retained Customers"
-    )
-    counts = df.where(F.col(roles.target).isNotNull()).groupBy(status.alias("status")).agg(
-        F.count("*").alias("customers")
+def known_shares(df: DataFrame, name: str, groups: dict[str, Column]) -> DataFrame:
+    """Size and share of each named predicate among the rows matching any, in one pass."""
+    anywhere = F.lit(False)
+    for test in groups.values():
+        anywhere = anywhere | F.coalesce(test, F.lit(False))
+    cells = F.array(
+        *[F.struct(F.lit(label).alias(name), F.count_if(test).alias("customers")) for label, test in groups.items()]
     )
-    return counts.withColumn(
-        "share_pct", percent(F.col("customers"), F.sum("customers").over(Window.partitionBy()))
+    counted = df.agg(cells.alias("cells"), F.count_if(anywhere).alias("total"))
+    return counted.select("total", F.inline("cells")).select(
+        name, "customers", percent(F.col("customers"), F.col("total")).alias("share_pct")
     )
 
 
+def churn_distribution(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+    status = F.col(roles.target)
+    groups = {"Churned Customers": status == roles.positive, "Retained Customers": status == roles.negative}
+    return known_shares(df, "status", groups)
+
+
 def histogram(
     df: DataFrame, column: str, low: float, width: float, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -274,10 +281,3 @@ def keyword_search(df: DataFrame, pattern: str, columns: Sequence[str]) -> DataF
 def churned_preview(df: DataFrame, roles: ColumnRoles, rows: int = 100) -> DataFrame:
     """First churned subscribers along the id, for display."""
     return df.where(F.col(roles.target) == roles.positive).orderBy(roles.id).limit(rows)
-
-
-def tier_share(df: DataFrame, column: str) -> DataFrame:
-    counts = df.groupBy(column).agg(F.count("*").alias("customers"))
-    return counts.withColumn(
-        "share_pct", percent(F.col("customers"), F.sum("customers").over(Window.partitionBy()))
-    )

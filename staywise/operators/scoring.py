@@ -14,7 +14,7 @@ from staywise.functions.sql import array, number, quoted, struct, text
 from staywise.operators.contract import accepted
 from staywise.operators.features import Feature, feature_list, feature_sql
 from staywise.operators.ordering import numbered
-from staywise.operators.portfolio import histogram, money, tier_share
+from staywise.operators.portfolio import histogram, known_shares, money
 from staywise.roles import ColumnRoles, ContractSpec, RuleBook
 
 PROBABILITY = "churn_probability"
@@ -267,7 +267,8 @@ def high_risk_revenue(tiered: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 
 def tier_distribution(tiered: DataFrame) -> DataFrame:
-    return tier_share(tiered, "risk_tier")
+    """Every tier with its size and share, empty ones included."""
+    return known_shares(tiered, "risk_tier", {name: F.col("risk_tier") == name for _, name in BULK_TIERS})
 
 
 def probability_histogram(scored: DataFrame, bins: int = 20) -> DataFrame:

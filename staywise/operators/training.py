@@ -32,7 +32,9 @@ from staywise.operators.features import (
     stratified_folds,
     stratified_split,
 )
-from staywise.roles import ColumnRoles
+from staywise.operators.contract import accepted
+from staywise.operators.scoring import PROBABILITY, Scorecard, decide, model_probability, probability_percent
+from staywise.roles import ColumnRoles, ContractSpec
 from staywise.session import stage
 
 SEED = 42
@@ -234,3 +236,41 @@ def feature_importance(model: Model, features: Sequence[Feature], spark: SparkSe
 
 def top_features(importance: DataFrame, top: int) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "feature").limit(top)
+
+
+def frozen_scorecard(
+    model: LogisticRegressionModel, data: PreparedData, version: str, threshold: float = 0.5
+) -> Scorecard:
+    """A fitted logistic model as an open scorecard, so it can be bundled, explained and compared."""
+    numerics = [f.raw for f in data.features if f.level is None]
+    kept: dict[str, list[str]] = {}
+    for f in data.features:
+        if f.level is not None:
+            kept.setdefault(f.raw, []).append(f.level)
+    return Scorecard(
+        version=version,
+        intercept=float(model.intercept),
+        numerics=tuple(numerics),
+        means={name: float(data.fitted.means[name]) for name in numerics},
+        deviations={name: float(data.fitted.deviations[name] or 1.0) for name in numerics},
+        levels={name: tuple(levels) for name, levels in kept.items()},
+        weights={f.name: float(w) for f, w in zip(data.features, model.coefficients.toArray())},
+        drop_first=False,
+        threshold=threshold,
+    )
+
+
+def score_with_model(
+    df: DataFrame, spec: ContractSpec, data: PreparedData, model: Model, key: str, threshold: float = 0.5
+) -> DataFrame:
+    """Contract, preparation and a fitted classifier of any kind: probability, percentage and label."""
+    clean = accepted(df, spec, [key])
+    rows = assemble(clean, data.fitted, data.features, [key])
+    probability = model_probability("probability", [0, 1])
+    scored = model.transform(rows).select(key, probability.alias(PROBABILITY))
+    return scored.withColumns(
+        {
+            "churn_pct": probability_percent(F.col(PROBABILITY)),
+            "prediction": decide(F.col(PROBABILITY), threshold),
+        }
+    )

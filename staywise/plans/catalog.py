@@ -626,6 +626,17 @@ def experiment_record(spark, folder):
     return spark.read.schema(record.schema).json(f"{path}/record")
 
 
+@job
+def trained_version_scores(spark, folder):
+    """A logistic model fitted on the mart, frozen into a bundle, loaded back and applied to every subscriber."""
+    path = fresh_path(spark, "trained")
+    data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS, drop_first=True)
+    model = training.logistic_model(1.0, data.train_rows).fit(data.train)
+    bundle.save_bundle(spark, training.frozen_scorecard(model, data, "v3"), path)
+    rows = scoring.with_tiers(scoring.with_score(clean(spark, folder), bundle.load_bundle(spark, path)))
+    return rows.select(ROLES.id, PROBABILITY, "prediction", "risk_level")
+
+
 @job
 def forest_importance(spark, folder):
     data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS)

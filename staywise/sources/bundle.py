@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
+from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staywise.operators.features import FittedPreparation
 from staywise.operators.scoring import Scorecard
 
 WEIGHTS = "feature string, raw_feature string, level string, mean double, deviation double, weight double"
@@ -91,6 +96,25 @@ def load_bundle(spark: SparkSession, path: str) -> Scorecard:
     )
 
 
+PREPARED = "medians string, modes string, means string, deviations string, levels string"
+
+
+def save_trained(spark: SparkSession, model: Model, fitted: FittedPreparation, path: str) -> None:
+    """A fitted classifier of any kind next to the statistics its inputs were prepared with."""
+    PipelineModel(stages=[model]).write().save(f"{path}/model")
+    row = [tuple(json.dumps(part) for part in asdict(fitted).values())]
+    spark.createDataFrame(row, PREPARED).coalesce(1).write.json(f"{path}/preparation")
+
+
+def load_trained(spark: SparkSession, path: str) -> tuple[Model, FittedPreparation]:
+    row = spark.read.schema(PREPARED).json(f"{path}/preparation").first()
+    if row is None:
+        raise BundleError(f"no model in {path}")
+    parts = {name: json.loads(row[name]) for name in row.asDict()}
+    parts["levels"] = {name: tuple(levels) for name, levels in parts["levels"].items()}
+    return PipelineModel.load(f"{path}/model").stages[0], FittedPreparation(**parts)
+
+
 def set_active(spark: SparkSession, folder: str, version: str) -> None:
     spark.createDataFrame([(version,)], "active_version string").coalesce(1).write.mode("overwrite").json(
         f"{folder}/active"

@@ -19,7 +19,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-LONG_RUNNING = ("searched_", "trained_models", "experiment_record", "forest_importance", "boosted_tree_attribution")
+LONG_RUNNING = ("searched_", "trained_", "experiment_record", "forest_importance", "boosted_tree_attribution")
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:

@@ -1,8 +1,12 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.ml.classification import LogisticRegression
 
-from staywise.operators import training
-from staywise.plans.mart import MART_DOMAINS, MART_ROLES, load_mart
+from staywise.operators import scoring, training
+from staywise.plans.mart import MART_CONTRACT, MART_DOMAINS, MART_ROLES, load_mart
+from staywise.session import fresh_path
+from staywise.sources import bundle
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +54,20 @@ def test_importance_needs_matching_names(spark, data):
     assert len(top) == 3 and top[0]["importance"] >= top[2]["importance"] >= 0
     with pytest.raises(ValueError):
         training.feature_importance(model, data.features[:-1], spark)
+
+
+def test_frozen_and_reloaded_models_score_alike(spark, small, data):
+    mart = load_mart(spark, small)
+    model = training.logistic_model(1.0, data.train_rows, 50).fit(data.train)
+    fitted = training.score_with_model(mart, MART_CONTRACT, data, model, "customerID")
+    frozen = scoring.score_batch(mart, MART_CONTRACT, training.frozen_scorecard(model, data, "v3"), ["customerID"])
+    assert scoring.batch_invariance(fitted, frozen, "customerID").first()["max_difference"] < 1e-9
+    tree = training.search_space("DecisionTreeClassifier", 10)[0].fit(data.train)
+    path = fresh_path(spark, "trained")
+    bundle.save_trained(spark, tree, data.fitted, path)
+    loaded, preparation = bundle.load_trained(spark, path)
+    assert preparation == data.fitted
+    again = training.score_with_model(mart, MART_CONTRACT, replace(data, fitted=preparation), loaded, "customerID")
+    first = training.score_with_model(mart, MART_CONTRACT, data, tree, "customerID")
+    row = scoring.batch_invariance(first, again, "customerID").first()
+    assert row["records"] == first.count() and row["max_difference"] == 0.0
