@@ -400,7 +400,7 @@ def full_report(scored: DataFrame, score: str, label: str) -> DataFrame:
         place = F.lit(None).cast("double") if item is None else F.col(item).cast("double")
         return table.select(F.lit(section).alias("section"), place.alias("item"), F.inline(cells))
 
-    sweep = threshold_sweep(scored, score, label)
+    sweep = stage(threshold_sweep(scored, score, label), "sweep")
     parts = [
         long(split_summary(scored, label), "split", None),
         long(sweep, "sweep", "threshold"),

@@ -26,6 +26,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staywise.functions.sql import array, number, struct, text
+from staywise.operators.explain import DECREASES, INCREASES
+from staywise.operators.ordering import fit_medians
 from staywise.operators.training import MARGIN_SCALE
 from staywise.session import fresh_path
 
@@ -196,7 +199,7 @@ def shallow_attributions(trees: Sequence[Tree], x: Callable[[int], Column], widt
 
 
 def deep_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, vector: str, width: int) -> DataFrame:
-    """(key, attributions) for trees too large for a lookup table, batch by batch.
+    """(key, x, attributions) for trees too large for a lookup table, batch by batch.
 
     Each batch evaluates a leaf only for the distinct condition patterns that
     occur in it.  Rows are independent, so nothing is shuffled.
@@ -214,28 +217,57 @@ def deep_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, vector:
                     met = _met(leaf, outcome.__getitem__, len(batch))
                     patterns, which = np.unique(met, axis=0, return_inverse=True)
                     total[:, list(leaf.ratios)] += leaf_shares(leaf, patterns)[which.reshape(-1)]
-            yield pd.DataFrame({key: batch[key], "attributions": list(total)})
+            yield pd.DataFrame({key: batch[key], "x": batch["x"], "attributions": list(total)})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, vector_to_array(vector).alias("x")).mapInPandas(
-        explain, f"`{key}` {kind}, attributions array<double>"
+        explain, f"`{key}` {kind}, x array<double>, attributions array<double>"
     )
 
 
 def tree_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, vector: str, width: int) -> DataFrame:
-    """(key, attributions) of assembled rows; lookup expressions where every tree is shallow enough."""
+    """(key, x, attributions) of assembled rows; lookup expressions where every tree is shallow enough."""
     if all(len(tree.splits) <= MASK_BITS for tree in trees):
         vectors = rows.select(key, vector_to_array(vector).alias("x"))
-        return vectors.select(key, shallow_attributions(trees, lambda i: F.col("x")[i], width).alias("attributions"))
+        return vectors.select(key, "x", shallow_attributions(trees, lambda i: F.col("x")[i], width).alias("attributions"))
     return deep_attributions(rows, trees, key, vector, width)
 
 
-def importance_from_attributions(attributions: DataFrame, names: Sequence[str]) -> DataFrame:
+def importance_from_attributions(explained: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean magnitude per feature in one pass."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(name).alias("feature"), F.avg(F.abs(F.col("attributions")[i])).alias("mean_abs_contribution"))
-            for i, name in enumerate(names)
-        ]
+    cells = array(
+        struct({"feature": text(name), "mean_abs_contribution": f"avg(abs(attributions[{i}]))"})
+        for i, name in enumerate(names)
+    )
+    return explained.agg(F.expr(cells).alias("cells")).select(F.inline("cells"))
+
+
+def direction_from_attributions(explained: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Mean attribution while a feature is active: indicator at 1, or number above its median; else 0."""
+    columns = explained.select(*[F.col("x")[i].alias(f"x{i}") for i in range(len(names))])
+    ranges = columns.select(
+        *[F.expr(f"min(x{i}) = 0 AND max(x{i}) = 1 AND count_if(x{i} NOT IN (0D, 1D)) = 0").alias(f"b{i}") for i in range(len(names))]
+    ).first()
+    numbers = [i for i in range(len(names)) if not ranges[f"b{i}"]]
+    medians = fit_medians(columns, [f"x{i}" for i in numbers]) if numbers else {}
+    cells = []
+    for i, name in enumerate(names):
+        active = f"x[{i}] = 1" if ranges[f"b{i}"] else f"x[{i}] > {number(medians.get(f'x{i}', 0.0))}"
+        effect = f"coalesce(avg(CASE WHEN {active} THEN attributions[{i}] END), 0D)"
+        cells.append(struct({"feature": text(name), "active_effect": effect}))
+    effects = explained.agg(F.expr(array(cells)).alias("cells")).select(F.inline("cells"))
+    return effects.withColumn("direction", F.when(F.col("active_effect") > 0, INCREASES).otherwise(DECREASES))
+
+
+def ranked_attributions(explained: DataFrame, names: Sequence[str], key: str, top: int | None = None) -> DataFrame:
+    """Long form, largest magnitude first within each row, the name deciding a tie."""
+    items = array(
+        struct(
+            {"order": f"-abs(attributions[{i}])", "feature": text(name), "contribution": f"attributions[{i}]", "value": f"x[{i}]"}
+        )
+        for i, name in enumerate(names)
+    )
+    ordered = f"sort_array({items})" if top is None else f"slice(sort_array({items}), 1, {int(top)})"
+    return explained.select(key, F.posexplode(F.expr(ordered)).alias("position", "item")).select(
+        key, (F.col("position") + 1).cast("bigint").alias("rank"), "item.feature", "item.value", "item.contribution"
     )
-    return attributions.agg(cells.alias("cells")).select(F.inline("cells"))

@@ -972,14 +972,14 @@ def fixed_tree_attribution(spark, folder):
 
 @job
 def boosted_tree_attribution(spark, folder):
-    """Mean magnitude per feature and the largest reconstruction error of a boosted ensemble fitted on the mart."""
+    """Importance and direction of every feature of a boosted ensemble fitted on the mart."""
     data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS)
     estimator = training.search_space(training.MODEL_NAMES[3], data.train_rows)[0].copy().setMaxIter(50).setStepSize(0.1)
     model = estimator.fit(data.train)
     ensemble = trees.read_trees(model)
     names = [f.name for f in data.features]
-    found = trees.tree_attributions(data.test, ensemble, ROLES.id, "features", len(names))
-    return trees.importance_from_attributions(found, names)
+    found = stage(trees.tree_attributions(data.test, ensemble, ROLES.id, "features", len(names)), "attributions")
+    return trees.importance_from_attributions(found, names).join(trees.direction_from_attributions(found, names), "feature")
 
 
 # --- version comparison ----------------------------------------------------

@@ -22,10 +22,17 @@ TABLES = (
 LONG_RUNNING = ("searched_", "trained_", "experiment_record", "forest_importance", "boosted_tree_attribution")
 
 
+def source(folder: str, table: str) -> str:
+    path = Path(f"{folder}/{table}.parquet")
+    return f"{path}/*.parquet" if path.is_dir() else str(path)
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for table in TABLES:
-        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        if not Path(f"{folder}/{table}.parquet").exists():
+            continue
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{source(folder, table)}')")
     return connection
 
 

@@ -82,7 +82,18 @@ def test_lookup_and_batched_forms_agree(spark, numbers):
     ensemble = trees.read_trees(GBTClassifier(maxIter=4, maxDepth=3, seed=2).fit(numbers))
     lookup = trees.tree_attributions(numbers, ensemble, "id", "features", 4)
     batched = trees.deep_attributions(numbers, ensemble, "id", "features", 4)
-    joined = lookup.join(batched.withColumnRenamed("attributions", "b"), "id")
+    joined = lookup.join(batched.select("id", F.col("attributions").alias("b")), "id")
+    names = ["a", "b", "c", "d"]
+    ranked = trees.ranked_attributions(lookup, names, "id").toPandas()
+    assert len(ranked) == 1600 and set(ranked["rank"]) == {1, 2, 3, 4}
+    first = ranked[ranked["id"] == 3].sort_values("rank")["contribution"].abs()
+    assert first.is_monotonic_decreasing
+    local = lookup.toPandas()
+    x, phi = np.stack(local["x"]), np.stack(local["attributions"])
+    for row in trees.direction_from_attributions(lookup, names).collect():
+        i = names.index(row["feature"])
+        active = x[:, i] > np.median(x[:, i])
+        assert row["active_effect"] == pytest.approx(phi[active, i].mean(), abs=1e-9)
     worst = joined.select(
         F.max(F.array_max(F.zip_with("attributions", "b", lambda a, b: F.abs(a - b))))
     ).first()[0]
