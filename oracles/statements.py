@@ -19,7 +19,6 @@ from oracles.base import (
     div,
     exact,
     feature_value,
-    findings,
     flag,
     in_domain,
     margin,

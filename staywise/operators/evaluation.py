@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import ratio
-from staywise.functions.sql import array, number, quoted, struct, text
+from staywise.functions.sql import array, number, quoted, struct
 from staywise.operators.ordering import ROWS_PER_SLICE, numbered, running_totals
 from staywise.session import stage
 

@@ -98,7 +98,9 @@ def prepare(df: DataFrame, roles: ColumnRoles, levels: dict[str, tuple[str, ...]
     features = feature_list(roles.numerics, levels, drop_first)
     folded = stratified_folds(train_raw, roles.id, roles.target, FOLDS, SEED + 1)
     carry = [roles.id, "label", "fold"]
-    train = stage(assemble(folded, fitted, features, carry), "train")
+    # Bootstrap draws follow the row order, so it is fixed: the same table gives the same models.
+    ordered = assemble(folded, fitted, features, carry).repartition(roles.id).sortWithinPartitions(roles.id)
+    train = stage(ordered, "train")
     test = stage(assemble(split.where("is_test"), fitted, features, carry[:2]), "test")
     return PreparedData(train, test, tuple(features), fitted, train.count())
 
@@ -220,6 +222,22 @@ def train_legacy(data: PreparedData, key: str) -> tuple[DataFrame, DataFrame, di
     return rounded, best, models
 
 
+def experiment_record(data: PreparedData, candidates: Sequence[Candidate], key: str) -> tuple[DataFrame, Candidate]:
+    """One row per classifier: settings, cross-validated score, test metrics, champion flag.
+
+    The champion is chosen on the cross-validated score; test rows are scored once, afterwards.
+    """
+    spark = data.train.sparkSession
+    scores = spark.createDataFrame(
+        [(c.name, c.settings, c.mean_auc, c.std_auc) for c in candidates],
+        "model string, settings string, mean_roc_auc double, std_roc_auc double",
+    )
+    chosen = select_champion(scores).first()["model"]
+    metrics = test_metrics(score_models({c.name: c.model for c in candidates}, data.test, key))
+    record = scores.join(metrics, "model").withColumn("champion", F.col("model") == chosen)
+    return record, next(c for c in candidates if c.name == chosen)
+
+
 def select_champion(candidates: DataFrame) -> DataFrame:
     """Highest mean cross-validated ROC-AUC; the test rows take no part."""
     return champion(candidates, "mean_roc_auc")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.functions.expressions import flag_number, is_positive, label_strict, logistic, slot, to_number
+from staywise.functions.expressions import flag_number, is_positive, label_strict, logistic, to_number
 from staywise.operators import (
     compare,
     contract,
@@ -569,60 +569,64 @@ def scorecard_importance(spark, folder):
     return training.top_features(importance.join(touched, "feature"), 10)
 
 
+_prepared: dict[tuple[str, str, bool], training.PreparedData] = {}
+_searches: dict[tuple[str, str, str], tuple[DataFrame, training.Candidate]] = {}
+
+
+def prepared(spark, folder, drop_first=False) -> training.PreparedData:
+    """Assembled training and test rows, prepared once per application and folder."""
+    key = (spark.sparkContext.applicationId, folder, drop_first)
+    if key not in _prepared:
+        _prepared[key] = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS, drop_first)
+    return _prepared[key]
+
+
+def searched(spark, folder, name) -> tuple[DataFrame, training.Candidate]:
+    """One classifier's grid search, run once per application and folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _searches:
+        _searches[key] = training.search(prepared(spark, folder), name)
+    return _searches[key]
+
+
 @job
 def trained_models(spark, folder):
     """The four classifiers at fixed settings, their test metrics and the F1 champion."""
-    data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS, drop_first=True)
-    metrics, best, _ = training.train_legacy(data, ROLES.id)
+    metrics, best, _ = training.train_legacy(prepared(spark, folder, drop_first=True), ROLES.id)
     return metrics.join(best.select("model", F.lit(True).alias("best")), "model", "left").withColumn(
         "best", F.coalesce("best", F.lit(False))
     )
 
 
-def _searched(spark, folder, name):
-    data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS)
-    table, _ = training.search(data, name)
-    return table
-
-
 @job
 def searched_logistic(spark, folder):
-    return _searched(spark, folder, training.MODEL_NAMES[0])
+    return searched(spark, folder, training.MODEL_NAMES[0])[0]
 
 
 @job
 def searched_decision_tree(spark, folder):
-    return _searched(spark, folder, training.MODEL_NAMES[1])
+    return searched(spark, folder, training.MODEL_NAMES[1])[0]
 
 
 @job
 def searched_random_forest(spark, folder):
-    return _searched(spark, folder, training.MODEL_NAMES[2])
+    return searched(spark, folder, training.MODEL_NAMES[2])[0]
 
 
 @job
 def searched_gradient_boosting(spark, folder):
-    return _searched(spark, folder, training.MODEL_NAMES[3])
+    return searched(spark, folder, training.MODEL_NAMES[3])[0]
 
 
 @job
 def experiment_record(spark, folder):
-    """Search two classifiers, write scores, metrics and the winning model, read the record back."""
+    """All four searches; scores, test metrics and the winning model are written, the record read back."""
     path = fresh_path(spark, "experiment")
-    data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS)
-    found = [training.search(data, name) for name in training.MODEL_NAMES[:2]]
-    candidates = {c.name: c for _, c in found}
-    scores = spark.createDataFrame(
-        [(c.name, c.settings, c.mean_auc, c.std_auc) for c in candidates.values()],
-        "model string, settings string, mean_roc_auc double, std_roc_auc double",
-    )
-    chosen = training.select_champion(scores).first()["model"]
-    metrics = training.test_metrics(
-        training.score_models({name: c.model for name, c in candidates.items()}, data.test, ROLES.id)
-    )
-    record = scores.join(metrics, "model").withColumn("champion", F.col("model") == chosen)
+    data = prepared(spark, folder)
+    candidates = [searched(spark, folder, name)[1] for name in training.MODEL_NAMES]
+    record, best = training.experiment_record(data, candidates, ROLES.id)
     record.write.json(f"{path}/record")
-    candidates[chosen].model.write().save(f"{path}/champion")
+    bundle.save_trained(spark, best.model, data.fitted, f"{path}/champion")
     return spark.read.schema(record.schema).json(f"{path}/record")
 
 
@@ -630,7 +634,7 @@ def experiment_record(spark, folder):
 def trained_version_scores(spark, folder):
     """A logistic model fitted on the mart, frozen into a bundle, loaded back and applied to every subscriber."""
     path = fresh_path(spark, "trained")
-    data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS, drop_first=True)
+    data = prepared(spark, folder, drop_first=True)
     model = training.logistic_model(1.0, data.train_rows).fit(data.train)
     bundle.save_bundle(spark, training.frozen_scorecard(model, data, "v3"), path)
     rows = scoring.with_tiers(scoring.with_score(clean(spark, folder), bundle.load_bundle(spark, path)))
@@ -639,7 +643,7 @@ def trained_version_scores(spark, folder):
 
 @job
 def forest_importance(spark, folder):
-    data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS)
+    data = prepared(spark, folder)
     model = training.search_space(training.MODEL_NAMES[2], data.train_rows)[0].copy().setNumTrees(50).setMaxDepth(5).fit(data.train)
     return training.top_features(training.feature_importance(model, data.features, spark), 10)
 
@@ -973,7 +977,7 @@ def fixed_tree_attribution(spark, folder):
 @job
 def boosted_tree_attribution(spark, folder):
     """Importance and direction of every feature of a boosted ensemble fitted on the mart."""
-    data = training.prepare(load_mart(spark, folder), ROLES, MART_DOMAINS)
+    data = prepared(spark, folder)
     estimator = training.search_space(training.MODEL_NAMES[3], data.train_rows)[0].copy().setMaxIter(50).setStepSize(0.1)
     model = estimator.fit(data.train)
     ensemble = trees.read_trees(model)

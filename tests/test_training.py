@@ -71,3 +71,13 @@ def test_frozen_and_reloaded_models_score_alike(spark, small, data):
     first = training.score_with_model(mart, MART_CONTRACT, data, tree, "customerID")
     row = scoring.batch_invariance(first, again, "customerID").first()
     assert row["records"] == first.count() and row["max_difference"] == 0.0
+
+
+def test_training_is_repeatable(spark, small, data):
+    mart = load_mart(spark, small)
+    again = training.prepare(mart.repartition(5, "Segment"), MART_ROLES, MART_DOMAINS)
+    forest = training.search_space("RandomForestClassifier", 10)[0].copy().setNumTrees(5)
+    first, second = forest.fit(data.train), forest.fit(again.train)
+    left = training.scored_with(first, data.test, "a", "customerID").select("customerID", "score")
+    right = training.scored_with(second, again.test, "b", "customerID").select("customerID", "score")
+    assert left.exceptAll(right).count() == 0
