@@ -149,7 +149,7 @@ def exact_auc() -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
 
 
-def search(data: PreparedData, name: str, parallelism: int = 4) -> tuple[DataFrame, Candidate]:
+def search(data: PreparedData, name: str, parallelism: int = 8) -> tuple[DataFrame, Candidate]:
     """Grid search over the fold column; returns every setting's score and the refitted winner."""
     spark = data.train.sparkSession
     fold_rows = round(data.train_rows * (FOLDS - 1) / FOLDS)

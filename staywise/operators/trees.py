@@ -271,3 +271,30 @@ def ranked_attributions(explained: DataFrame, names: Sequence[str], key: str, to
     return explained.select(key, F.posexplode(F.expr(ordered)).alias("position", "item")).select(
         key, (F.col("position") + 1).cast("bigint").alias("rank"), "item.feature", "item.value", "item.contribution"
     )
+
+
+def attribution_change(before: DataFrame, after: DataFrame, names: Sequence[str], key: str, top: int = 5) -> DataFrame:
+    """Features whose attribution moves most between two states of the same rows, matched on the unique key."""
+    old = before.select(key, F.col("attributions").alias("old"))
+    new = after.select(key, F.col("attributions").alias("new"))
+    items = array(
+        struct(
+            {
+                "order": f"-abs(new[{i}] - old[{i}])",
+                "feature": text(name),
+                "baseline_contribution": f"old[{i}]",
+                "simulated_contribution": f"new[{i}]",
+                "delta": f"new[{i}] - old[{i}]",
+            }
+        )
+        for i, name in enumerate(names)
+    )
+    ordered = F.expr(f"slice(sort_array({items}), 1, {int(top)})")
+    return old.join(new, key).select(key, F.posexplode(ordered).alias("position", "item")).select(
+        key,
+        (F.col("position") + 1).cast("bigint").alias("rank"),
+        "item.feature",
+        "item.baseline_contribution",
+        "item.simulated_contribution",
+        "item.delta",
+    )

@@ -125,3 +125,20 @@ def test_signs_and_order(spark, small):
     sample = catalog._sample(spark, small)
     mean = explain.explain_rows(sample, SCORECARD_V1, reference, "customerID").groupBy("feature").agg(F.avg("contribution").alias("m"))
     assert mean.agg(F.max(F.abs("m"))).first()[0] < 1e-8
+
+
+def test_tree_attribution_change_accounts_for_the_score(spark, numbers):
+    model = GBTClassifier(maxIter=4, maxDepth=3, seed=3).fit(numbers)
+    ensemble = trees.read_trees(model)
+    moved = VectorAssembler(inputCols=[f"x{i}" for i in range(4)], outputCol="features").transform(
+        numbers.drop("features").withColumn("x0", F.lit(0.0))
+    )
+    before = trees.tree_attributions(numbers, ensemble, "id", "features", 4)
+    after = trees.tree_attributions(moved, ensemble, "id", "features", 4)
+    changes = trees.attribution_change(before, after, ["a", "b", "c", "d"], "id", 4)
+    total = changes.groupBy("id").agg(F.sum("delta").alias("delta"))
+    margin = lambda rows, name: model.transform(rows).select("id", vector_to_array("rawPrediction")[1].alias(name))
+    joined = total.join(margin(numbers, "m0"), "id").join(margin(moved, "m1"), "id")
+    # The raw prediction is the margin F; attributions live in log-odds, 2F.
+    assert joined.count() == 400
+    assert joined.agg(F.max(F.abs(F.col("delta") - 2 * (F.col("m1") - F.col("m0"))))).first()[0] < 1e-9
