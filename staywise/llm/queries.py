@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import byte_bpe, exact_dedup, fingerprints, licences, line_dedup, mixing, simhash_dedup, token_counts, toxicity
+from staywise.llm import byte_bpe, exact_dedup, fingerprints, licences, line_dedup, mixing, simhash_dedup, suffix_dedup, token_counts, toxicity
 from staywise.llm.common import load
 
 #: Tokenizer files are parameters; these are the ones the queries use.
@@ -26,6 +26,18 @@ def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
     return toxicity.fit(load(spark, folder), labels)
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(load(spark, folder))
+    removed = F.aggregate(F.arrays_zip("starts", "stops"), F.lit(0).cast("bigint"), lambda n, run: n + run["stops"] - run["starts"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(load(spark, folder), toxicity_model(spark, folder))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
