@@ -197,12 +197,13 @@ taken AS (
   FROM feed WHERE customerID NOT IN (SELECT customerID FROM bad))"""
 )
 
-SLOT = "((customerID % 10007) * 7919 + 42) % 10007"
+SPLIT_ORDER = "md5(customerID::VARCHAR || ':42'), customerID"
+SAMPLE_ORDER = "md5(customerID::VARCHAR || ':42:sample'), customerID"
 
 SPLIT = (
     MART
     + f""",
-placed AS (SELECT *, row_number() OVER (PARTITION BY Churn ORDER BY {SLOT}, customerID) AS rn,
+placed AS (SELECT *, row_number() OVER (PARTITION BY Churn ORDER BY {SPLIT_ORDER}) AS rn,
     count(*) OVER (PARTITION BY Churn) AS size FROM mart),
 split AS (SELECT *, rn <= round(0.2::DOUBLE * size) AS is_test FROM placed),
 train AS (SELECT * FROM split WHERE NOT is_test)"""
@@ -213,7 +214,7 @@ def background_cte(card, source: str = "clean") -> str:
     means = ", ".join(f"avg({feature_value(card, f)}) AS m{i}" for i, f in enumerate(card.features))
     base = " + ".join(f"{dbl(card.weights[f.name])} * m{i}" for i, f in enumerate(card.features))
     return f""",
-sampled AS (SELECT * FROM {source} ORDER BY {SLOT}, customerID LIMIT 200),
+sampled AS (SELECT * FROM {source} ORDER BY {SAMPLE_ORDER} LIMIT 200),
 means AS (SELECT {means} FROM sampled),
 base AS (SELECT {dbl(card.intercept)} + {base} AS base FROM means)"""
 

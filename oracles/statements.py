@@ -11,7 +11,7 @@ from oracles.base import (
     FEED_FOUND,
     MART,
     RULES,
-    SLOT,
+    SAMPLE_ORDER,
     SPLIT,
     background_cte,
     contribution_rows,
@@ -655,7 +655,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, le
   WHEN tenure < mt THEN 'Trial Churners' ELSE 'Stable Budget Anchors' END AS quadrant, count(*) AS customers, {CHURN_RATE} AS churn_rate_pct,
   {money('sum(MonthlyCharges)')} AS mrr FROM mart, mid WHERE MonthlyCharges IS NOT NULL GROUP BY 1"""),
     )
-    sql("seeded_sample", with_(MART, f"SELECT customerID, Contract, Churn FROM mart ORDER BY {SLOT}, customerID LIMIT 200"))
+    sql("seeded_sample", with_(MART, f"SELECT customerID, Contract, Churn FROM mart ORDER BY {SAMPLE_ORDER} LIMIT 200"))
 
     # --- features and models
     sql("stratified_split", with_(SPLIT, "SELECT customerID, Churn, is_test FROM split"))

@@ -19,9 +19,6 @@ FLAG_ALIASES = {
 PLAIN_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_TOKEN = "^[+-]?(?i:inf|infinity)$"
 
-SLOTS = 10007
-SLOT_STEP = 7919
-
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division that yields 0 where the denominator is 0 or nothing was summed."""
@@ -92,10 +89,9 @@ def flag_number(name: str, aliases: Mapping[str, int] = FLAG_ALIASES) -> Column:
     return F.expr(flag_sql(name, aliases))
 
 
-def slot(name: str, kind: T.DataType, seed: int) -> Column:
-    """Deterministic pseudo-random slot in [0, 10007) of an identifier."""
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
-        number = F.pmod(F.col(name).cast("bigint"), F.lit(SLOTS).cast("bigint"))
-    else:
-        number = F.pmod(F.xxhash64(F.col(name)), F.lit(SLOTS).cast("bigint"))
-    return F.pmod(number * SLOT_STEP + seed, F.lit(SLOTS).cast("bigint"))
+def shuffled(name: str, seed: int, purpose: str = "") -> Column:
+    """Digest of an identifier and a seed: sorting by it is a repeatable random order.
+
+    Different seeds, and different purposes under one seed, give unrelated orders.
+    """
+    return F.md5(F.concat(F.col(name).cast("string"), F.lit(f":{seed}{purpose}")))

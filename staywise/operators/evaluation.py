@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from staywise.functions.expressions import ratio
 from staywise.functions.sql import array, number, quoted, struct
-from staywise.operators.ordering import ROWS_PER_SLICE, numbered, running_totals
+from staywise.operators.ordering import numbered, running_totals
 from staywise.session import stage
 
 # Evaluated thresholds, precision floors, calibration bins.
@@ -82,10 +82,10 @@ def score_counts(scored: DataFrame, score: str, label: str, by: Sequence[str] =
     return stage(counted, "scores")
 
 
-def score_steps(counted: DataFrame, by: Sequence[str] = (), rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def score_steps(counted: DataFrame, by: Sequence[str] = (), slices: int | None = None) -> DataFrame:
     """Staged counts with the running tp / fp from the highest score down."""
     steps = running_totals(
-        counted, "score", ["pos", "neg"], by, descending=True, rows_per_slice=rows_per_slice, staged=True
+        counted, "score", ["pos", "neg"], by, descending=True, slices=slices, staged=True
     )
     return steps.withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
 
@@ -100,7 +100,7 @@ def roc_curve(
     score: str,
     label: str,
     drop_collinear: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """(threshold, fpr, tpr) with the (0, 0) start point, whose threshold is NULL.
 
@@ -110,10 +110,10 @@ def roc_curve(
     """
     counted = score_counts(scored, score, label)
     positives, negatives = class_totals(counted)
-    steps = score_steps(counted, rows_per_slice=rows_per_slice)
+    steps = score_steps(counted, slices=slices)
     if drop_collinear:
         ranked = stage(
-            numbered(steps.withColumn("_k", -F.col("score")), "_k", "rank", rows_per_slice).drop("_k"), "ranked"
+            numbered(steps.withColumn("_k", -F.col("score")), "_k", "rank", slices).drop("_k"), "ranked"
         )
         following = ranked.select(
             (F.col("rank") - 1).alias("rank"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg")
@@ -137,12 +137,12 @@ def roc_curve(
 
 
 def precision_recall_curve(
-    scored: DataFrame, score: str, label: str, rows_per_slice: int = ROWS_PER_SLICE
+    scored: DataFrame, score: str, label: str, slices: int | None = None
 ) -> DataFrame:
     """(threshold, precision, recall) with the (recall 0, precision 1) end point."""
     counted = score_counts(scored, score, label)
     positives, _ = class_totals(counted)
-    points = score_steps(counted, rows_per_slice=rows_per_slice).select(
+    points = score_steps(counted, slices=slices).select(
         F.round("score", DIGITS).alias("threshold"),
         F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), DIGITS).alias("precision"),
         F.round(ratio(F.col("tp"), F.lit(positives)), DIGITS).alias("recall"),
@@ -158,7 +158,7 @@ def ranking_summary(
     score: str,
     label: str,
     by: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Tie-aware ROC-AUC and average precision (step-wise, not trapezoidal) per group.
 
@@ -166,7 +166,7 @@ def ranking_summary(
     ranked above them, tie with half of their own positives, and its positives
     add precision weighted by their share.
     """
-    steps = score_steps(score_counts(scored, score, label, by), by, rows_per_slice)
+    steps = score_steps(score_counts(scored, score, label, by), by, slices)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     sums = steps.groupBy(*by).agg(
         F.sum("pos").alias("positives"),

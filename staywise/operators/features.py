@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staywise.functions.expressions import slot
+from staywise.functions.expressions import shuffled
 from staywise.functions.sql import array, literal, number, quoted, struct, text
 from staywise.operators.ordering import fit_medians
 from staywise.operators.portfolio import long_levels
@@ -136,17 +136,26 @@ def feature_totals(encoded: DataFrame, features: Sequence[Feature]) -> DataFrame
     return encoded.agg(F.expr(cells).alias("cells")).select(F.inline("cells"))
 
 
+#: Hex digits of the shuffled order that make a slot; a stratum has at most 65,536.
+SLOT_DIGITS = 4
+#: A stratum becomes a branch of the split, so there must be few.
+MOST_STRATA = 256
+
+
 def cut_points(df: DataFrame, key: str, stratum: str, shares: Sequence[float], seed: int) -> list[dict]:
-    """Where each stratum's (slot, key) order must be cut to hold the given cumulative shares.
+    """Where each stratum's shuffled order must be cut to hold the given cumulative shares.
 
-    Slots are counted first (at most 10007 per stratum); only the rows of the
-    slots a cut falls into are ordered, so no task ever sorts a whole stratum.
+    Slots of that order are counted first; only the rows of the slots a cut
+    falls into are sorted, so no task ever sorts a whole stratum.
     """
-    kind = df.schema[key].dataType
     slotted = df.where(F.col(stratum).isNotNull()).select(
-        F.col(stratum).alias("stratum"), F.col(key).alias("key"), slot(key, kind, seed).alias("slot")
+        F.col(stratum).alias("stratum"), F.col(key).alias("key"), shuffled(key, seed).alias("place")
     )
+    slotted = slotted.withColumn("slot", F.substring("place", 1, SLOT_DIGITS))
     counts = stage(slotted.groupBy("stratum", "slot").agg(F.count("*").alias("n")), "slots")
+    strata = [row["stratum"] for row in counts.select("stratum").distinct().limit(MOST_STRATA + 1).collect()]
+    if len(strata) > MOST_STRATA:
+        raise ValueError(f"{stratum} has more than {MOST_STRATA} values; a stratified split needs few")
     along = Window.partitionBy("stratum").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy("stratum")
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)]))
@@ -159,17 +168,19 @@ def cut_points(df: DataFrame, key: str, stratum: str, shares: Sequence[float], s
     )
     last = (
         slotted.join(stage(at_cut, "cuts"), ["stratum", "slot"])
-        .withColumn("position", F.row_number().over(Window.partitionBy("stratum", "slot", "cut").orderBy("key")))
+        .withColumn("position", F.row_number().over(Window.partitionBy("stratum", "slot", "cut").orderBy("place", "key")))
         .where(F.col("position") == F.col("within"))
-        .select("stratum", "slot", "key", "cut")
+        .select("stratum", "place", "key", "cut")
     )
-    found = [row.asDict() for row in last.collect()]
+    found = [row.asDict() for row in last.collect()]  # one row per stratum and cut
     # A share that rounds to no rows has no last row: the cut lies before everything.
     placed = {(cut["stratum"], cut["cut"]) for cut in found}
-    for row in counts.select("stratum").distinct().collect():
-        for cut in range(len(shares)):
-            if (row["stratum"], cut) not in placed:
-                found.append({"stratum": row["stratum"], "cut": cut, "slot": -1, "key": None})
+    found += [
+        {"stratum": name, "cut": cut, "place": "", "key": None}
+        for name in strata
+        for cut in range(len(shares))
+        if (name, cut) not in placed
+    ]
     return found
 
 
@@ -180,13 +191,13 @@ def stratified_part(df: DataFrame, key: str, stratum: str, shares: Sequence[floa
     projection: no shuffle and the same answer for a row in any batch layout.
     """
     cuts = cut_points(df, key, stratum, shares, seed)
-    here = F.struct(slot(key, df.schema[key].dataType, seed).alias("slot"), F.col(key).alias("key"))
+    here = F.struct(shuffled(key, seed).alias("place"), F.col(key).alias("key"))
     part = F.lit(0)
     for cut in cuts:
         if cut["key"] is None:
             part = part + F.when(F.col(stratum) == cut["stratum"], 1).otherwise(0)
             continue
-        at = F.struct(F.lit(cut["slot"]).cast("bigint").alias("slot"), F.lit(cut["key"]).cast(df.schema[key].dataType).alias("key"))
+        at = F.struct(F.lit(cut["place"]).alias("place"), F.lit(cut["key"]).cast(df.schema[key].dataType).alias("key"))
         part = part + F.when((F.col(stratum) == cut["stratum"]) & (here > at), 1).otherwise(0)
     return df.where(F.col(stratum).isNotNull()).withColumn(name, part)
 

@@ -3,7 +3,8 @@
 Spark's own ``median`` / ``percentile`` keep every distinct value in one
 aggregation buffer, and an unpartitioned window sorts everything in one task.
 Here values are first reduced to distinct rows, then running totals are formed
-per range slice and shifted by the totals of the slices before.
+per range slice and shifted by the totals of the slices before.  There is one
+path, whatever the size.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 from staywise.functions.sql import array, number, quoted, struct, text
 from staywise.session import stage
 
-ROWS_PER_SLICE = 1_000_000
-
 
 def running_totals(
     counted: DataFrame,
@@ -25,25 +24,20 @@ def running_totals(
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
     staged: bool = False,
 ) -> DataFrame:
     """Add ``upto_<sum>`` columns: inclusive running totals along ``order`` per group.
 
-    ``counted`` holds one row per (``by``, ``order``).  It is staged unless it
-    already is; when its counted size fits one slice a plain window is enough, otherwise rows are
-    range-partitioned into slices of about ``rows_per_slice`` rows.
+    ``counted`` holds one row per (``by``, ``order``) and is staged unless it
+    already is.  Rows are range-partitioned into ``slices`` (as many as the
+    session's shuffle partitions), whatever their number: totals run inside a
+    slice and are shifted by the totals of the slices before.
     """
     by = list(by)
     counted = counted if staged else stage(counted, "counted")
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    slices = -(-counted.count() // rows_per_slice)
-    if slices <= 1:
-        upto = Window.partitionBy(*by).orderBy(direction).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return counted.select("*", *[F.sum(name).over(upto).alias(f"upto_{name}") for name in sums])
-
+    slices = slices or int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stage(
         counted.repartitionByRange(slices, *[F.col(name) for name in by], direction).withColumn(
             "_slice", F.spark_partition_id()
@@ -68,7 +62,7 @@ def running_totals(
         matches = matches & (F.col(name) == F.col(f"_by_{name}"))
     return (
         ranged.select("*", *[F.sum(name).over(inside).alias(f"_i_{name}") for name in sums])
-        .join(stage(offsets, "offsets"), matches)
+        .join(offsets, matches)
         .select(
             *[F.col(name) for name in counted.columns],
             *[(F.col(f"_i_{name}") + F.col(f"_o_{name}")).alias(f"upto_{name}") for name in sums],
@@ -76,12 +70,10 @@ def running_totals(
     )
 
 
-def numbered(df: DataFrame, key: str, name: str = "row", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str = "row", slices: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 along a unique key; only the key is shuffled to number it."""
     keys = df.select(F.col(key).alias("_key"), F.lit(1).cast("bigint").alias("one"))
-    ranks = running_totals(keys, "_key", ["one"], rows_per_slice=rows_per_slice).select(
-        "_key", F.col("upto_one").alias(name)
-    )
+    ranks = running_totals(keys, "_key", ["one"], slices=slices).select("_key", F.col("upto_one").alias(name))
     return df.join(ranks, F.col(key) == F.col("_key")).drop("_key")
 
 
@@ -100,23 +92,11 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 
 
 def quantiles_of(
-    counted: DataFrame,
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    counted: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), slices: int | None = None
 ) -> DataFrame:
-    """Linearly interpolated quantiles of staged value counts.
-
-    While the counted distinct values fit one slice, Spark's exact ``percentile``
-    holds them in its buffer; beyond that the ranks are found with running totals.
-    """
+    """Linearly interpolated quantiles of staged value counts, from ranks found with running totals."""
     groups = [*by, "feature"]
-    if counted.count() <= rows_per_slice:
-        listed = array(number(p) for p in probabilities)
-        held = counted.groupBy(*groups).agg(F.expr(f"percentile(value, {listed}, n)").alias("found"))
-        pairs = F.arrays_zip(F.expr(listed).alias("probability"), F.col("found").alias("quantile"))
-        return held.select(*groups, F.inline(pairs).alias("probability", "quantile"))
-    ranked = running_totals(counted, "value", ["n"], groups, rows_per_slice=rows_per_slice, staged=True)
+    ranked = running_totals(counted, "value", ["n"], groups, slices=slices, staged=True)
     low, high = F.floor("position"), F.ceil("position")
 
     def covers(rank: Column) -> Column:
@@ -133,11 +113,13 @@ def quantiles_of(
     picked = ranked.join(wanted, groups).where(covers(low) | covers(high))
     below = F.max(F.when(covers(low), F.col("value")))
     above = F.max(F.when(covers(high), F.col("value")))
-    step = F.col("position") - F.floor("position")
+    # Weights of both neighbours, so that equal neighbours give exactly their value.
+    weighed = (high - F.col("position")) * F.col("below") + (F.col("position") - low) * F.col("above")
+    quantile = F.when(F.col("below") == F.col("above"), F.col("below")).otherwise(weighed)
     return (
         picked.groupBy(*groups, "probability", "position")
         .agg(below.alias("below"), above.alias("above"))
-        .select(*groups, "probability", (F.col("below") + (F.col("above") - F.col("below")) * step).alias("quantile"))
+        .select(*groups, "probability", quantile.alias("quantile"))
     )
 
 
@@ -146,13 +128,13 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """(by…, feature, probability, quantile) of the measured columns."""
-    return quantiles_of(value_counts(df, columns, by), probabilities, by, rows_per_slice)
+    return quantiles_of(value_counts(df, columns, by), probabilities, by, slices)
 
 
-def fit_medians(df: DataFrame, columns: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> dict[str, float]:
+def fit_medians(df: DataFrame, columns: Sequence[str], slices: int | None = None) -> dict[str, float]:
     """Medians as fitted numbers: one per named column, so the result is small by construction."""
-    rows = exact_quantiles(df, columns, [0.5], rows_per_slice=rows_per_slice).collect()
+    rows = exact_quantiles(df, columns, [0.5], slices=slices).collect()
     return {row["feature"]: row["quantile"] for row in rows}

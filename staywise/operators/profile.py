@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staywise.functions.expressions import is_missing, slot
+from staywise.functions.expressions import is_missing, shuffled
 from staywise.functions.sql import array, number, quoted, struct, text
 from staywise.operators.ordering import exact_quantiles, long_values, quantiles_of, value_counts
 from staywise.operators.portfolio import long_levels
@@ -190,5 +190,5 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], roles: ColumnRoles
 
 
 def ordered_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """The ``rows`` subscribers with the lowest seeded slot, a repeatable draw."""
-    return df.orderBy(slot(key, df.schema[key].dataType, seed), key).limit(rows)
+    """The first ``rows`` subscribers of a shuffled order, a repeatable draw independent of any split."""
+    return df.orderBy(shuffled(key, seed, ":sample"), key).limit(rows)

@@ -3,7 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from staywise.functions.expressions import logistic, slot
+from staywise.functions.expressions import logistic, shuffled
+from staywise.operators.features import stratified_split
+from staywise.operators.profile import ordered_sample
 from staywise.operators import contract, scoring
 from staywise.telco import TELCO_CONTRACT, TELCO_ROLES, TELCO_RULES
 from tests.fixtures import BASE, ROWS, text_frame
@@ -59,11 +61,34 @@ def test_synthesized_ids_keep_order(spark):
     assert [r["synthetic_id"] for r in scoring.synthesized_ids(df, "k").orderBy("k").collect()] == ["CUST-0001", "CUST-0002", "CUST-0003"]
 
 
-def test_slot_accepts_text_and_negative_ids(spark):
+def test_shuffled_order_takes_text_and_negative_ids(spark):
     df = spark.createDataFrame([("a", -5), ("b", 7)], "s string, n bigint")
     for name in ("s", "n"):
-        values = [r[0] for r in df.select(slot(name, df.schema[name].dataType, 42)).collect()]
-        assert all(0 <= v < 10007 for v in values)
+        assert len({r[0] for r in df.select(shuffled(name, 42)).collect()}) == 2
+
+
+def test_samples_of_two_seeds_hardly_meet(spark):
+    ids = spark.range(15_000)
+    one, two = ({r["id"] for r in ordered_sample(ids, "id", 200, seed).collect()} for seed in (42, 43))
+    assert len(one) == len(two) == 200 and len(one & two) < 20
+
+
+def test_a_sample_spans_five_million_ids(spark):
+    found = [r["id"] for r in ordered_sample(spark.range(5_000_000), "id", 200, 42).collect()]
+    assert len({i * 10 // 5_000_000 for i in found}) == 10 and len({i % 10_007 for i in found}) > 150
+
+
+def test_sample_is_independent_of_the_split(spark):
+    df = spark.range(5_000).withColumn("stratum", F.col("id") % 2)
+    held = {r["id"] for r in stratified_split(df, "id", "stratum", 0.2, 42).where("is_test").collect()}
+    assert len(held) == 1000
+    picked = {r["id"] for r in ordered_sample(df, "id", 200, 42).collect()}
+    assert 10 < len(picked & held) < 80
+
+
+def test_too_many_strata_are_refused(spark):
+    with pytest.raises(ValueError, match="needs few"):
+        stratified_split(spark.range(2_000).withColumn("stratum", F.col("id")), "id", "stratum")
 
 
 def test_empty_batch_gives_zeroes(spark):
