@@ -367,15 +367,15 @@ FROM scored CROSS JOIN own GROUP BY archetype""",
 
 
 def contract_probes() -> str:
-    """Thirteen probes of every record against the wide and the narrow contract."""
+    """Fourteen probes of every record against the wide and the narrow contract."""
     mutations = {
-        "reordered_columns": {}, "extra_column": {},
+        "reordered_columns": {}, "extra_column": {}, "absent_column": {"tenure": "NULL::VARCHAR"},
         "flag_text_1": {"SeniorCitizen": "'1'"}, "flag_text_yes": {"SeniorCitizen": "'Yes'"},
         "flag_text_no": {"SeniorCitizen": "'No'"}, "flag_text_false": {"SeniorCitizen": "'false'"},
-        "imputed_missing": {"TotalCharges": "NULL::VARCHAR"}, "imputed_text": {"TotalCharges": "'500.0'"},
+        "imputed_missing": {"TotalCharges": "NULL::VARCHAR"}, "imputed_text": {"TotalCharges": "'640.25'"},
         "imputed_infinite": {"TotalCharges": "'inf'"}, "measured_missing": {"MonthlyCharges": "NULL::VARCHAR"},
-        "category_missing": {"Contract": "NULL::VARCHAR"}, "category_unknown": {"Contract": "'Three year'"},
-        "category_case_typo": {"Contract": "'month-to-month'"},
+        "category_missing": {"Contract": "NULL::VARCHAR"}, "category_unknown": {"Contract": "'Five year'"},
+        "category_case_typo": {"Contract": "'TWO YEAR'"},
     }
     texts = {"MonthlyCharges": "floor(MonthlyCharges)::BIGINT::VARCHAR", "TotalCharges": "CAST(TotalCharges AS DECIMAL(18,2))::VARCHAR"}
     parts = []
@@ -486,24 +486,28 @@ middle AS (SELECT median(t) AS m FROM file)""",
     sql("csv_upload_checked", with_(FEED_ACCEPTED, f"SELECT {taken} FROM taken"))
     sql("contract_accepted", s["csv_upload_checked"])
     sql("json_lines_scan", with_(MART, f"SELECT Contract, Segment, count(*) AS records, {smooth('sum(TotalCharges)', 2)} AS lifetime FROM mart GROUP BY 1, 2"))
+    texts = """, texts AS (SELECT * REPLACE (CASE WHEN customerID % 5 = 0 THEN Segment || ', "new"' || chr(10) || 'unit' ELSE Segment END AS Segment) FROM mart)"""
     sql(
         "json_request_records",
         with_(
-            MART,
-            "SELECT customerID, Contract, Segment, tenure::VARCHAR AS tenure, CAST(TotalCharges AS DECIMAL(18,2))::VARCHAR AS TotalCharges FROM mart",
+            MART + texts,
+            "SELECT customerID, Contract, Segment, tenure::VARCHAR AS tenure, CAST(TotalCharges AS DECIMAL(18,2))::VARCHAR AS TotalCharges FROM texts WHERE customerID % 10 <> 4",
         ),
     )
+    sql("refused_requests", with_(MART, "SELECT customerID, 'not json ' || customerID AS body, 'unreadable' AS reason FROM mart WHERE customerID % 10 = 4"))
     summary = f"""SELECT count(*) AS total, count(*) FILTER (WHERE prediction = 'Yes') AS predicted_churn,
   count(*) FILTER (WHERE prediction = 'No') AS predicted_retain, {pct("count(*) FILTER (WHERE prediction = 'Yes')", 'count(*)')} AS predicted_churn_pct,
   count(*) FILTER (WHERE risk_tier = 'High Risk') AS high_risk, count(*) FILTER (WHERE churn_pct >= 60) AS critical_high_risk,
   {smooth('coalesce(avg(p), 0) * 100', 4)} AS mean_churn_pct FROM scored"""
     sql("empty_batch_summary", with_(SCORED, summary + " WHERE Contract = 'Five year'"))
     sql("batch_summary", with_(SCORED, summary))
-    sql("upload_template", with_(MART, "SELECT customerID, SeniorCitizen, Region, Segment, tenure, Contract, PaymentMethod FROM mart ORDER BY customerID LIMIT 5"))
-    sql("filtered_export", with_(MART, "SELECT customerID::VARCHAR AS customerID, Region, Segment, Contract, tenure::VARCHAR AS tenure, PaymentMethod FROM mart WHERE Churn = 'Yes'"))
+    inputs = f"SeniorCitizen, Region, Segment, tenure, Contract, PaymentMethod, {', '.join(ADDONS)}, MonthlyCharges, TotalCharges"
+    rounded = inputs.replace("MonthlyCharges", f"{smooth('MonthlyCharges', 8)} AS MonthlyCharges")
+    sql("upload_template", with_(MART, f"SELECT customerID, {inputs} FROM mart ORDER BY customerID LIMIT 5"))
+    sql("filtered_export", with_(MART, f"SELECT customerID, {rounded}, Churn FROM mart WHERE Churn = 'Yes'"))
     sql(
         "scored_export",
-        with_(SCORED, "SELECT customerID, prediction AS Predicted_Churn, churn_pct AS Churn_Probability_Pct, risk_tier AS Risk_Tier, Contract, tenure, Segment FROM scored"),
+        with_(SCORED, f"SELECT customerID, prediction AS Predicted_Churn, churn_pct AS Churn_Probability_Pct, risk_tier AS Risk_Tier, {rounded} FROM scored"),
     )
     sql("threshold_sweep", with_(SCORED + sweep_cte(GRID), "SELECT * FROM sweep"))
     sql("analysis_artifacts", s["threshold_sweep"])
@@ -555,7 +559,8 @@ WHERE rule = 'unknown_value' AND feature <> 'SeniorCitizen' GROUP BY feature, va
     member = "Contract IN ('Month-to-month', 'Two year') AND Segment IN ('BUILDING', 'MACHINERY')"
     sql("cohort_members", with_(MART, f"SELECT customerID, Contract, Segment, Churn FROM mart WHERE {member}"))
     sql("cohort_coverage", with_(MART, f"SELECT count(*) FILTER (WHERE {member}) AS selected, count(*) AS total, {pct(f'count(*) FILTER (WHERE {member})', 'count(*)')} AS coverage_pct FROM mart"))
-    hit = " OR ".join(f"regexp_matches({c}, {q(catalog.SEARCH_PATTERN)}, 'i')" for c in CATEGORIES)
+    everything = ["customerID", "Churn", *inputs.split(", ")]
+    hit = " OR ".join(f"coalesce(regexp_matches({c}::VARCHAR, {q(catalog.SEARCH_PATTERN)}, 'i'), false)" for c in everything)
     sql("keyword_search", with_(MART, f"SELECT customerID, Segment, PaymentMethod FROM mart WHERE {hit}"))
     sql("search_match_count", with_(MART, f"SELECT count(*) AS matches, count(*) FILTER (WHERE Churn = 'Yes') AS churned_matches FROM mart WHERE {hit}"))
     sql("churned_preview", with_(MART, "SELECT customerID, Region, Segment, Contract, tenure, Churn FROM mart WHERE Churn = 'Yes' ORDER BY customerID LIMIT 100"))
@@ -679,7 +684,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, le
         "feature_dictionary",
         with_(MART + f", cells AS ({levels_of(CATEGORIES)})", """SELECT 'cat__' || feature || '_' || level AS feature, feature AS raw_feature, level,
   feature || ' = ' || level AS label, level = min(level) OVER (PARTITION BY feature) AS is_reference, records
-FROM (SELECT feature, level, count(*) AS records FROM cells GROUP BY 1, 2)"""),
+FROM (SELECT feature, level, count(*) AS records FROM cells GROUP BY 1, 2)
+UNION ALL """ + union(f"SELECT 'num__{c}', '{c}', NULL, '{c}', FALSE, count({c}) FROM mart" for c in NUMERICS)),
     )
     sql("model_test_metrics", with_(model_metrics(), "SELECT * FROM metrics"))
     four = ", ".join(f"{smooth(m, 4)} AS {m}" for m in MEASURES)
@@ -687,8 +693,9 @@ FROM (SELECT feature, level, count(*) AS records FROM cells GROUP BY 1, 2)"""),
     sql("model_leaderboard", with_(model_metrics() + f", board AS (SELECT model, {four} FROM metrics)", f"SELECT *, {flags} FROM board ORDER BY roc_auc DESC, model"))
     sql("champion_by_auc", with_(model_metrics(), "SELECT model, roc_auc FROM metrics ORDER BY roc_auc DESC, model LIMIT 1"))
     weighed = union(
-        f"SELECT {q(f.name)} AS feature, {dbl(abs(SCORECARD_V2.weights[f.name]))} AS importance, count(*) FILTER (WHERE {f.raw} = {q(f.level)}) AS subscribers FROM clean"
-        for f in SCORECARD_V2.features if f.level is not None
+        f"SELECT {q(f.name)} AS feature, {dbl(abs(SCORECARD_V2.weights[f.name]))} AS importance,"
+        f" count(*) FILTER (WHERE {f.raw} {'<> 0' if f.level is None else '= ' + q(f.level)}) AS subscribers FROM clean"
+        for f in SCORECARD_V2.features
     )
     sql("scorecard_importance", with_(CLEAN + f", weighed AS ({weighed})", "SELECT * FROM weighed ORDER BY importance DESC, feature LIMIT 10"))
 
@@ -751,6 +758,12 @@ FROM (VALUES ('Low Risk'), ('Moderate Risk'), ('High Risk')) v(tier) LEFT JOIN s
     sql("recall_thresholds", with_(SCORED + sweep_cte(GRID), recall_rows([0.15, 0.22, 0.6, 0.65, 0.7])))
     sql("calibration_table", with_(SCORED + CALIBRATION, "SELECT * FROM calibration"))
     sql("calibration_summary", with_(SCORED + CALIBRATION, "SELECT * FROM calibration_summary"))
+    summed = {"threshold_sweep": ("threshold_analysis", "f1"), "calibration_table": ("calibration_analysis", "mean_predicted_probability"),
+              "roc_curve": ("roc_curve", "tpr"), "precision_recall_curve": ("precision_recall_curve", "precision")}
+    sql("analysis_artifact_rows", union(
+        f"SELECT '{name}' AS artifact, count(*) AS records, '{column}' AS summed, {smooth(f'sum({column})', 4)} AS total FROM ({s[job]}) AS {name}"
+        for job, (name, column) in summed.items()
+    ))
     sql(
         "split_summary",
         with_(SPLIT, f"""SELECT is_test, count(*) AS n_total, count(*) FILTER (WHERE Churn = 'Yes') AS n_actual_positive,

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import percent
 from staywise.functions.sql import array, literal, quoted, struct, text
-from staywise.operators.contract import conforms_sql
-
+from staywise.operators.contract import ContractViolation, conforms_sql, require_columns
 from staywise.operators.ordering import fit_medians
 from staywise.operators.scoring import Scorecard, with_score
 from staywise.roles import ContractSpec
@@ -180,51 +179,64 @@ def feature_space(first: Scorecard, second: Scorecard, present: DataFrame) -> Da
     )
 
 
-# Mutations of one column each that both contracts are probed with; a value of
-# None means missing.  The order of columns and extra columns cannot matter in
-# a DataFrame selected by name, so those two probes leave the record unchanged.
 def contract_probes(flag: str, measured: str, imputed: str, category: str) -> dict[str, tuple[str, object]]:
+    """Mutations of one column each that both contracts are probed with; None means missing."""
     return {
-        "reordered_columns": (category, "keep"),
-        "extra_column": (category, "keep"),
         "flag_text_1": (flag, "1"),
         "flag_text_yes": (flag, "Yes"),
         "flag_text_no": (flag, "No"),
         "flag_text_false": (flag, "false"),
         "imputed_missing": (imputed, None),
-        "imputed_text": (imputed, "500.0"),
+        "imputed_text": (imputed, "640.25"),
         "imputed_infinite": (imputed, "inf"),
         "measured_missing": (measured, None),
         "category_missing": (category, None),
-        "category_unknown": (category, "Three year"),
-        "category_case_typo": (category, "month-to-month"),
+        "category_unknown": (category, "Five year"),
+        "category_case_typo": (category, "TWO YEAR"),
+    }
+
+
+def shape_probes(raw: DataFrame, absent: str) -> dict[str, DataFrame]:
+    """The same records in frames of another shape: columns reversed, one more, one less."""
+    return {
+        "reordered_columns": raw.select(*reversed(raw.columns)),
+        "extra_column": raw.withColumn("unexpected_column", F.lit("x")),
+        "absent_column": raw.drop(absent),
     }
 
 
 def contract_comparison(
-    raw: DataFrame, first: ContractSpec, second: ContractSpec, probes: dict[str, tuple[str, object]]
+    raw: DataFrame, first: ContractSpec, second: ContractSpec, probes: dict[str, tuple[str, object]], absent: str
 ) -> DataFrame:
     """Apply every probe to every record and count what each contract accepts.
 
-    ``raw`` holds the required columns as text.  Probes are literals exploded
-    inside the row; the result has one row per probe.
+    ``raw`` holds the required columns as text.  Mutations are literals
+    exploded inside the row, shapes are frames of their own; the result has one
+    row per probe.
     """
     columns = list(first.required)
 
     def mutated(name: str, column: str, value: object) -> str:
         fields = {"probe": text(name)}
         for c in columns:
-            changed = c == column and value != "keep"
-            fields[c] = f"CAST({literal(value)} AS STRING)" if changed else quoted(c)
+            fields[c] = f"CAST({literal(value)} AS STRING)" if c == column else quoted(c)
         return struct(fields)
 
-    cases = F.expr(array(mutated(name, column, value) for name, (column, value) in probes.items()))
-    rows = raw.select(F.explode(cases).alias("case")).select("case.*")
+    def decision(frame: DataFrame, spec: ContractSpec) -> Column:
+        try:
+            require_columns(frame.columns, spec)
+        except ContractViolation:
+            return F.lit(False)
+        return F.expr(conforms_sql(frame.schema, spec))
 
-    judged = rows.select(
-        "probe", *[F.expr(conforms_sql(rows.schema, spec)).alias(name) for name, spec in (("ok1", first), ("ok2", second))]
-    )
-    counted = judged.groupBy("probe").agg(
+    def judged(frame: DataFrame, probe: Column) -> DataFrame:
+        return frame.select(probe.alias("probe"), decision(frame, first).alias("ok1"), decision(frame, second).alias("ok2"))
+
+    cases = F.expr(array(mutated(name, column, value) for name, (column, value) in probes.items()))
+    rows = judged(raw.select(F.explode(cases).alias("case")).select("case.*"), F.col("probe"))
+    for name, frame in shape_probes(raw.select(columns), absent).items():
+        rows = rows.unionByName(judged(frame, F.lit(name)))
+    counted = rows.groupBy("probe").agg(
         F.count("*").alias("records"),
         F.count_if("ok1").alias("v1_accepted"),
         F.count_if("ok2").alias("v2_accepted"),
@@ -233,6 +245,15 @@ def contract_comparison(
     return counted.withColumn("status", F.when(F.col("decided_differently") == 0, "SAME").otherwise("DIFFERENT"))
 
 
+def contract_sections(first: ContractSpec, second: ContractSpec) -> list[tuple[str, bool]]:
+    """(section, same) of what two contracts declare, known without any data."""
+    pairs = {name: (getattr(first, name), getattr(second, name)) for name in ("required", "flags", "numerics", "aliases", "imputed")}
+    pairs["categories"] = (sorted(first.domains), sorted(second.domains))
+    for name in sorted({*first.domains, *second.domains}):
+        pairs[f"domain of {name}"] = (first.domains.get(name), second.domains.get(name))
+    return [(name, one == two) for name, (one, two) in pairs.items()]
+
+
 def promotion_record(both: DataFrame, previous: str, promoted: str, features: int) -> DataFrame:
     """One row: versions, threshold, feature count and the disagreement statistics."""
     difference = F.abs(F.col(P1) - F.col(P2))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,20 +137,43 @@ def json_lines_scan(spark, folder):
     )
 
 
-@job
-def json_request_records(spark, folder):
-    """One request per subscriber: embedded CSV for flexible contracts, a record list for the others."""
+def request_bodies(spark, folder) -> tuple[DataFrame, str, list[str]]:
+    """One request per subscriber, in every form a body may have; every tenth can't be read."""
     columns = [ROLES.id, *ROLES.features]
     texts = text_feed(load_mart(spark, folder)).select([F.col(c).cast("string").alias(c) for c in columns])
-    header = ",".join(columns)
-    line = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
-    as_text = F.to_json(F.struct(F.concat(F.lit(header + "\n"), line, F.lit("\n")).alias("csv_content")))
-    as_list = F.to_json(F.struct(F.array(F.struct(*columns)).alias("records")))
-    body = F.when(F.col(ROLES.contract) == RULES.flexible_contract, as_text).otherwise(as_list)
-    records = readers.parse_requests(texts.select(body.alias("body")), "body", columns)
+    kind = F.col(ROLES.id).cast("bigint") % 5
+
+    def line(names: list[str]) -> Column:
+        cells = [F.coalesce(F.col(c), F.lit("")) for c in names]
+        return F.concat(F.lit(",".join(names) + "\n"), F.concat_ws(",", *cells), F.lit("\n"))
+
+    # Another order of columns, and a value with a comma, a quote and a line break.
+    noted = F.concat(F.lit('"'), F.col("Segment"), F.lit(', ""new""\nunit"'))
+    turned = texts.withColumn("Segment", noted).withColumn("body", F.to_json(F.struct(line(columns[::-1]).alias("csv_content"))))
+    body = (
+        F.when(kind == 1, F.to_json(F.struct(F.array(F.struct(*columns)).alias("records"))))
+        .when(kind == 2, F.to_json(F.array(F.struct(*columns))))
+        .when(kind == 3, line(columns))
+        .when(F.col(ROLES.id).cast("bigint") % 10 == 4, F.concat(F.lit("not json "), F.col(ROLES.id)))
+        .otherwise(F.to_json(F.struct(line(columns).alias("csv_content"))))
+    )
+    bodies = texts.where(kind != 0).select(ROLES.id, body.alias("body"))
+    return bodies.unionByName(turned.where(kind == 0).select(ROLES.id, "body")), "body", columns
+
+
+@job
+def json_request_records(spark, folder):
+    """Records of every readable request."""
+    records = readers.parse_requests(*request_bodies(spark, folder))
     return records.select(F.col(ROLES.id).cast("bigint").alias(ROLES.id), "Contract", "Segment", "tenure", "TotalCharges")
 
 
+@job
+def refused_requests(spark, folder):
+    refused = readers.refused_requests(*request_bodies(spark, folder))
+    return refused.select(F.col(ROLES.id).cast("bigint").alias(ROLES.id), "body", "reason")
+
+
 @job
 def empty_batch_summary(spark, folder):
     nobody = scored(spark, folder).where(F.col(ROLES.contract) == "Five year")
@@ -158,41 +182,59 @@ def empty_batch_summary(spark, folder):
 
 @job
 def upload_template(spark, folder):
-    columns = [ROLES.id, "SeniorCitizen", "Region", "Segment", "tenure", "Contract", "PaymentMethod", ROLES.target]
-    return writers.schema_template(load_mart(spark, folder).select(columns), ROLES.id, ROLES.target)
+    return writers.schema_template(load_mart(spark, folder).select(ROLES.id, *ROLES.features, ROLES.target), ROLES.id, ROLES.target)
 
 
 @job
 def filtered_export(spark, folder):
+    """Churned subscribers with every column; numbers that may differ in their last digits are rounded."""
     path = fresh_path(spark, "churned-csv")
     churned = load_mart(spark, folder).where(F.col(ROLES.target) == ROLES.positive)
-    writers.write_csv(churned.select(ROLES.id, "Region", "Segment", "Contract", "tenure", "PaymentMethod"), path)
-    return readers.read_csv_text(spark, path)
+    writers.write_csv(churned, path)
+    return readers.read_csv(spark, path, churned.schema).withColumn(ROLES.revenue, F.round(ROLES.revenue, 8))
 
 
 @job
 def scored_export(spark, folder):
+    """Every input column behind the scores."""
     path = fresh_path(spark, "scored-csv")
-    export = writers.scored_export(scored(spark, folder), [ROLES.id], ["Contract", "tenure", "Segment"])
+    export = writers.scored_export(scored(spark, folder), [ROLES.id], ROLES.features)
     writers.write_csv(export, path)
-    return spark.read.schema(export.schema).option("header", True).csv(path)
+    return spark.read.schema(export.schema).option("header", True).csv(path).withColumn(ROLES.revenue, F.round(ROLES.revenue, 8))
 
 
-@job
-def analysis_artifacts(spark, folder):
+def artifacts(spark, folder) -> tuple[str, dict[str, DataFrame]]:
+    """The folder of written analysis artifacts, and what was written to each."""
     path = fresh_path(spark, "analysis")
     rows = stage(scored(spark, folder).select(PROBABILITY, "label"), "scored")
     sweep = evaluation.threshold_sweep(rows, PROBABILITY, "label")
-    writers.write_analysis(
-        path,
-        sweep,
-        {
-            "calibration_analysis": evaluation.calibration_table(rows, PROBABILITY, "label"),
-            "roc_curve": evaluation.roc_curve(rows, PROBABILITY, "label"),
-            "precision_recall_curve": evaluation.precision_recall_curve(rows, PROBABILITY, "label"),
-        },
-    )
-    return spark.read.schema(sweep.schema).option("header", True).csv(f"{path}/threshold_analysis_csv")
+    tables = {
+        "calibration_analysis": evaluation.calibration_table(rows, PROBABILITY, "label"),
+        "roc_curve": evaluation.roc_curve(rows, PROBABILITY, "label"),
+        "precision_recall_curve": evaluation.precision_recall_curve(rows, PROBABILITY, "label"),
+    }
+    writers.write_analysis(path, sweep, tables)
+    return path, {"threshold_analysis": sweep} | tables
+
+
+@job
+def analysis_artifacts(spark, folder):
+    path, written = artifacts(spark, folder)
+    return spark.read.schema(written["threshold_analysis"].schema).option("header", True).csv(f"{path}/threshold_analysis_csv")
+
+
+@job
+def analysis_artifact_rows(spark, folder):
+    """Every JSON artifact read back: its rows and the sum of one number column."""
+    path, written = artifacts(spark, folder)
+    summed = {"threshold_analysis": "f1", "calibration_analysis": "mean_predicted_probability", "roc_curve": "tpr", "precision_recall_curve": "precision"}
+    read = [
+        spark.read.schema(table.schema).json(f"{path}/{name}").agg(
+            F.lit(name).alias("artifact"), F.count("*").alias("records"), F.lit(summed[name]).alias("summed"), F.round(F.sum(summed[name]), 4).alias("total")
+        )
+        for name, table in written.items()
+    ]
+    return reduce(DataFrame.unionByName, read)
 
 
 @job
@@ -306,12 +348,13 @@ def cohort_coverage(spark, folder):
     return portfolio.cohort_coverage(load_mart(spark, folder), ROLES, COHORT_CONTRACTS, COHORT_SERVICES)
 
 
-SEARCH_PATTERN = "^m.*y$|urgent"
+SEARCH_PATTERN = "^m.*y$|urgent|^77$"
 
 
 @job
 def keyword_search(spark, folder):
-    found = portfolio.keyword_search(load_mart(spark, folder), SEARCH_PATTERN, ROLES.categoricals)
+    mart = load_mart(spark, folder)
+    found = portfolio.keyword_search(mart, SEARCH_PATTERN, mart.columns)
     return found.select(ROLES.id, "Segment", "PaymentMethod")
 
 
@@ -324,7 +367,7 @@ def churned_preview(spark, folder):
 @job
 def search_match_count(spark, folder):
     mart = load_mart(spark, folder)
-    found = portfolio.keyword_search(mart, SEARCH_PATTERN, ROLES.categoricals)
+    found = portfolio.keyword_search(mart, SEARCH_PATTERN, mart.columns)
     return found.agg(F.count("*").alias("matches"), F.count_if(F.col(ROLES.target) == ROLES.positive).alias("churned_matches"))
 
 
@@ -529,10 +572,11 @@ def fitted_modes(spark, folder):
 
 @job
 def feature_dictionary(spark, folder):
-    """Dictionary of the discovered levels: name, source column, level, label, reference flag."""
-    seen = profile.domain_discovery(load_mart(spark, folder), ROLES.categoricals)
+    """Dictionary of measured columns and discovered levels: name, source column, level, label, reference flag."""
+    mart = load_mart(spark, folder)
+    seen = profile.domain_discovery(mart, ROLES.categoricals)
     smallest = seen.groupBy("feature").agg(F.min("level").alias("reference"))
-    return seen.join(smallest, "feature").select(
+    levels = seen.join(smallest, "feature").select(
         F.concat(F.lit("cat__"), "feature", F.lit("_"), "level").alias("feature"),
         F.col("feature").alias("raw_feature"),
         "level",
@@ -540,6 +584,16 @@ def feature_dictionary(spark, folder):
         (F.col("level") == F.col("reference")).alias("is_reference"),
         F.col("n").alias("records"),
     )
+    measured = F.array(*[F.struct(F.lit(name).alias("raw_feature"), F.count(name).alias("records")) for name in ROLES.numerics])
+    numbers = mart.agg(measured.alias("cells")).select(F.inline("cells")).select(
+        F.concat(F.lit("num__"), "raw_feature").alias("feature"),
+        "raw_feature",
+        F.lit(None).cast("string").alias("level"),
+        F.col("raw_feature").alias("label"),
+        F.lit(False).alias("is_reference"),
+        "records",
+    )
+    return levels.unionByName(numbers)
 
 
 @job
@@ -559,14 +613,15 @@ def champion_by_auc(spark, folder):
 
 @job
 def scorecard_importance(spark, folder):
-    """Ten largest weights by magnitude with the number of subscribers each indicator touches."""
+    """Ten largest weights by magnitude with the number of subscribers each input is different from zero for."""
     card = SCORECARD_V2
-    levels = [f for f in card.features if f.level is not None]
-    wide = features.encode(clean(spark, folder), levels, card.means, card.deviations, [])
-    weights = [(f.name, abs(card.weights[f.name])) for f in levels]
-    importance = spark.createDataFrame(weights, "feature string, importance double")
-    touched = features.feature_totals(wide, levels).select("feature", F.col("total").cast("bigint").alias("subscribers"))
-    return training.top_features(importance.join(touched, "feature"), 10)
+    rows = clean(spark, folder)
+    touched = {f.name: F.count_if(F.col(f.raw) != 0 if f.level is None else F.col(f.raw) == f.level) for f in card.features}
+    cells = F.array(*[
+        F.struct(F.lit(f.name).alias("feature"), F.lit(float(abs(card.weights[f.name]))).alias("importance"), touched[f.name].alias("subscribers"))
+        for f in card.features
+    ])
+    return training.top_features(rows.agg(cells.alias("cells")).select(F.inline("cells")), 10)
 
 
 _prepared: dict[tuple[str, str, bool], training.PreparedData] = {}
@@ -1024,7 +1079,7 @@ def determinism_check(spark, folder):
 @job
 def contract_comparison(spark, folder):
     probes = compare.contract_probes("SeniorCitizen", "MonthlyCharges", "TotalCharges", "Contract")
-    return compare.contract_comparison(text_feed(load_mart(spark, folder)), SPEC, NARROW_CONTRACT, probes)
+    return compare.contract_comparison(text_feed(load_mart(spark, folder)), SPEC, NARROW_CONTRACT, probes, "tenure")
 
 
 @job

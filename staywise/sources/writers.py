@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+    df.write.options(header=True, escape='"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

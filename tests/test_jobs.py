@@ -108,16 +108,34 @@ def test_csv_read_fills_with_the_file_median(spark):
     loaded = readers.load_subscribers(spark, path, TELCO_SCHEMA, "TotalCharges")
     assert dict(loaded.dtypes)["tenure"] == "int"
     # Median of the seven values that are present.
-    assert loaded.where("customerID = '7590-VHVEG'").first()["TotalCharges"] == 820.5
+    assert loaded.where("customerID = 'C-0001'").first()["TotalCharges"] == 1417.5
 
 
 def test_request_bodies(spark):
-    bodies = spark.createDataFrame(
-        [('{"records":[{"a":"1","b":"x"},{"a":"2"}]}',), ('{"csv_content":"a,b\\r\\n3,y\\r\\n4,\\"z,z\\"\\n\\n"}',), ("not json",)],
-        "body string",
-    )
-    rows = sorted((r["a"], r["b"]) for r in readers.parse_requests(bodies, "body", ["a", "b"]).fillna("").collect())
-    assert rows == [("1", "x"), ("2", ""), ("3", "y"), ("4", "z,z")]
+    bodies = [
+        '{"records":[{"a":"1","b":"x"},{"a":2}]}',
+        '{"csv_content":"a,b\\r\\n3,y\\r\\n4,\\"z,z\\"\\n\\n"}',
+        # Columns in another order, one more and one less; a line break, a quote and an empty value.
+        '{"csv_content":"b, a,more\\n\\"p\\nq\\",5,m\\n\\"say \\"\\"so\\"\\"\\",6\\n,7,"}',
+        '{"csv_content":"b\\nonly"}',
+        ' [{"a":"8","b":"list"}, null]',
+        "a,b\n9,raw",
+        "not json",
+        '{"other":1}',
+        '{"records":[]}',
+        "[]",
+        "",
+        None,
+    ]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    rows = [(r["a"], r["b"]) for r in readers.parse_requests(frame, "body", ["a", "b"]).collect()]
+    assert rows == [
+        ("1", "x"), ("2", None), ("3", "y"), ("4", "z,z"), ("5", "p\nq"), ("6", 'say "so"'), ("7", None), (None, "only"), ("8", "list"), ("9", "raw"),
+    ]
+    refused = {r["body"]: r["reason"] for r in readers.refused_requests(frame, "body", ["a", "b"]).collect()}
+    assert refused == {
+        "not json": "unreadable", '{"other":1}': "unreadable", '{"records":[]}': "no records", "[]": "no records", "": "unreadable", None: "unreadable",
+    }
 
 
 def test_empty_input_is_refused(spark):

@@ -34,15 +34,15 @@ def test_interventions_follow_the_rules(spark):
         r["customerID"]: [a["action"] for a in r["i"]]
         for r in clean.select("customerID", scoring.interventions(TELCO_ROLES, TELCO_RULES).alias("i")).collect()
     }
-    assert rows["9305-CDSKC"] == [scoring.ACTIONS[i][0] for i in range(4)]
-    assert rows["5575-GNVDE"] == ["Loyalty Appreciation"]
-    assert rows["7590-VHVEG"] == ["Contract Upgrade Incentive", "Autopay / Credit Card Migration"]
+    assert rows["C-0008"] == [scoring.ACTIONS[i][0] for i in range(4)]
+    assert rows["C-0002"] == ["Loyalty Appreciation"]
+    assert rows["C-0007"] == ["Contract Upgrade Incentive", "Autopay / Credit Card Migration"]
     best = {
         r["customerID"]: r["n"]
         for r in clean.select("customerID", scoring.next_best_actions(TELCO_ROLES, TELCO_RULES).alias("n")).collect()
     }
-    assert best["7795-CFOCW"] == []
-    assert best["9237-HQITU"] == [scoring.LOCK_IN, scoring.CYBER_CARE, scoring.AUTO_PAY, scoring.CONCIERGE]
+    assert best["C-0002"] == []
+    assert best["C-0001"] == [scoring.LOCK_IN, scoring.CYBER_CARE, scoring.AUTO_PAY, scoring.CONCIERGE]
 
 
 @pytest.mark.parametrize("labels,index", [(["No", "Yes"], 1), (["Yes", "No"], 0), ([0, 1], 1), (["true", "false"], 0)])
