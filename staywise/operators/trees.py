@@ -8,7 +8,6 @@ the leaf and an absent one passes it on with its share of training rows.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
@@ -32,8 +31,6 @@ from staywise.operators.ordering import fit_medians
 from staywise.operators.training import MARGIN_SCALE
 from staywise.session import fresh_path
 
-MASK_BITS = 10  # a tree with at most this many splits is answered by one table lookup
-
 
 @dataclass(frozen=True)
 class Node:
@@ -168,43 +165,20 @@ def _met(leaf: Leaf, goes_left: Callable[[int], np.ndarray], rows: int) -> np.nd
     return met
 
 
-def tree_table(tree: Tree) -> tuple[list[int], np.ndarray]:
-    """Features used, and their shares for every combination of split outcomes (bit i = split i goes left)."""
-    position = {split: i for i, split in enumerate(tree.splits)}
-    combinations = np.arange(2 ** len(position))
-    used = sorted({tree.nodes[s].feature for s in tree.splits})
-    table = np.zeros((len(combinations), len(used)))
-    for leaf in leaves(tree):
-        if leaf.ratios:
-            met = _met(leaf, lambda split: (combinations >> position[split]) & 1 == 1, len(combinations))
-            table[:, [used.index(f) for f in leaf.ratios]] += leaf_shares(leaf, met)
-    return used, table
-
-
-def shallow_attributions(trees: Sequence[Tree], x: Callable[[int], Column], width: int) -> Column:
-    """array<double> of ``width`` attributions as a pure expression: per tree a split mask and a lookup."""
-    parts: dict[int, list[Column]] = {f: [] for f in range(width)}
-    for tree in trees:
-        if not tree.splits:
-            continue
-        used, table = tree_table(tree)
-        mask = F.lit(1)
-        for i, split in enumerate(tree.splits):
-            node = tree.nodes[split]
-            mask = mask + F.when(x(node.feature) <= node.threshold, 2**i).otherwise(0)
-        lookup = F.element_at(F.from_json(F.lit(json.dumps(table.tolist())), "array<array<double>>"), mask)
-        for i, feature in enumerate(used):
-            parts[feature].append(lookup[i])
-    return F.array(*[sum(columns, F.lit(0.0)) for columns in parts.values()])
+#: Leaves of all trees together that a task may hold; a model beyond that is refused, not cut.
+MOST_LEAVES = 1_000_000
 
 
-def deep_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, vector: str, width: int) -> DataFrame:
-    """(key, x, attributions) for trees too large for a lookup table, batch by batch.
+def array_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, width: int) -> DataFrame:
+    """(key, x, attributions) of rows whose features are an array ``x``, batch by batch.
 
     Each batch evaluates a leaf only for the distinct condition patterns that
-    occur in it.  Rows are independent, so nothing is shuffled.
+    occur in it.  Rows are independent, so nothing is shuffled; every task
+    holds the leaves, whose number is checked.
     """
     forest = [(tree, leaves(tree)) for tree in trees if tree.splits]
+    if sum(len(found) for _, found in forest) > MOST_LEAVES:
+        raise ValueError(f"the ensemble has more than {MOST_LEAVES} leaves")
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,17 +194,24 @@ def deep_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, vector:
             yield pd.DataFrame({key: batch[key], "x": batch["x"], "attributions": list(total)})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, vector_to_array(vector).alias("x")).mapInPandas(
-        explain, f"`{key}` {kind}, x array<double>, attributions array<double>"
-    )
+    return rows.select(key, "x").mapInPandas(explain, f"`{key}` {kind}, x array<double>, attributions array<double>")
 
 
 def tree_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, vector: str, width: int) -> DataFrame:
-    """(key, x, attributions) of assembled rows; lookup expressions where every tree is shallow enough."""
-    if all(len(tree.splits) <= MASK_BITS for tree in trees):
-        vectors = rows.select(key, vector_to_array(vector).alias("x"))
-        return vectors.select(key, "x", shallow_attributions(trees, lambda i: F.col("x")[i], width).alias("attributions"))
-    return deep_attributions(rows, trees, key, vector, width)
+    """(key, x, attributions) of assembled rows."""
+    return array_attributions(rows.select(key, vector_to_array(vector).alias("x")), trees, key, width)
+
+
+def ensemble_margin(trees: Sequence[Tree], x: Callable[[int], Column]) -> Column:
+    """Weighted sum of the leaves a row falls into, for a small frozen ensemble."""
+
+    def value(tree: Tree, index: int) -> Column:
+        node = tree.nodes[index]
+        if node.is_leaf:
+            return F.lit(float(tree.weight * node.value))
+        return F.when(x(node.feature) <= node.threshold, value(tree, node.left)).otherwise(value(tree, node.right))
+
+    return sum((value(tree, 0) for tree in trees), F.lit(0.0))
 
 
 def importance_from_attributions(explained: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -263,7 +244,7 @@ def ranked_attributions(explained: DataFrame, names: Sequence[str], key: str, to
     """Long form, largest magnitude first within each row, the name deciding a tie."""
     items = array(
         struct(
-            {"order": f"-abs(attributions[{i}])", "feature": text(name), "contribution": f"attributions[{i}]", "value": f"x[{i}]"}
+            {"order": f"-round(abs(attributions[{i}]), 9)", "feature": text(name), "contribution": f"attributions[{i}]", "value": f"x[{i}]"}
         )
         for i, name in enumerate(names)
     )
@@ -280,7 +261,7 @@ def attribution_change(before: DataFrame, after: DataFrame, names: Sequence[str]
     items = array(
         struct(
             {
-                "order": f"-abs(new[{i}] - old[{i}])",
+                "order": f"-round(abs(new[{i}] - old[{i}]), 9)",
                 "feature": text(name),
                 "baseline_contribution": f"old[{i}]",
                 "simulated_contribution": f"new[{i}]",

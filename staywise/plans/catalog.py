@@ -1020,24 +1020,77 @@ FIXED_TREES = (
 )
 
 
+def frozen_inputs(rows: DataFrame) -> DataFrame:
+    return rows.select(ROLES.id, F.array(*[F.col(name).cast("double") for name in FIXED_INPUTS]).alias("x"))
+
+
+def frozen_attributions(rows: DataFrame) -> DataFrame:
+    return trees.array_attributions(frozen_inputs(rows), FIXED_TREES, ROLES.id, len(FIXED_INPUTS))
+
+
+def frozen_margin() -> Column:
+    return trees.ensemble_margin(FIXED_TREES, lambda i: F.col("x")[i])
+
+
 @job
 def fixed_tree_attribution(spark, folder):
-    rows = clean(spark, folder)
-    shares = trees.shallow_attributions(FIXED_TREES, lambda i: F.col(FIXED_INPUTS[i]).cast("double"), len(FIXED_INPUTS))
-    return rows.select(ROLES.id, shares.alias("a")).select(
-        ROLES.id, *[F.round(F.col("a")[i], 9).alias(f"phi_{name}") for i, name in enumerate(FIXED_INPUTS)]
+    return frozen_attributions(clean(spark, folder)).select(
+        ROLES.id, *[F.round(F.col("attributions")[i], 9).alias(f"phi_{name}") for i, name in enumerate(FIXED_INPUTS)]
+    )
+
+
+@job
+def tree_scores(spark, folder):
+    """Margin, probability, label and risk level of the frozen ensemble."""
+    margin = frozen_inputs(clean(spark, folder)).select(ROLES.id, frozen_margin().alias("margin"))
+    rows = margin.withColumn(PROBABILITY, logistic(F.col("margin")))
+    return rows.select(
+        ROLES.id,
+        F.round("margin", 9).alias("margin"),
+        F.round(PROBABILITY, 9).alias(PROBABILITY),
+        F.when(F.col(PROBABILITY) >= 0.5, "Yes").otherwise("No").alias("prediction"),
     )
 
 
+@job
+def tree_additivity(spark, folder):
+    """Base value, and how many rows' attributions and base value don't add up to their margin."""
+    found = frozen_attributions(clean(spark, folder))
+    whole = F.aggregate("attributions", F.lit(trees.base_value(FIXED_TREES)), lambda total, share: total + share)
+    return found.agg(
+        F.count("*").alias("records"),
+        F.round(F.lit(trees.base_value(FIXED_TREES)), 9).alias("base_value"),
+        F.count_if(F.abs(whole - frozen_margin()) > 1e-9).alias("violations"),
+        F.round(F.sum(frozen_margin()), 4).alias("total_margin"),
+    )
+
+
+@job
+def tree_top_attributions(spark, folder):
+    """The two inputs that move each subscriber's score most."""
+    ranked = trees.ranked_attributions(frozen_attributions(clean(spark, folder)), FIXED_INPUTS, ROLES.id, 2)
+    return ranked.select(ROLES.id, "rank", "feature", F.round("value", 6).alias("value"), F.round("contribution", 9).alias("contribution"))
+
+
+@job
+def tree_attribution_change(spark, folder):
+    """What a year more of tenure does to the attributions of each subscriber."""
+    rows = clean(spark, folder)
+    later = rows.withColumn("tenure", F.col("tenure") + 12)
+    changed = trees.attribution_change(frozen_attributions(rows), frozen_attributions(later), FIXED_INPUTS, ROLES.id, 1)
+    return changed.select(ROLES.id, "feature", F.round("delta", 9).alias("delta"))
+
+
 @job
 def boosted_tree_attribution(spark, folder):
-    """Importance and direction of every feature of a boosted ensemble fitted on the mart."""
+    """Importance and direction of every feature of a boosted ensemble fitted on the mart, over all its rows."""
     data = prepared(spark, folder)
     estimator = training.search_space(training.MODEL_NAMES[3], data.train_rows)[0].copy().setMaxIter(50).setStepSize(0.1)
     model = estimator.fit(data.train)
     ensemble = trees.read_trees(model)
     names = [f.name for f in data.features]
-    found = stage(trees.tree_attributions(data.test, ensemble, ROLES.id, "features", len(names)), "attributions")
+    rows = data.train.select(ROLES.id, "features").unionByName(data.test.select(ROLES.id, "features"))
+    found = stage(trees.tree_attributions(rows, ensemble, ROLES.id, "features", len(names)), "attributions")
     return trees.importance_from_attributions(found, names).join(trees.direction_from_attributions(found, names), "feature")
 
 

@@ -78,11 +78,9 @@ def test_tree_attributions_match_brute_force(spark, numbers, estimator):
         assert reached == pytest.approx(row["p"], abs=1e-9)
 
 
-def test_lookup_and_batched_forms_agree(spark, numbers):
+def test_ranks_and_directions_of_tree_attributions(spark, numbers):
     ensemble = trees.read_trees(GBTClassifier(maxIter=4, maxDepth=3, seed=2).fit(numbers))
     lookup = trees.tree_attributions(numbers, ensemble, "id", "features", 4)
-    batched = trees.deep_attributions(numbers, ensemble, "id", "features", 4)
-    joined = lookup.join(batched.select("id", F.col("attributions").alias("b")), "id")
     names = ["a", "b", "c", "d"]
     ranked = trees.ranked_attributions(lookup, names, "id").toPandas()
     assert len(ranked) == 1600 and set(ranked["rank"]) == {1, 2, 3, 4}
@@ -94,10 +92,17 @@ def test_lookup_and_batched_forms_agree(spark, numbers):
         i = names.index(row["feature"])
         active = x[:, i] > np.median(x[:, i])
         assert row["active_effect"] == pytest.approx(phi[active, i].mean(), abs=1e-9)
-    worst = joined.select(
-        F.max(F.array_max(F.zip_with("attributions", "b", lambda a, b: F.abs(a - b))))
-    ).first()[0]
-    assert joined.count() == 400 and worst < 1e-12
+
+
+def test_margin_of_a_small_ensemble_and_its_limit(spark, numbers, monkeypatch):
+    ensemble = trees.read_trees(GBTClassifier(maxIter=3, maxDepth=2, seed=2).fit(numbers))
+    rows = trees.tree_attributions(numbers, ensemble, "id", "features", 4)
+    margin = trees.ensemble_margin(ensemble, lambda i: F.col("x")[i])
+    total = F.aggregate("attributions", F.lit(trees.base_value(ensemble)), lambda a, b: a + b)
+    assert rows.select(F.max(F.abs(margin - total))).first()[0] < 1e-9
+    monkeypatch.setattr(trees, "MOST_LEAVES", 5)
+    with pytest.raises(ValueError, match="leaves"):
+        trees.tree_attributions(numbers, ensemble, "id", "features", 4)
 
 
 def test_other_models_are_refused(numbers):
