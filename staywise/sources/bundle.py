@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,42 +39,58 @@ def save_bundle(spark: SparkSession, card: Scorecard, path: str) -> None:
     spark.createDataFrame(rows, WEIGHTS).coalesce(1).write.json(f"{path}/weights")
     header = [(card.version, float(card.intercept), float(card.threshold), card.drop_first)]
     spark.createDataFrame(header, HEADER).coalesce(1).write.json(f"{path}/header")
-    hashes = file_hashes(spark, [f"{path}/weights", f"{path}/header"])
-    hashes.select("artifact", F.upper("sha256").alias("sha256")).coalesce(1).write.json(f"{path}/manifest")
+    write_manifest(spark, path, BUNDLE_PARTS)
+
+
+BUNDLE_PARTS = ("weights", "header")
+TRAINED_PARTS = ("model", "preparation")
 
 
-def file_hashes(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(artifact, size, sha256) per file; every file is read and hashed by one task."""
+def file_hashes(spark: SparkSession, path: str, parts: Sequence[str]) -> DataFrame:
+    """(artifact, size, sha256) of every data file below the named folders; one task reads and hashes a file.
+
+    Model files are small; Spark reads a file of at most 2 GB as one value.
+    """
+    base = path.rstrip("/").rsplit("/", 1)[-1]
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "part-*")
-        .load(folders)
+        .option("recursiveFileLookup", True)
+        .load([f"{path}/{part}" for part in parts])
         .select(
-            F.element_at(F.split("path", "/"), -2).alias("folder"),
-            F.element_at(F.split("path", "/"), -1).alias("file"),
+            F.substring_index("path", f"/{base}/", -1).alias("artifact"),
             F.col("length").alias("size"),
             F.sha2("content", 256).alias("sha256"),
         )
-        .select(F.concat_ws("/", "folder", "file").alias("artifact"), "size", "sha256")
     )
 
 
-def verify_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """(artifact, matches): every file the manifest names, compared without regard to case."""
+def write_manifest(spark: SparkSession, path: str, parts: Sequence[str]) -> None:
+    hashes = file_hashes(spark, path, parts)
+    hashes.select("artifact", F.upper("sha256").alias("sha256")).coalesce(1).write.json(f"{path}/manifest")
+
+
+def verify_bundle(spark: SparkSession, path: str, parts: Sequence[str] = BUNDLE_PARTS) -> DataFrame:
+    """(artifact, matches): every file that the manifest names or that is there, hashes compared without regard to case.
+
+    A file that only one side knows doesn't match.
+    """
     expected = spark.read.schema(HASHES).json(f"{path}/manifest")
-    actual = file_hashes(spark, [f"{path}/weights", f"{path}/header"]).select(
-        "artifact", F.col("sha256").alias("actual")
-    )
-    return expected.join(actual, "artifact", "left").select(
+    actual = file_hashes(spark, path, parts).select("artifact", F.col("sha256").alias("actual"))
+    return expected.join(actual, "artifact", "full_outer").select(
         "artifact", F.coalesce(F.lower("sha256") == F.lower("actual"), F.lit(False)).alias("matches")
     )
 
 
-def load_bundle(spark: SparkSession, path: str) -> Scorecard:
-    """Read a bundle back after checking its hashes; one row per feature, so small by construction."""
-    broken = [row["artifact"] for row in verify_bundle(spark, path).where(~F.col("matches")).collect()]
+def require_intact(spark: SparkSession, path: str, parts: Sequence[str]) -> None:
+    broken = [row["artifact"] for row in verify_bundle(spark, path, parts).where(~F.col("matches")).collect()]
     if broken:
         raise BundleError(f"hash mismatch in {', '.join(sorted(broken))}")
+
+
+def load_bundle(spark: SparkSession, path: str) -> Scorecard:
+    """Read a bundle back after checking its hashes; one row per feature, so small by construction."""
+    require_intact(spark, path, BUNDLE_PARTS)
     header = spark.read.schema(HEADER).json(f"{path}/header").first()
     rows = spark.read.schema(WEIGHTS).json(f"{path}/weights").collect()
     if header is None or not rows:
@@ -104,9 +122,11 @@ def save_trained(spark: SparkSession, model: Model, fitted: FittedPreparation, p
     PipelineModel(stages=[model]).write().save(f"{path}/model")
     row = [tuple(json.dumps(part) for part in asdict(fitted).values())]
     spark.createDataFrame(row, PREPARED).coalesce(1).write.json(f"{path}/preparation")
+    write_manifest(spark, path, TRAINED_PARTS)
 
 
 def load_trained(spark: SparkSession, path: str) -> tuple[Model, FittedPreparation]:
+    require_intact(spark, path, TRAINED_PARTS)
     row = spark.read.schema(PREPARED).json(f"{path}/preparation").first()
     if row is None:
         raise BundleError(f"no model in {path}")
@@ -115,15 +135,22 @@ def load_trained(spark: SparkSession, path: str) -> tuple[Model, FittedPreparati
     return PipelineModel.load(f"{path}/model").stages[0], FittedPreparation(**parts)
 
 
+POINTER = "position bigint, active_version string"
+
+
 def set_active(spark: SparkSession, folder: str, version: str) -> None:
-    spark.createDataFrame([(version,)], "active_version string").coalesce(1).write.mode("overwrite").json(
-        f"{folder}/active"
-    )
+    """Add a pointer behind all earlier ones: there is no moment without one, and the history stays."""
+    try:
+        last = spark.read.schema(POINTER).json(f"{folder}/active").agg(F.max("position")).first()[0] or 0
+    except AnalysisException:  # the first pointer of this folder
+        last = 0
+    spark.createDataFrame([(last + 1, version)], POINTER).coalesce(1).write.mode("append").json(f"{folder}/active")
 
 
 def load_active(spark: SparkSession, folder: str) -> Scorecard:
-    """The bundle the pointer names."""
-    pointer = spark.read.schema("active_version string").json(f"{folder}/active").first()
+    """The bundle the latest pointer names."""
+    pointers = spark.read.schema(POINTER).json(f"{folder}/active")
+    pointer = pointers.orderBy(F.desc("position"), F.desc("active_version")).first()
     if pointer is None or not pointer["active_version"]:
         raise BundleError(f"no active version in {folder}")
     return load_bundle(spark, f"{folder}/{pointer['active_version']}")

@@ -147,14 +147,20 @@ def test_bundle_round_trip_and_tampering(spark, small):
     folder = fresh_path(spark, "bundles")
     for card in (SCORECARD_V1, SCORECARD_V2):
         bundle.save_bundle(spark, card, f"{folder}/{card.version}")
+    bundle.set_active(spark, folder, "v2")
     bundle.set_active(spark, folder, "v1")
     card = bundle.load_active(spark, folder)
+    assert card.version == "v1"
     rows = catalog.clean(spark, small)
     original, restored = scoring.with_score(rows, SCORECARD_V1), scoring.with_score(rows, card)
     assert scoring.batch_invariance(original, restored, "customerID").first()["max_difference"] <= 1e-12
     spark.createDataFrame([("x",)], "note string").coalesce(1).write.mode("overwrite").json(f"{folder}/v2/weights")
     with pytest.raises(bundle.BundleError):
         bundle.load_bundle(spark, f"{folder}/v2")
+    # A file the manifest doesn't know is refused as well.
+    spark.createDataFrame([("x",)], "note string").coalesce(1).write.mode("append").json(f"{folder}/v1/weights")
+    with pytest.raises(bundle.BundleError):
+        bundle.load_bundle(spark, f"{folder}/v1")
 
 
 def test_stream_equals_batch_and_resumes(spark, small):

@@ -12,7 +12,7 @@ STATEMENTS = {name: sql for name, sql in registry.oracle_sql().items() if name i
 def test_every_statement_has_a_job():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and set(jobs) <= set(registry.queries())
     missing = set(jobs) - set(STATEMENTS)
-    assert all(name.startswith(LONG_RUNNING) or name == "bundle_verification" for name in missing)
+    assert all(name.startswith(LONG_RUNNING) for name in missing)
 
 
 def test_entry(spark):
@@ -20,11 +20,6 @@ def test_entry(spark):
     assert sum(r["subscribers"] for r in rows) > 0
 
 
-def test_bundle_verification(spark, small):
-    rows = jobs["bundle_verification"](spark, small).collect()
-    assert len(rows) == 2 and all(r["matches"] for r in rows)
-
-
 @pytest.fixture(scope="module")
 def duck(small):
     return connect(small)
