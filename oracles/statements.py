@@ -706,6 +706,21 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, le
     )
     numbers = [f for f in SCORECARD_V1.features if f.level is None]
     sql("standardised_numerics", with_(CLEAN, f"SELECT customerID, {', '.join(f'{smooth(feature_value(SCORECARD_V1, f), 9)} AS {f.name}' for f in numbers)} FROM clean"))
+    cuts = " + ".join(f"(rn > round(size * {k}::DOUBLE / 5))::INTEGER" for k in range(1, 5))
+    folded = SPLIT + f""",
+numbered AS (SELECT *, row_number() OVER (PARTITION BY Churn ORDER BY md5(customerID::VARCHAR || ':43'), customerID) AS rn,
+  count(*) OVER (PARTITION BY Churn) AS size FROM (SELECT * EXCLUDE (rn, size) FROM train)),
+folded AS (SELECT *, {cuts} AS fold FROM numbered)"""
+    folds = []
+    for k in range(5):
+        for c in NUMERICS:
+            middle = f"(SELECT median({c}::DOUBLE) FROM folded WHERE fold <> {k})"
+            full = f"coalesce({c}::DOUBLE, {middle})"
+            folds.append(
+                f"SELECT {k} AS fold, {q(c)} AS feature, {smooth(middle, 4)} AS median, {smooth(f'avg({full})', 4)} AS mean,"
+                f" {smooth(f'stddev_pop({full})', 4)} AS deviation FROM folded WHERE fold <> {k}"
+            )
+    sql("fold_statistics", with_(folded, union(folds)))
     sql("one_hot_drop_first", indicator_totals(SCORECARD_V1))
     sql("one_hot_all_levels", indicator_totals(SCORECARD_V2))
     sql("fitted_medians", with_(SPLIT, union(f"SELECT {q(c)} AS feature, {smooth(f'median({c}::DOUBLE)', 4)} AS median, count(*) AS train_rows FROM train" for c in NUMERICS)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -16,7 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,12 @@ class PreparedData:
     features: tuple[Feature, ...]
     fitted: FittedPreparation
     train_rows: int
+    #: Training rows as they were before preparation, with label and fold.
+    raw: DataFrame
+    carry: tuple[str, ...]
+    numerics: tuple[str, ...]
+    #: Statistics learned without a fold, filled in when they are first needed.
+    per_fold: dict[int, FittedPreparation] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -96,13 +104,29 @@ def prepare(df: DataFrame, roles: ColumnRoles, levels: dict[str, tuple[str, ...]
     train_raw = split.where(~F.col("is_test"))
     fitted = fit_preparation(train_raw, roles.numerics, levels)
     features = feature_list(roles.numerics, levels, drop_first)
-    folded = stratified_folds(train_raw, roles.id, roles.target, FOLDS, SEED + 1)
+    folded = stage(stratified_folds(train_raw, roles.id, roles.target, FOLDS, SEED + 1), "folds")
     carry = [roles.id, "label", "fold"]
     # Bootstrap draws follow the row order, so it is fixed: the same table gives the same models.
     ordered = assemble(folded, fitted, features, carry).repartition(roles.id).sortWithinPartitions(roles.id)
     train = stage(ordered, "train")
     test = stage(assemble(split.where("is_test"), fitted, features, carry[:2]), "test")
-    return PreparedData(train, test, tuple(features), fitted, train.count())
+    return PreparedData(train, test, tuple(features), fitted, train.count(), folded, tuple(carry), tuple(roles.numerics))
+
+
+def fold_preparation(data: PreparedData, fold: int) -> FittedPreparation:
+    """Statistics of the training rows outside one fold, so that its rows take no part in their own scaling."""
+    if fold not in data.per_fold:
+        outside = data.raw.where(F.col("fold") != fold)
+        data.per_fold[fold] = fit_preparation(outside, data.numerics, data.fitted.levels)
+    return data.per_fold[fold]
+
+
+def fold_rows(data: PreparedData, fold: int) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of one fold, both prepared with what the training rows show."""
+    rows = assemble(data.raw, fold_preparation(data, fold), data.features, data.carry)
+    key = data.carry[0]
+    train = rows.where(F.col("fold") != fold).repartition(key).sortWithinPartitions(key)
+    return train, rows.where(F.col("fold") == fold)
 
 
 def penalty(c: float, rows: int) -> float:
@@ -154,28 +178,27 @@ def exact_auc() -> BinaryClassificationEvaluator:
 
 
 def search(data: PreparedData, name: str, parallelism: int = 8) -> tuple[DataFrame, Candidate]:
-    """Grid search over the fold column; returns every setting's score and the refitted winner."""
+    """Grid search over the folds, preparation learned anew in each; every setting's score and the refitted winner."""
     spark = data.train.sparkSession
-    fold_rows = round(data.train_rows * (FOLDS - 1) / FOLDS)
-    estimator, grid = search_space(name, fold_rows)
-    validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=exact_auc(),
-        numFolds=FOLDS,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=SEED,
-    )
-    found = validator.fit(data.train)
+    rows = round(data.train_rows * (FOLDS - 1) / FOLDS)
+    estimator, grid = search_space(name, rows)
+
+    def scores_of(fold: int) -> list[float]:
+        train, held = (stage(part, "fold") for part in fold_rows(data, fold))
+        with ThreadPoolExecutor(parallelism) as pool:
+            return list(pool.map(lambda setting: exact_auc().evaluate(estimator.fit(train, setting).transform(held)), grid))
+
+    found = np.array([scores_of(fold) for fold in range(FOLDS)])
+    means, deviations = found.mean(axis=0).tolist(), found.std(axis=0).tolist()
     settings = [describe_settings(name, i) for i in range(len(grid))]
-    scores = [(name, s, float(m), float(d)) for s, m, d in zip(settings, found.avgMetrics, found.stdMetrics)]
-    best = max(range(len(grid)), key=lambda i: (found.avgMetrics[i], -i))
-    model = found.bestModel
-    if name == MODEL_NAMES[0]:
-        model = logistic_model(C_GRID[best], data.train_rows).fit(data.train)
-    table = spark.createDataFrame(scores, "model string, settings string, mean_roc_auc double, std_roc_auc double")
-    return table, Candidate(name, model, settings[best], scores[best][2], scores[best][3])
+    best = max(range(len(grid)), key=lambda i: (means[i], -i))
+    # The winner is fitted on all training rows; a strength per row follows their number.
+    chosen = search_space(name, data.train_rows)
+    model = chosen[0].fit(data.train, chosen[1][best])
+    table = spark.createDataFrame(
+        list(zip([name] * len(grid), settings, means, deviations)), "model string, settings string, mean_roc_auc double, std_roc_auc double"
+    )
+    return table, Candidate(name, model, settings[best], means[best], deviations[best])
 
 
 def describe_settings(name: str, index: int) -> str:

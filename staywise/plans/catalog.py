@@ -653,6 +653,16 @@ def trained_models(spark, folder):
     )
 
 
+@job
+def fold_statistics(spark, folder):
+    """What each fold's preparation has learned from the rows outside it."""
+    data = prepared(spark, folder)
+    learned = {fold: training.fold_preparation(data, fold) for fold in range(training.FOLDS)}
+    rows = [(k, n, float(p.medians[n]), float(p.means[n]), float(p.deviations[n])) for k, p in learned.items() for n in data.numerics]
+    found = spark.createDataFrame(rows, "fold int, feature string, median double, mean double, deviation double")
+    return found.withColumns({c: F.round(c, 4) for c in ("median", "mean", "deviation")})
+
+
 @job
 def searched_logistic(spark, folder):
     return searched(spark, folder, training.MODEL_NAMES[0])[0]

@@ -37,6 +37,14 @@ def test_search_scores_every_setting_and_keeps_the_best(data):
     assert best.mean_auc == max(r["mean_roc_auc"] for r in rows)
 
 
+def test_each_fold_learns_its_own_statistics(data):
+    learned = [training.fold_preparation(data, fold) for fold in range(training.FOLDS)]
+    assert len({p.means["MonthlyCharges"] for p in learned}) == training.FOLDS
+    train, held = training.fold_rows(data, 2)
+    assert {r["fold"] for r in held.select("fold").distinct().collect()} == {2}
+    assert train.where("fold = 2").count() == 0 and train.count() + held.count() == data.train_rows
+
+
 def test_penalty_is_the_inverse_strength_per_row():
     assert training.penalty(10.0, 50) == pytest.approx(1 / 500)
 
