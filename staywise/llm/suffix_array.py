@@ -13,7 +13,7 @@ import numpy as np
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:
-    """Stable order by non-negative integer keys, the first one leading."""
+    """Order by non-negative integer keys, the first one leading; equal rows in any order."""
     packed, bits = None, 0
     # Keys are packed into as few 63-bit words as they need.
     words = []
@@ -27,7 +27,7 @@ def _order(*keys: np.ndarray) -> np.ndarray:
             packed, bits = packed | (key.astype(np.int64) << bits), bits + need
     words.append(packed)
     if len(words) == 1:
-        return np.argsort(words[0], kind="stable")
+        return np.argsort(words[0])
     return np.lexsort(words)
 
 

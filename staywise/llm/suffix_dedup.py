@@ -13,10 +13,13 @@ task, so the work is dealt by content:
 3. Each group sends the distinct blocks of the other anchors, with the places
    where they occur, to the shard of the anchor.  All windows that can be
    equal now lie in one shard.
-4. A shard puts its distinct blocks into one string and builds its suffix
-   array: sampled triples are sorted, recursion orders their names, the
-   remaining suffixes are merged in.  Suffixes next to each other whose first
-   ``length`` bytes agree are one string, and its smallest document is known.
+4. Blocks that are the only ones of their anchor are one string wherever they
+   occur.  A shard puts the others, where copies begin, end or differ, into
+   strings of about ``SYMBOLS`` bytes, blocks of one anchor never apart, and
+   builds the suffix array of each: sampled triples are sorted, recursion
+   orders their names, the remaining suffixes are merged in.  Suffixes next to
+   each other whose first ``length`` bytes agree are one string, and its
+   smallest document is known.
 5. Places of windows that a smaller document has go back to their group, which
    cuts them out of the texts.
 
@@ -47,9 +50,13 @@ from staywise.llm.suffix_array import suffix_array
 LENGTH = 50
 GRAM = 24
 #: Documents whose ids agree but for so many last bits form a group.
-GROUP_BITS = 8
+GROUP_BITS = 9
 #: Positions that are hashed at a time, so that the arrays stay in cache.
 SEGMENT = 1 << 15
+#: Shards per shuffle partition: a shard is what one call holds in memory.
+SHARDS = 4
+#: Symbols that one suffix array is meant to hold; a shard is split by its anchors' hashes to stay below.
+SYMBOLS = 1 << 20
 
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 20) - 1)
@@ -149,6 +156,29 @@ def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _strips_of(hashes: np.ndarray) -> np.ndarray:
+    """The lower half, which tells the anchors of a shard apart but for rare collisions."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed message, bytes of equal weight next to each other."""
+    planes = [x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in map(np.ascontiguousarray, arrays)]
+    whole = b"".join(planes)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _expanded(message: bytes) -> bytes:
+    return pa.decompress(message[8:], int.from_bytes(message[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _array(planes: bytes, kind: type, count: int, at: int) -> np.ndarray:
+    """One array of ``count`` numbers out of the planes that begin at byte ``at``."""
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(planes, np.uint8, count * width, at).reshape(width, count)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -158,13 +188,16 @@ def _send_hashes(table: pa.Table, length: int, gram: int, parts: int) -> pa.Tabl
     group = table.column("grp")[0].as_py()
     distinct = np.unique(Texts.of(table).windows(length, gram)[2])
     cuts = np.searchsorted(_parts_of(distinct, parts), np.arange(parts + 1))
-    return _table(_HASHES, [(p, group, distinct[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b])
+    # Sorted hashes as differences: their leading bytes are few.
+    runs = [(p, distinct[a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+    return _table(_HASHES, [(p, group, _squeezed(np.diff(run, prepend=np.uint64(0)))) for p, run in runs])
 
 
 def _mark_hashes(table: pa.Table) -> pa.Table:
     """For each group's run, one bit per hash: whether another group has it too."""
     part = table.column("part")[0].as_py()
-    runs = [np.frombuffer(x, dtype=np.uint64) for x in table.column("payload").to_pylist()]
+    sent = [_expanded(x) for x in table.column("payload").to_pylist()]
+    runs = [np.cumsum(_array(x, np.uint64, len(x) // 8, 0), dtype=np.uint64) for x in sent]
     distinct, counts = np.unique(np.concatenate(runs), return_counts=True)
     shared = distinct[counts > 1]
     rows = [(g, part, np.packbits(_member(run, shared)).tobytes()) for g, run in zip(table.column("grp").to_pylist(), runs)]
@@ -219,33 +252,42 @@ def _send_blocks(docs: pa.Table, bits: pa.Table, length: int, gram: int, parts:
     starts, sizes, hashes = starts[chosen], sizes[chosen], hashes[chosen]
     owner = _parts_of(hashes, parts)
     order = np.argsort(owner, kind="stable")
-    starts, sizes, owner = starts[order], sizes[order], owner[order]
+    starts, sizes, owner, strips = starts[order], sizes[order], owner[order], _strips_of(hashes[order])
     doc = np.searchsorted(texts.bounds, starts, side="right") - 1
     cuts = np.searchsorted(owner, np.arange(parts + 1))
     sent = []
     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a < b:
-            sent.append((part, group, _pack(texts, starts[a:b], sizes[a:b], doc[a:b], length, gram)))
+            sent.append((part, group, _pack(texts, starts[a:b], sizes[a:b], strips[a:b], doc[a:b], length, gram)))
     return _table(_HASHES, sent)
 
 
-def _pack(texts: Texts, starts: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int, gram: int) -> bytes:
-    """Distinct blocks (windows, bytes) and, per place, kind, document and start."""
+def _pack(
+    texts: Texts, starts: np.ndarray, sizes: np.ndarray, strips: np.ndarray, doc: np.ndarray, length: int, gram: int
+) -> bytes:
+    """Distinct blocks (windows, strip, bytes) and, per place, kind, start and document."""
     rows = _rows_of(texts.data, starts, sizes, length, 2 * length - gram)
     index, kind = _distinct(rows)
     head = np.array([len(index), len(starts)], dtype=np.int64)
     body = _bytes_of(texts.data, starts[index], sizes[index] + length - 1)
-    parts = [head, sizes[index].astype(np.uint16), kind.astype(np.uint32), texts.ids[doc], starts.astype(np.int64), body]
-    return b"".join(x.tobytes() for x in parts)
+    ids = texts.ids[doc]
+    # Within a group the last bits tell ids apart; a null id has a number of its own.
+    short = np.where(ids == _LAST, 1 << GROUP_BITS, ids & ((1 << GROUP_BITS) - 1)).astype(np.uint16)
+    # Groups are far below 4 GB: a row that long is more than Spark holds.
+    return _squeezed(head, sizes[index].astype(np.uint16), strips[index], kind.astype(np.uint32), starts.astype(np.uint32), short, body)
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
-    distinct, places = np.frombuffer(payload, np.int64, 2).tolist()
+def _unpack(group: int, message: bytes) -> tuple[np.ndarray, ...]:
+    """(windows, strips, bytes) of distinct blocks, (kind, start, id) of places."""
+    planes = _expanded(message)
+    distinct, places = _array(planes, np.int64, 2, 0).tolist()
     at, found = 16, []
-    for kind, count in ((np.uint16, distinct), (np.uint32, places), (np.int64, places), (np.int64, places)):
-        found.append(np.frombuffer(payload, kind, count, at))
+    for kind, count in ((np.uint16, distinct), (np.uint32, distinct), (np.uint32, places), (np.uint32, places), (np.uint16, places)):
+        found.append(_array(planes, kind, count, at))
         at += count * np.dtype(kind).itemsize
-    return (*found, np.frombuffer(payload, np.uint8, offset=at))
+    sizes, strips, kinds, starts, short = found
+    ids = np.where(short == 1 << GROUP_BITS, _LAST, np.left_shift(np.int64(group), GROUP_BITS) + short.astype(np.int64))
+    return sizes, strips, np.frombuffer(planes, np.uint8, offset=at), kinds.astype(np.int64), starts.astype(np.int64), ids
 
 
 def window_owners(sizes: np.ndarray, body: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
@@ -285,24 +327,43 @@ def _own_blocks(table: pa.Table, length: int, gram: int) -> pa.Table:
     """Places of removed windows, (start, windows) in the group's bytes, for every group that sent blocks."""
     part = table.column("part")[0].as_py()
     groups = table.column("grp").to_pylist()
-    messages = [_unpack(x) for x in table.column("payload").to_pylist()]
+    messages = [_unpack(group, x) for group, x in zip(groups, table.column("payload").to_pylist())]
     width = 2 * length - gram
     sizes = np.concatenate([m[0] for m in messages]).astype(np.int64)
-    body = np.concatenate([m[4] for m in messages])
+    body = np.concatenate([m[2] for m in messages])
     begins = np.concatenate([[0], np.cumsum(sizes + length - 1)])[:-1]
     index, kind = _distinct(_rows_of(body, begins, sizes, length, width))
     # One owner per distinct block of the shard: the smallest document that has it.
     owners = np.full(len(index), _LAST, dtype=np.int64)
     shift, of_place = 0, []
-    for n, kinds, ids, _, _ in messages:
-        of_place.append(kind[shift + kinds.astype(np.int64)])
+    for n, _, _, kinds, _, ids in messages:
+        of_place.append(kind[shift + kinds])
         np.minimum.at(owners, of_place[-1], ids)
         shift += len(n)
-    chosen = _bytes_of(body, begins[index], sizes[index] + length - 1)
-    least = window_owners(sizes[index], chosen, owners, length)
     ahead = np.cumsum(sizes[index]) - sizes[index]
+    # A block that is the only one of its anchor shares no window with another, and its windows differ.
+    least = np.repeat(owners, sizes[index])
+    strips = np.concatenate([m[1] for m in messages])[index]
+    _, numbered, blocks = np.unique(strips, return_inverse=True, return_counts=True)
+    rivals = np.flatnonzero(blocks[numbered] > 1)
+    # Blocks of one anchor have one strip, so runs of strips can be sorted on their own.
+    order = rivals[np.argsort(strips[rivals], kind="stable")]
+    spans = sizes[index][order] + length
+    filled = np.cumsum(spans)
+    edges = np.flatnonzero(np.concatenate([[True], strips[order][1:] != strips[order][:-1], [True]])) if len(order) else order
+    low = 0
+    while low < len(order):
+        # As many whole strips as fit, one at least.
+        room = filled[low] - spans[low] + SYMBOLS
+        fits = edges[(edges > low) & (filled[np.maximum(edges, 1) - 1] <= room)]
+        high = int(fits[-1]) if len(fits) else int(edges[edges > low][0])
+        some = index[order[low:high]]
+        found = window_owners(sizes[some], _bytes_of(body, begins[some], sizes[some] + length - 1), owners[order[low:high]], length)
+        first = np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        least[np.repeat(ahead[order[low:high]], sizes[some]) + np.arange(len(found)) - first] = found
+        low = high
     rows = []
-    for group, (_, _, ids, starts, _), kinds in zip(groups, messages, of_place):
+    for group, (_, _, _, _, starts, ids), kinds in zip(groups, messages, of_place):
         count = sizes[index][kinds]
         first = np.repeat(np.cumsum(count) - count, count)
         offset = np.arange(int(count.sum())) - first
@@ -311,7 +372,7 @@ def _own_blocks(table: pa.Table, length: int, gram: int) -> pa.Table:
         if len(at):
             new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
             runs = np.diff(np.append(new, len(at)))
-            rows.append((group, part, np.concatenate([at[new], runs]).astype(np.int64).tobytes()))
+            rows.append((group, part, _squeezed(np.concatenate([np.diff(at[new], prepend=0), runs]))))
     return _table(_ANSWER, rows)
 
 
@@ -322,7 +383,9 @@ def _cut(docs: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     texts = Texts.of(docs)
     edge = np.zeros(len(texts.data) + 1, dtype=np.int32)
     for payload in answers.column("payload").to_pylist():
-        at, runs = np.frombuffer(payload, np.int64).reshape(2, -1)
+        found = _expanded(payload)
+        steps, runs = _array(found, np.int64, len(found) // 8, 0).reshape(2, -1)
+        at = np.cumsum(steps)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + runs - 1 + length, -1)
     gone = np.cumsum(edge[:-1]) > 0
@@ -340,7 +403,7 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, n_bytes, starts, stops, kept): removed byte runs and the remaining bytes of every row."""
     gram = gram or max(1, length * GRAM // LENGTH)
-    parts = partitions(docs.sparkSession)
+    parts = SHARDS * partitions(docs.sparkSession)
     rows = texts_of(docs, id_column, text_column)
     # Null ids are dealt by their text, so that they don't form one group.
     group = F.coalesce(F.shiftright("doc_id", GROUP_BITS), F.xxhash64("text"))
