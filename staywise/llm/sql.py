@@ -34,11 +34,10 @@ rates AS (
 steps AS (
   SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
   FROM rates, generate_series(0, 300) AS g(k)),
-bounds AS (SELECT source, list(upto) AS uptos FROM steps WHERE upto < 1 - pow(2, -52) GROUP BY source),
 drawn AS (
-  SELECT d.*, len(list_filter(b.uptos, x -> x <=
-    ('0x' || substr(md5('{SEED}:' || d.doc_id::VARCHAR), 1, {DIGITS}))::BIGINT::DOUBLE / pow(16, {DIGITS}))) AS n
-  FROM documents d JOIN bounds b USING (source))
+  SELECT d.*, (SELECT count(*) FROM steps s WHERE s.source = d.source AND s.upto < 1 - pow(2, -52) AND s.upto <=
+    ('0x' || substr(md5('{SEED}:' || d.doc_id::VARCHAR), 1, {DIGITS}))::BIGINT::DOUBLE / pow(16, {DIGITS})) AS n
+  FROM documents d)
 SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INT AS copy FROM drawn WHERE n > 0"""
 
 
