@@ -582,6 +582,12 @@ middle AS (SELECT median(t) AS m FROM file)""",
         "category_bad_values",
         with_(FEED_FOUND, f"""SELECT feature, value, count(*) AS records, CASE feature {allowed} END AS allowed FROM found
 WHERE rule = 'unknown_value' AND feature <> 'SeniorCitizen' GROUP BY feature, value"""),
+    )
+    sql(
+        "strict_batches",
+        with_(FEED_FOUND + ", counted AS (SELECT feature, rule, count(*) AS n FROM found GROUP BY 1, 2)", """SELECT 'feed' AS batch, 0::BIGINT AS records,
+  (SELECT string_agg(feature || ': ' || rule || ' in ' || n || ' record(s)', '; ' ORDER BY feature, rule) FROM counted) || '; every value is in the report' AS refusal
+UNION ALL SELECT 'conforming', (SELECT count(*) FROM feed WHERE customerID NOT IN (SELECT customerID FROM bad)), NULL"""),
     )
     sql("violation_report", with_(FEED_FOUND, "SELECT feature, rule, count(*) AS records FROM found GROUP BY 1, 2"))
     sql(
@@ -976,7 +982,7 @@ run AS (SELECT *, round(customers * (rate_pct / 100.0::DOUBLE))::BIGINT AS saved
         with_(streamed, f"""SELECT s.customerID, prediction, churn_pct, {smooth('100 * (1 - p)', 2)} AS no_churn_pct, s.risk_level,
   string_agg(action, '|' ORDER BY place) AS actions FROM scored s JOIN acts a ON s.customerID = a.customerID GROUP BY s.customerID, prediction, churn_pct, p, s.risk_level"""),
     )
-    sql("streamed_quarantine", s["contract_rejected"])
+    sql("streamed_quarantine", with_(FEED_FOUND, "SELECT customerID, Churn, 'upload' AS channel, string_agg(feature || ':' || rule, '|' ORDER BY feature || ':' || rule) AS reasons FROM found JOIN feed USING (customerID) GROUP BY customerID, Churn"))
     sql(
         "tier_report",
         with_(SCORED, f"SELECT risk_tier, count(*) AS subscribers, sum(label)::BIGINT AS churned, {money('sum(MonthlyCharges)')} AS mrr, {smooth('avg(p)', 6)} AS mean_probability FROM scored GROUP BY 1"),

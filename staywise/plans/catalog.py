@@ -266,6 +266,20 @@ def contract_rejected(spark, folder):
     return refused.select(ROLES.id, F.array_join(F.sort_array(named), "|").alias("reasons"))
 
 
+@job
+def strict_batches(spark, folder):
+    """Strict mode over the whole feed and over its conforming part: rows taken, or the refusal."""
+    whole = feed(spark, folder)
+    conforming = whole.join(contract.rejected(whole, SPEC, [ROLES.id]).select(ROLES.id), ROLES.id, "left_anti")
+    outcomes = []
+    for name, batch in (("feed", whole), ("conforming", conforming)):
+        try:
+            outcomes.append((name, contract.strict(batch, SPEC, [ROLES.id]).count(), None))
+        except contract.ContractViolation as refused:
+            outcomes.append((name, 0, str(refused)))
+    return spark.createDataFrame(outcomes, "batch string, records bigint, refusal string")
+
+
 @job
 def flag_normalised(spark, folder):
     rows = feed(spark, folder).select(F.lower(F.trim("SeniorCitizen")).alias("token"), flag_number("SeniorCitizen").alias("flag"))
@@ -1277,7 +1291,7 @@ def streamed_quarantine(spark, folder):
     schema = quarantined(feed(spark, folder), ROLES, SPEC).schema
     rows = spark.read.schema(schema).parquet(f"{sinks}/quarantine/batch=*")
     named = F.transform("violations", lambda v: F.concat_ws(":", v["feature"], v["rule"]))
-    return rows.select(ROLES.id, F.array_join(F.sort_array(named), "|").alias("reasons"))
+    return rows.select(ROLES.id, ROLES.target, "channel", F.array_join(F.sort_array(named), "|").alias("reasons"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

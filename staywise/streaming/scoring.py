@@ -31,8 +31,8 @@ def score_records(
 
 
 def quarantined(df: DataFrame, roles: ColumnRoles, spec: ContractSpec) -> DataFrame:
-    """Refused records as they arrived, with the reasons."""
-    return rejected(df, spec, [roles.id])
+    """Refused records as they arrived, every column, with the reasons."""
+    return rejected(df, spec, [roles.id, *[name for name in df.columns if name not in {roles.id, *spec.required}]])
 
 
 def start_scoring(
