@@ -43,6 +43,7 @@ FEATURES = 20_000
 MAX_ROWS = 20_000
 LEAST_TEXTS = 3
 SMOOTHING = 1.0
+PENALTY = 0.001
 SEED = 42
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -155,7 +156,7 @@ def fit(
         return SparseVector(len(slots), places[have].astype(np.int32), ratios[have])
 
     training = rows.select(F.col("label").cast("double").alias("label"), vector("slots").alias("features"))
-    fitted = LogisticRegression(maxIter=60, regParam=0.01, standardization=False).fit(training)
+    fitted = LogisticRegression(maxIter=60, regParam=PENALTY, standardization=False).fit(training)
     weights = np.zeros(1 << SLOT_BITS)
     weights[slots] = fitted.coefficients.toArray() * ratios[slots]
     return Model(weights, float(fitted.intercept))

@@ -63,8 +63,10 @@ def test_query_on_held_out_rows(spark):
     labels = {r["doc_id"]: r["toxic"] for r in load(spark, folder, "labels").collect()}
     held = [(r["predicted"], labels[r["doc_id"]], r["score"]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([p == y for p, y, _ in held]) > 0.95
+    # Clean documents are left alone.
+    assert not any(p for p, y, _ in held if not y)
     toxic, clean = [s for _, y, s in held if y], [s for _, y, s in held if not y]
-    assert np.mean([np.mean([t > c for c in clean]) for t in toxic]) > 0.95
+    assert np.mean([np.mean([t > c for c in clean]) for t in toxic]) > 0.98
 
 
 @pytest.mark.parametrize("missing", ["doc_id", "text"])
