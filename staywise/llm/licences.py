@@ -64,7 +64,7 @@ LICENCES = {
 
 #: Patterns understood alike by Spark and by the SQL the query is checked with.
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*"
-NOT_WORD = r"[^\p{L}\p{N}\n]+"
+NOT_WORD = r"[^\p{L}\p{N}\n]{2,}|[^\p{L}\p{N}\n ]"  # single blanks, which are most, stay
 SPELLINGS = (
     ("licence", "license"),
     ("licences", "licenses"),
@@ -90,7 +90,7 @@ def canonical(text: Column) -> Column:
 
 
 def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(text, r"[ \n]{2,}|\n", " "))
 
 
 def known(spark: SparkSession, licences: Mapping[str, Sequence[str]] = LICENCES, notices: Mapping[str, Sequence[str]] = NOTICES) -> DataFrame:
@@ -116,7 +116,8 @@ def scan(
     ``n_notices`` how many lines name one.
     """
     forms = texts_of(docs, id_column, text_column).select("doc_id", canonical(F.col("text")).alias("form"))
-    lines = F.filter(F.transform(F.split("form", "\n"), lambda line: _flat(line)), lambda line: line != "")
+    # Within a line of a canonical form no two blanks follow each other.
+    lines = F.filter(F.transform(F.split("form", "\n"), lambda line: F.trim(line)), lambda line: line != "")
     units = F.concat(
         F.array(F.struct(F.lit("text").alias("kind"), F.sha2(_flat(F.col("form")), 256).alias("digest"))),
         F.transform(lines, lambda line: F.struct(F.lit("line").alias("kind"), F.sha2(line, 256).alias("digest"))),
