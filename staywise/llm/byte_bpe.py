@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from staywise.llm.common import in_batches, texts_of
 
-#: Distinct pieces whose ids a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+#: Distinct pieces, and pairs of tokens, that a worker remembers before it starts afresh: some 80 MB.
+REMEMBERED = 250_000
 
 #: Characters of text whose pieces a worker looks up together.
 TOGETHER = 2 << 20
@@ -57,7 +57,7 @@ class PrefixEncoder:
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.token = {rank: token for token, rank in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         for token, rank in ranks.items():
             two = self.merged(token, 2)
             if len(token) == 1 or len(two) == 2:
@@ -104,7 +104,7 @@ class PrefixEncoder:
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Fill in the last tokens of the prefixes of ``data`` that ``last`` doesn't cover yet."""
         rank_of, longest, known, fits = self.whole.get, self.longest, self._fits, self.fits
-        if len(known) > 2 * REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
         for end in range(len(last) + 1, len(data) + 1):
             for start in range(end - longest if end > longest else 0, end):
@@ -112,10 +112,11 @@ class PrefixEncoder:
                 if rank is None:
                     continue
                 if start:
-                    pair = (last[start - 1], rank)
+                    left = last[start - 1]
+                    pair = left << 32 | rank
                     fit = known.get(pair)
                     if fit is None:
-                        fit = known[pair] = fits(*pair)
+                        fit = known[pair] = fits(left, rank)
                     if not fit:
                         continue
                 last.append(rank)
