@@ -1,11 +1,11 @@
-"""What the corpus operators share: reading two columns, Arrow batches, keeping rows by id."""
+"""What the corpus operators share: reading two columns, Arrow batches, keeping rows by id and text."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes after which a task hands a batch of results back to Spark.
@@ -29,15 +29,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_by_id(docs: DataFrame, kept: DataFrame, id_column: str = "doc_id", once: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept`` (one bigint column, unique), all columns unchanged.
+def row_key(digest: Column, doc_id: Column) -> Column:
+    """Name of the rows of one id and one text; a null id adds nothing to the digest, so it differs from any other."""
+    return F.concat_ws(":", digest, doc_id.cast("bigint").cast("string"))
 
-    A null id matches a null id.  ``once`` also drops all but one row of an id;
-    the rows already lie together after the join, so this costs no shuffle.
+
+def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each key in ``kept`` (one column, unique), all columns unchanged.
+
+    Rows of one key are combined before they are sent, so that a common one
+    reaches its task as one row per sending task; the join needs no shuffle of
+    its own, as the rows lie by key.
     """
-    wanted = kept.toDF("_kept_id")
-    found = docs.join(wanted, F.col(f"`{id_column}`").cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return found.dropDuplicates([id_column]) if once else found
+    single = docs.withColumn("_row_key", key).dropDuplicates(["_row_key"])
+    return single.join(kept.toDF("_row_key"), "_row_key", "left_semi").select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def in_batches(schema: pa.Schema, rows: Iterable[tuple], weight: Callable[[tuple], int] = lambda row: 0) -> Iterator[pa.RecordBatch]:

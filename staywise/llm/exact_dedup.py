@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm.common import in_batches, keep_by_id, partitions, texts_of
+from staywise.llm.common import in_batches, keep_rows, partitions, row_key, texts_of
 from staywise.operators.ordering import running_totals
 from staywise.session import fresh_path, stage
 
@@ -216,6 +216,11 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stay, one per text, with all their columns."""
-    kept = groups(docs, id_column, text_column).where("kept").select("doc_id").distinct()
-    return keep_by_id(docs, kept, id_column, once=True)
+    """The rows that stay, one per text, with all their columns.
+
+    A row is known by its id and text, so rows that share an id, null among
+    them, stay or go each by its own text.
+    """
+    kept = groups(docs, id_column, text_column).where("kept").select(row_key(F.col("text_sha256"), F.col("doc_id"))).distinct()
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    return keep_rows(docs, row_key(F.sha2(normalised(text), 256), F.col(f"`{id_column}`")), kept)

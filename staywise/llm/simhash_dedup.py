@@ -25,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staywise.llm.common import in_batches, keep_by_id, texts_of
+from staywise.llm.common import in_batches, keep_rows, row_key, texts_of
 from staywise.llm.components import components
 from staywise.session import stage
 
@@ -40,6 +40,7 @@ TILE = 32_768
 BLOCK_ROWS, BLOCK_COLUMNS = 32, 4096
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_KEYED = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("fp", pa.int64())])
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -61,19 +62,28 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(packed)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of every whole text; ``fp`` is the fingerprint as a signed bigint."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every whole text; ``fp`` is the fingerprint as a signed bigint.
+
+    ``keyed`` adds the key of the row's id and text, ``row_key``.
+    """
+    schema = _KEYED if keyed else _PRINTS
+    named = schema.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                for *row, text in zip(*(batch.column(c).to_pylist() for c in named), batch.column("text")):
                     found = fingerprint(text.as_py(), words)
-                    yield doc, found - (1 << 64) if found >> 63 else found
+                    yield *row, found - (1 << 64) if found >> 63 else found
 
-        return in_batches(_PRINTS, rows())
+        return in_batches(schema, rows())
 
-    return texts_of(docs, id_column, text_column).mapInArrow(run, "doc_id bigint, fp bigint")
+    texts = texts_of(docs, id_column, text_column)
+    if keyed:
+        texts = texts.withColumn("row_key", row_key(F.sha2("text", 256), F.col("doc_id")))
+        return texts.mapInArrow(run, "doc_id bigint, row_key string, fp bigint")
+    return texts.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +159,13 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     return pairs.mapInPandas(lambda frames: _forest_rows(frames, radius), "a bigint, b bigint")
 
 
+def rooted(printed: DataFrame, least: Column, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(fp, least, root): every distinct fingerprint, the aggregate ``least`` of its rows and the fingerprint that stands for its component."""
+    classes = stage(printed.groupBy("fp").agg(least.alias("least")), "classes")
+    roots = components(links(classes, radius, tile)).toDF("fp", "root")
+    return classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -159,18 +176,22 @@ def groups(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     printed = stage(fingerprints(docs, id_column, text_column, words), "fingerprints")
-    classes = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes, radius, tile)).toDF("fp", "root")
-    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = stage(rooted.join(named, "root").select("fp", "component_id"), "components")
+    found = rooted(printed, F.min("doc_id"), radius, tile)
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = stage(found.join(named, "root").select("fp", "component_id"), "components")
     return printed.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    found = groups(docs, id_column, text_column, words, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return keep_by_id(docs, kept, id_column, once=True)
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    A null id comes after all others; of texts that share the smallest id, the
+    one with the smallest digest stays.
+    """
+    printed = stage(fingerprints(docs, id_column, text_column, words, keyed=True), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key"))
+    kept = rooted(printed, first, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.row_key")
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    return keep_rows(docs, row_key(F.sha2(text, 256), F.col(f"`{id_column}`")), stage(kept, "kept"))

@@ -23,7 +23,7 @@ rows; a null id is scored like any other.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from staywise.llm.common import in_batches, keep_by_id, texts_of
+from staywise.llm.common import in_batches, texts_of
 from staywise.session import stage
 
 SLOT_BITS = 18
@@ -162,23 +162,22 @@ def fit(
     return Model(weights, float(fitted.intercept))
 
 
+def _scores(texts: Iterable[pa.StringScalar], model: Model) -> Iterator[float]:
+    seen = np.zeros(1 << SLOT_BITS, dtype=bool)
+    for text in texts:
+        _mark(text.as_py(), seen)
+        found = np.flatnonzero(seen)
+        seen[found] = False
+        margin = model.intercept + float(model.weights[found].sum())
+        yield 1 / (1 + math.exp(-margin)) if margin >= 0 else math.exp(margin) / (1 + math.exp(margin))
+
+
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text."""
-    weights, intercept = model.weights, model.intercept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SLOT_BITS, dtype=bool)
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    _mark(text.as_py(), seen)
-                    found = np.flatnonzero(seen)
-                    seen[found] = False
-                    margin = intercept + float(weights[found].sum())
-                    yield doc, 1 / (1 + math.exp(-margin)) if margin >= 0 else math.exp(margin) / (1 + math.exp(margin))
-
-        return in_batches(_SCORES, rows())
+        rows = (row for batch in batches for row in zip(batch.column("doc_id").to_pylist(), _scores(batch.column("text"), model)))
+        return in_batches(_SCORES, rows)
 
     return texts_of(docs, id_column, text_column).mapInArrow(run, "doc_id bigint, score double")
 
@@ -189,6 +188,10 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents scored below ``threshold``, with all their columns."""
-    clean = score(docs, model, id_column, text_column).where(F.col("score") < threshold).select("doc_id").distinct()
-    return keep_by_id(docs, clean, id_column)
+    """The documents scored below ``threshold``, with all their columns; every row goes by its own text, whatever its id."""
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(texts, model), pa.float64())
+
+    return docs.where(scored(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))) < threshold)

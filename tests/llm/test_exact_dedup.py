@@ -56,3 +56,9 @@ def test_deduplicate_keeps_columns(odd, odd_rows):
 
 def test_empty(none):
     assert exact_dedup.groups(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
+
+
+def test_deduplicate_keeps_every_text_of_shared_ids(spark):
+    rows = [(None, "a", "s"), (None, "b", "s"), (None, "b", "s"), (1, "x", "s"), (7, "x", "s"), (7, "y", "s"), (None, "x", "s"), (8, None, "s")]
+    kept = exact_dedup.deduplicate(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, "a"), (None, "b"), (1, "x"), (7, "y"), (8, None)], key=str)

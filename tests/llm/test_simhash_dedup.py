@@ -94,3 +94,10 @@ def test_empty(spark, none):
     assert simhash_dedup.groups(none).count() == 0 and simhash_dedup.deduplicate(none).count() == 0
     blank = frame(spark, [(1, None, "s"), (2, " ", "s")])
     assert {r["component_id"] for r in simhash_dedup.groups(blank).collect()} == {1}
+
+
+def test_deduplicate_keeps_every_component_of_shared_ids(spark):
+    a, b, c, d = sentences(21, 4, 60)
+    rows = [(None, a, "s"), (None, b, "s"), (None, b + " ", "s"), (7, c, "s"), (7, d, "s"), (None, c, "s"), (9, d, "s"), (9, " " + d, "s")]
+    kept = simhash_dedup.deduplicate(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"].strip()) for r in kept), key=str) == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)

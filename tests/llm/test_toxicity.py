@@ -76,3 +76,12 @@ def test_query_on_held_out_rows(spark):
 def test_all_null_column(spark, missing):
     docs = frame(spark, [(None if missing == "doc_id" else 1, None if missing == "text" else "a", "s")] * 2)
     assert toxicity.score(docs, toxicity.Model(np.zeros(1 << toxicity.SLOT_BITS), -1.0)).count() == 2
+
+
+def test_keeps_clean_rows_of_shared_ids_only(spark):
+    bad = "vile"
+    weights = np.zeros(1 << toxicity.SLOT_BITS)
+    weights[toxicity.slots_of(bad)] = 1.0
+    rows = [(None, "fine words", "s"), (None, bad, "s"), (7, bad, "s"), (7, "other words", "s"), (8, None, "s")]
+    kept = toxicity.keep_clean(frame(spark, rows), toxicity.Model(weights, -1.0)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, "fine words"), (7, "other words"), (8, None)], key=str)
