@@ -69,7 +69,7 @@ def op6_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.groups(load(spark, folder))
+    return line_dedup.groups(load(spark, folder), wide=True)
 
 
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
