@@ -11,8 +11,8 @@ nature and the planner decides how to join them.
 
 Defined cases: a null text is empty; an empty canonical form never matches; a
 text of several licences' form gets the first name in order; rows sharing an
-id are one document, null among them: the first digest and name in order, all
-their notices; an empty table gives no rows.
+id, null among them, are one document for each different text; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -115,23 +115,27 @@ def scan(
     distinct licences named by its lines, in order and joined by blanks,
     ``n_notices`` how many lines name one.
     """
-    forms = texts_of(docs, id_column, text_column).select("doc_id", canonical(F.col("text")).alias("form"))
+    forms = texts_of(docs, id_column, text_column).select(
+        "doc_id", F.unhex(F.sha2("text", 256)).alias("text_digest"), canonical(F.col("text")).alias("form")
+    )
     # Within a line of a canonical form no two blanks follow each other.
     lines = F.filter(F.transform(F.split("form", "\n"), lambda line: F.trim(line)), lambda line: line != "")
     units = F.concat(
         F.array(F.struct(F.lit("text").alias("kind"), F.sha2(_flat(F.col("form")), 256).alias("digest"))),
         F.transform(lines, lambda line: F.struct(F.lit("line").alias("kind"), F.sha2(line, 256).alias("digest"))),
     )
-    digests = forms.select("doc_id", F.inline(units))
+    digests = forms.select("doc_id", "text_digest", F.inline(units))
     matched = digests.join(known(docs.sparkSession, licences, notices), ["kind", "digest"], "left")
     whole, line = F.col("kind") == "text", F.col("kind") == "line"
+    # Rows repeating an id and text have their units as often as they occur, so notices are counted per whole text.
     return (
-        matched.groupBy("doc_id")
+        matched.groupBy("doc_id", "text_digest")
         .agg(
             F.min(F.when(whole, F.col("digest"))).alias("digest"),
             F.min(F.when(whole, F.col("licence"))).alias("licence"),
-            F.count(F.when(line, F.col("licence"))).alias("n_notices"),
+            F.expr("count(CASE WHEN kind = 'line' THEN licence END) DIV count(CASE WHEN kind = 'text' THEN digest END)").alias("n_notices"),
             # At most as many names as there are known licences.
             F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("licence")))), " ").alias("notices"),
         )
+        .drop("text_digest")
     )

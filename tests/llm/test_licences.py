@@ -30,3 +30,12 @@ def test_own_tables_and_ties(spark):
 def test_empty(none, odd, odd_rows):
     assert licences.scan(none).count() == 0
     assert licences.scan(odd).count() == len({i for i, _, _ in odd_rows})
+
+
+def test_rows_of_shared_ids_are_documents_by_text(spark):
+    mit = licences.LICENCES["MIT"][0]
+    rows = [(None, mit, "s"), (None, "All rights reserved.\nOther", "s"), (None, None, "s"), (2, "Prose", "s"), (2, mit, "s")]
+    rows += [(3, "Prose\nAll rights reserved.", "s")] * 2
+    got = [(r["doc_id"], r["licence"], r["n_notices"], r["notices"]) for r in licences.scan(frame(spark, rows)).collect()]
+    want = [(None, "MIT", 0, ""), (None, None, 1, "Proprietary"), (None, None, 0, ""), (2, None, 0, ""), (2, "MIT", 0, ""), (3, None, 1, "Proprietary")]
+    assert sorted(got, key=str) == sorted(want, key=str)
