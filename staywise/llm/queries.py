@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import byte_bpe, exact_dedup, fingerprints, licences, line_dedup, mixing, simhash_dedup, suffix_dedup, token_counts, toxicity
+from staywise.llm import byte_bpe, exact_dedup, fingerprints, licences, line_dedup, mixing, secrets, simhash_dedup, suffix_dedup, token_counts, toxicity
 from staywise.llm.common import load
 
 #: Tokenizer files are parameters; these are the ones the queries use.
@@ -93,6 +93,17 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(load(spark, folder))
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(load(spark, folder))
+    base = [rule.kind for rule in secrets.BASE_RULES]
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed().alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }

@@ -76,5 +76,51 @@ SELECT f.doc_id, sha256({flat('f.form')}) AS digest, w.licence, coalesce(n.n_not
 FROM forms f LEFT JOIN whole w ON w.form = {flat('f.form')} LEFT JOIN named n ON n.doc_id = f.doc_id"""
 
 
+def either_case(words: str) -> str:
+    """ASCII letters in either case, spelt out: the engine's own folding would add letters beyond ASCII."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+def secret_scan() -> str:
+    """Successive matches of every pattern; the next match's place is where its text occurs first in what is left."""
+    named = f"""({either_case("password|passwd|secret|token|api_?key")})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]"""
+    # kind, order, pattern of a match, whole pattern of a match that counts
+    rules = (
+        ("assign", named + "+)", named + "{6,})"),
+        ("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}"),
+        ("hex", "[0-9a-f]+", "[0-9a-f]{24,}"),
+        ("github", "gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]{36,}"),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+        ("private_key", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----"),
+    )
+    # Only texts with a match that counts are walked; short hexadecimal runs would be most of a text.
+    walked = "[0-9a-f]{24,}"
+    texts = " UNION ALL ".join(
+        f"SELECT row, {k} AS rule, text, regexp_extract_all(text, '{walked if kind == 'hex' else form}') AS found FROM numbered"
+        for k, (kind, form, _) in enumerate(rules)
+    )
+    kinds = " ".join(f"WHEN {k} THEN '{kind}'" for k, (kind, _, _) in enumerate(rules))
+    kept = " ".join(f"WHEN {k} THEN regexp_full_match(part, '{keep}')" for k, (_, _, keep) in enumerate(rules))
+    count = ", ".join(f"count(*) FILTER (WHERE rule = {k}) AS n_{kind}" for k, (kind, _, _) in enumerate(rules[:3]))
+    return f"""
+WITH RECURSIVE numbered AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+searched AS ({texts}),
+walk(row, rule, found, k, rest, start, stop, part) AS (
+  SELECT row, rule, found, 0, text, 0::BIGINT, 0::BIGINT, '' FROM searched WHERE len(found) > 0
+  UNION ALL
+  SELECT row, rule, found, k + 1, substr(rest, place + length(piece)), stop + place - 1, stop + place - 1 + length(piece), piece
+  FROM (SELECT *, found[k + 1] AS piece, strpos(rest, found[k + 1]) AS place FROM walk WHERE k < len(found))),
+spans AS (
+  SELECT row, rule, start, (CASE rule {kinds} END) || ':' || start || ':' || stop AS span
+  FROM walk WHERE k > 0 AND CASE rule {kept} END),
+grouped AS (
+  SELECT row, {count},
+    string_agg(span, ',' ORDER BY start, rule) FILTER (WHERE rule < 3) AS base,
+    string_agg(span, ',' ORDER BY start, rule) AS spans FROM spans GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM numbered LEFT JOIN grouped USING (row)"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup(), "op8_source_mixing": mixing(), "op10_licence_scan": licence_scan()}
+    return {"op3_exact_dedup": exact_dedup(), "op8_source_mixing": mixing(), "op10_licence_scan": licence_scan(), "op11_secret_scan": secret_scan()}
