@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import byte_bpe, exact_dedup, fingerprints, licences, line_dedup, mixing, secrets, simhash_dedup, suffix_dedup, token_counts, toxicity, whitening
+from staywise.llm import byte_bpe, exact_dedup, fingerprints, licences, line_dedup, mixing, ranked_search, secrets, simhash_dedup, suffix_dedup, token_counts, toxicity, whitening
 from staywise.llm.common import load
 
 #: Tokenizer files are parameters; these are the ones the queries use.
@@ -108,6 +108,10 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_components(load(spark, folder, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.rank_documents(load(spark, folder), load(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }

@@ -122,5 +122,32 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM numbered LEFT JOIN grouped USING (row)"""
 
 
+def ranked_search() -> str:
+    upper = "".join(chr(c) for c in range(65, 91))
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {terms} AS terms FROM documents),
+lengths AS (SELECT row, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+asked AS (
+  SELECT DISTINCT query, item_id, unnest(terms) AS term
+  FROM (SELECT row_number() OVER () AS query, * FROM (SELECT DISTINCT item_id, {terms} AS terms FROM benchmark))),
+postings AS (
+  SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(total.docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM postings, total GROUP BY term),
+impacts AS (
+  SELECT term, row, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total.docs) // total.terms))) AS part
+  FROM postings JOIN weights USING (term) JOIN lengths USING (row), total),
+scores AS (
+  SELECT query, any_value(item_id) AS item_id, row, sum(part)::BIGINT AS score
+  FROM asked JOIN impacts USING (term) GROUP BY query, row HAVING sum(part) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scores JOIN lengths USING (row)) WHERE rank <= 10"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup(), "op8_source_mixing": mixing(), "op10_licence_scan": licence_scan(), "op11_secret_scan": secret_scan()}
+    return {"op3_exact_dedup": exact_dedup(), "op8_source_mixing": mixing(), "op10_licence_scan": licence_scan(), "op11_secret_scan": secret_scan(), "op13_ranked_search": ranked_search()}
