@@ -2,16 +2,17 @@
 
 Spark's own ``median`` / ``percentile`` keep every distinct value in one
 aggregation buffer, and an unpartitioned window sorts everything in one task.
-Here values are first reduced to distinct rows, then running totals are formed
-per range slice and shifted by the totals of the slices before.  There is one
-path, whatever the size.
+Here quantiles are selected by counting buckets of leading bits; where every
+row needs its rank, values are first reduced to distinct rows, then running
+totals are formed per range slice and shifted by the totals of the slices
+before.  There is one path, whatever the size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from staywise.functions.sql import array, number, quoted, struct, text
@@ -85,56 +86,112 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return df.select(*by, F.inline(F.expr(cells))).where("value IS NOT NULL AND NOT isnan(value)")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Staged (by…, feature, value, n): the distinct values that order statistics need."""
-    counted = long_values(df, columns, by).groupBy(*by, "feature", "value").agg(F.count("*").alias("n"))
-    return stage(counted, "values")
+#: Bits of a value's place that each pass of a selection looks at, leading bits first; 64 in all.
+WIDTHS = (16, 16, 16, 16)
+
+
+def place_sql(value: str) -> str:
+    """Place of a double in the order of all doubles, as a bigint: its exponent and fraction as one whole number.
+
+    The exponent is found by a logarithm and set right where that is off by
+    one; dividing by a power of two is exact.  Both zeros have place 0.
+    """
+    size = f"abs({value})"
+    near = f"greatest(CAST(floor(ln({size}) / ln(2D)) AS INT), -1022)"
+    exponent = f"{near} - if(pow(2D, {near}) > {size} AND {near} > -1022, 1, 0) + if(pow(2D, {near} + 1) <= {size}, 1, 0)"
+    # Below 2**-1022 a double has no leading one, and the exponent field is 0.
+    fraction = f"{size} / pow(2D, {exponent})"
+    bits = f"CAST({exponent} + 1022 AS BIGINT) * {1 << 52}L + CAST({fraction} * {float(1 << 52)!r}D AS BIGINT)"
+    infinite = f"{2047 << 52}L"
+    whole = f"CASE WHEN {size} = 0 THEN 0L WHEN {size} = double('Infinity') THEN {infinite} ELSE {bits} END"
+    return f"(CASE WHEN {value} < 0 THEN -({whole}) ELSE {whole} END)"
+
+
+def measured(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, feature, value) over a staged copy of just the columns needed, for several passes."""
+    return long_values(stage(df.select(*by, *[F.col(quoted(name)) for name in columns]), "measured"), columns, by)
 
 
 def quantiles_of(
-    counted: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), slices: int | None = None
+    values: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), widths: Sequence[int] = WIDTHS
 ) -> DataFrame:
-    """Linearly interpolated quantiles of staged value counts, from ranks found with running totals."""
-    groups = [*by, "feature"]
-    ranked = running_totals(counted, "value", ["n"], groups, slices=slices, staged=True)
-    low, high = F.floor("position"), F.ceil("position")
-
-    def covers(rank: Column) -> Column:
-        return (F.col("upto_n") - F.col("n") <= rank) & (rank < F.col("upto_n"))
+    """Linearly interpolated quantiles of (by…, feature, value), found by radix selection.
 
-    # Staged, so the planner sees its true size and broadcasts it only when small.
-    wanted = stage(
-        counted.groupBy(*groups)
-        .agg(F.sum("n").alias("size"))
+    One aggregate counts the values by the leading bits of their place; the
+    buckets that hold a wanted rank are looked into by the next bits, and so
+    on until each holds one value only.  What is shuffled are bucket counts, at
+    most 2**width a group and bucket, whatever the number of values; values
+    themselves are neither sorted nor joined.
+    """
+    if sum(widths) != 64:
+        raise ValueError("the widths must add up to 64 bits")
+    groups = [*by, "feature"]
+    placed = values.withColumn("place", F.expr(place_sql("value")))
+    shift = 64 - widths[0]
+    counts = [F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")]
+    buckets = placed.groupBy(*groups, F.shiftright("place", shift).alias("prefix")).agg(*counts)
+    whole = Window.partitionBy(*groups)
+    position = F.col("probability") * (F.col("size") - 1)
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), rank(position).cast("bigint").alias("rank")) for side, rank in (("below", F.floor), ("above", F.ceil))])
+    wanted = (
+        buckets.withColumns({"size": F.sum("n").over(whole), "upto": F.sum("n").over(_along(whole, "prefix"))})
         .withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("position", F.col("probability") * (F.col("size") - 1)),
-        "positions",
+        .withColumn("position", position)
+        .select("*", F.inline(sides))
     )
-    picked = ranked.join(wanted, groups).where(covers(low) | covers(high))
-    below = F.max(F.when(covers(low), F.col("value")))
-    above = F.max(F.when(covers(high), F.col("value")))
+    kept = [*groups, "probability", "position", "side", "rank"]
+    state = stage(_holding(wanted, kept), "selected")
+    for width in widths[1:]:
+        open_ranks = state.where("low < high")
+        if open_ranks.isEmpty():
+            break
+        # Buckets still looked into: at most two for each group and probability.
+        inside = open_ranks.select(*[F.col(name).alias(f"_{name}") for name in groups], F.col("prefix").alias("_prefix"), F.col("before").alias("_before")).distinct()
+        same = F.shiftright("place", shift) == F.col("_prefix")
+        for name in groups:
+            same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+        shift -= width
+        finer = placed.join(inside, same).groupBy(*groups, "_prefix", "_before", F.shiftright("place", shift).alias("prefix")).agg(*counts)
+        upto = F.sum("n").over(_along(Window.partitionBy(*groups, "_prefix"), "prefix")) + F.col("_before")
+        finer = finer.withColumn("upto", upto)
+        ranks = open_ranks.select(*[F.col(name).alias(f"_{name}") for name in groups], F.col("prefix").alias("_bucket"), *kept[len(groups):])
+        met = F.col("_prefix") == F.col("_bucket")
+        for name in groups:
+            met = met & F.col(name).eqNullSafe(F.col(f"_{name}"))
+        state = stage(state.where("low = high").unionByName(_holding(finer.join(ranks, met), kept)), "selected")
+    below, above = (F.max(F.when(F.col("side") == side, F.col("low"))) for side in ("below", "above"))
     # Weights of both neighbours, so that equal neighbours give exactly their value.
-    weighed = (high - F.col("position")) * F.col("below") + (F.col("position") - low) * F.col("above")
-    quantile = F.when(F.col("below") == F.col("above"), F.col("below")).otherwise(weighed)
+    weighed = (F.ceil("position") - F.col("position")) * F.col("below") + (F.col("position") - F.floor("position")) * F.col("above")
     return (
-        picked.groupBy(*groups, "probability", "position")
+        state.groupBy(*groups, "probability", "position")
         .agg(below.alias("below"), above.alias("above"))
-        .select(*groups, "probability", quantile.alias("quantile"))
+        .select(*groups, "probability", F.when(F.col("below") == F.col("above"), F.col("below")).otherwise(weighed).alias("quantile"))
     )
 
 
+def _along(window: WindowSpec, order: str) -> WindowSpec:
+    return window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _holding(buckets: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Of buckets paired with ranks, those where the bucket holds the rank."""
+    before = F.col("upto") - F.col("n")
+    held = buckets.where((before <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+    return held.select(*kept, "prefix", before.alias("before"), "low", "high")
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    slices: int | None = None,
+    widths: Sequence[int] = WIDTHS,
 ) -> DataFrame:
     """(by…, feature, probability, quantile) of the measured columns."""
-    return quantiles_of(value_counts(df, columns, by), probabilities, by, slices)
+    return quantiles_of(measured(df, columns, by), probabilities, by, widths)
 
 
-def fit_medians(df: DataFrame, columns: Sequence[str], slices: int | None = None) -> dict[str, float]:
+def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Medians as fitted numbers: one per named column, so the result is small by construction."""
-    rows = exact_quantiles(df, columns, [0.5], slices=slices).collect()
+    rows = exact_quantiles(df, columns, [0.5]).collect()
     return {row["feature"]: row["quantile"] for row in rows}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from staywise.functions.expressions import is_missing, shuffled
 from staywise.functions.sql import array, number, quoted, struct, text
-from staywise.operators.ordering import exact_quantiles, long_values, quantiles_of, value_counts
+from staywise.operators.ordering import measured, quantiles_of
 from staywise.operators.portfolio import long_levels
 from staywise.roles import ColumnRoles
 from staywise.session import stage
@@ -38,9 +38,9 @@ def missing_profile(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column (and group)."""
     keys = [*by, "feature"]
+    values = measured(df, columns, by)
     moments = (
-        long_values(df, columns, by)
-        .groupBy(*keys)
+        values.groupBy(*keys)
         .agg(
             F.count("*").alias("count"),
             F.round(F.avg("value"), DIGITS).alias("mean"),
@@ -50,7 +50,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
         )
     )
     quartiles = (
-        exact_quantiles(df, columns, QUARTILES, by)
+        quantiles_of(values, QUARTILES, by)
         .groupBy(*keys)
         .agg(
             *[
@@ -67,9 +67,9 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
 def box_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Five-number summary with 1.5 IQR fences and the number of values outside them."""
     keys = [*by, "feature"]
-    counted = value_counts(df, columns, by)
+    values = measured(df, columns, by)
     quartiles = (
-        quantiles_of(counted, QUARTILES, by)
+        quantiles_of(values, QUARTILES, by)
         .groupBy(*keys)
         .agg(
             *[
@@ -83,13 +83,13 @@ def box_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     outside = (F.col("value") < F.col("low_fence")) | (F.col("value") > F.col("high_fence"))
     shape = ["q1", "q2", "q3", "low_fence", "high_fence"]
     return (
-        counted.join(stage(quartiles, "quartiles"), keys)
+        values.join(stage(quartiles, "quartiles"), keys)
         .groupBy(*keys, *shape)
         .agg(
-            F.sum("n").alias("n"),
+            F.count("*").alias("n"),
             F.round(F.min("value"), DIGITS).alias("min"),
             F.round(F.max("value"), DIGITS).alias("max"),
-            F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outliers"),
+            F.count_if(outside).alias("outliers"),
         )
         .select(
             *keys,

@@ -14,6 +14,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
@@ -169,8 +170,105 @@ def _met(leaf: Leaf, goes_left: Callable[[int], np.ndarray], rows: int) -> np.nd
 MOST_LEAVES = 1_000_000
 
 
+#: Numbers of the share table; an ensemble beyond that is explained batch by batch.
+MOST_SHARES = 4_000_000
+#: Splits up to which a tree is one piece of the table, with a bit for each split.
+PIECE_SPLITS = 8
+
+
+@dataclass(frozen=True)
+class Piece:
+    """Part of an ensemble that a few yes/no answers decide: their conditions, and the features' shares for every answer.
+
+    A small tree is one piece, its splits are the answers.  Of a larger tree
+    every leaf is one; the answers are, for each path feature, whether the row
+    meets all conditions on it.
+    """
+
+    conditions: tuple[str, ...]
+    shares: np.ndarray
+
+
+def _split_sql(node: Node, left: bool = True) -> str:
+    return f"x[{node.feature}] {'<=' if left else '>'} {number(node.threshold)}"
+
+
+def _answers(bits: int) -> np.ndarray:
+    """All combinations of ``bits`` answers, row k holding those of the mask k."""
+    return (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+
+
+def pieces(trees: Sequence[Tree], width: int) -> list[Piece] | None:
+    """The share table of an ensemble, or none where it would have more than ``MOST_SHARES`` numbers."""
+    found: list[Piece] = []
+    room = MOST_SHARES
+    for tree in trees:
+        splits = tree.splits
+        if not splits:
+            continue
+        if len(splits) <= PIECE_SPLITS:
+            parts = [(tuple(_split_sql(tree.nodes[s]) for s in splits), leaves(tree))]
+        else:
+            parts = [
+                (tuple(" AND ".join(_split_sql(tree.nodes[s], left) for s, left in conditions) for conditions in leaf.conditions.values()), [leaf])
+                for leaf in leaves(tree)
+            ]
+        for conditions, of_piece in parts:
+            room -= width << len(conditions)
+            if room < 0:
+                return None
+            answers = _answers(len(conditions))
+            shares = np.zeros((len(answers), width))
+            for leaf in of_piece:
+                whole = len(splits) <= PIECE_SPLITS
+                met = _met(leaf, lambda s: answers[:, splits.index(s)] == 1, len(answers)) if whole else answers.astype(float)
+                shares[:, list(leaf.ratios)] += leaf_shares(leaf, met)
+            found.append(Piece(conditions, shares))
+    return found
+
+
+def share_table(spark: SparkSession, table: Sequence[Piece]) -> DataFrame:
+    """(piece, mask, s0, s1, …): one row for every answer of every piece, of known size."""
+    counts = [len(piece.shares) for piece in table]
+    shares = np.concatenate([piece.shares for piece in table])
+    columns = {
+        "piece": pa.array(np.repeat(np.arange(len(table), dtype=np.int32), counts)),
+        "mask": pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts])),
+    }
+    return spark.createDataFrame(pa.table(columns | {f"s{i}": shares[:, i] for i in range(shares.shape[1])}))
+
+
+def joined_attributions(rows: DataFrame, table: Sequence[Piece], key: str, width: int) -> DataFrame:
+    """(key, x, attributions) by one join and one sum: a row meets each piece once, in the answer it gives.
+
+    Sums form where the row lies, before anything is shuffled.
+    """
+    masks = array(
+        " + ".join(f"if({condition}, {1 << bit}, 0)" for bit, condition in enumerate(piece.conditions)) for piece in table
+    )
+    met = rows.select(key, "x", F.monotonically_increasing_id().alias("_row")).select("*", F.posexplode(F.expr(masks)).alias("piece", "mask"))
+    sums = met.join(share_table(rows.sparkSession, table), ["piece", "mask"]).groupBy(key, "_row").agg(
+        F.any_value("x").alias("x"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]
+    )
+    return sums.select(key, "x", F.array(*[f"s{i}" for i in range(width)]).alias("attributions"))
+
+
 def array_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, width: int) -> DataFrame:
-    """(key, x, attributions) of rows whose features are an array ``x``, batch by batch.
+    """(key, x, attributions) of rows whose features are an array ``x``, one for each row, whatever its key.
+
+    By the share table if it has at most ``MOST_SHARES`` numbers, else batch by
+    batch; both give the same shares.
+    """
+    table = pieces(trees, width)
+    if table is None:
+        return batch_attributions(rows, trees, key, width)
+    if not table:
+        return rows.select(key, "x", F.array_repeat(F.lit(0.0), width).alias("attributions"))
+    return joined_attributions(rows, table, key, width)
+
+
+def batch_attributions(rows: DataFrame, trees: Sequence[Tree], key: str, width: int) -> DataFrame:
+    """(key, x, attributions) of ensembles with deep trees.
 
     Each batch evaluates a leaf only for the distinct condition patterns that
     occur in it.  Rows are independent, so nothing is shuffled; every task

@@ -100,11 +100,46 @@ def test_margin_of_a_small_ensemble_and_its_limit(spark, numbers, monkeypatch):
     margin = trees.ensemble_margin(ensemble, lambda i: F.col("x")[i])
     total = F.aggregate("attributions", F.lit(trees.base_value(ensemble)), lambda a, b: a + b)
     assert rows.select(F.max(F.abs(margin - total))).first()[0] < 1e-9
+    monkeypatch.setattr(trees, "MOST_SHARES", 0)
     monkeypatch.setattr(trees, "MOST_LEAVES", 5)
     with pytest.raises(ValueError, match="leaves"):
         trees.tree_attributions(numbers, ensemble, "id", "features", 4)
 
 
+@pytest.mark.parametrize("most_splits", [0, 3, 8])
+def test_share_table_and_batches_agree(spark, numbers, monkeypatch, most_splits):
+    """Whole trees and single leaves as pieces; rows that share a key stay apart."""
+    monkeypatch.setattr(trees, "PIECE_SPLITS", most_splits)
+    model = RandomForestClassifier(numTrees=4, maxDepth=5, seed=4).fit(numbers)
+    ensemble = trees.read_trees(model)
+    rows = numbers.select((F.col("id") % 7).alias("id"), vector_to_array("features").alias("x"))
+    table = trees.pieces(ensemble, 4)
+    assert trees.share_table(spark, table).count() == sum(len(p.shares) for p in table)
+
+    def shares(df):
+        local = df.toPandas()
+        return sorted([(k, *x, *np.round(a, 9) + 0.0) for k, x, a in zip(local["id"], local["x"], local["attributions"])])
+
+    joined, batches = shares(trees.joined_attributions(rows, table, "id", 4)), shares(trees.batch_attributions(rows, ensemble, "id", 4))
+    assert len(joined) == 400 and np.allclose(joined, batches, atol=1e-8)
+
+
+def test_size_of_the_share_table_is_bounded(spark, numbers, monkeypatch, capsys):
+    ensemble = trees.read_trees(GBTClassifier(maxIter=4, maxDepth=3, seed=2).fit(numbers))
+    size = sum(p.shares.size for p in trees.pieces(ensemble, 4))
+    trees.tree_attributions(numbers, ensemble, "id", "features", 4).explain()
+    plan = capsys.readouterr().out
+    assert "InPandas" not in plan and "InArrow" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(trees, "MOST_SHARES", size - 1)
+    assert trees.pieces(ensemble, 4) is None
+
+
+def test_trees_without_splits(spark):
+    rows = spark.createDataFrame([("a", [1.0])], "k string, x array<double>")
+    stump = trees.Tree(1.0, {0: trees.Node(0.3, 10.0)})
+    assert trees.array_attributions(rows, [stump], "k", 1).first()["attributions"] == [0.0]
+
+
 def test_other_models_are_refused(numbers):
     assert trees.explainer_kind(LogisticRegression().fit(numbers)) == "linear"
     with pytest.raises(TypeError):
