@@ -443,7 +443,7 @@ def brute_force_shapley() -> str:
 
 def ranked_shapley() -> str:
     cells = union(
-        f"SELECT customerID, {q(name)} AS feature, {smooth(value, 6)} AS value, {phi} AS contribution FROM clean"
+        f"SELECT customerID, {q(name)} AS feature, {smooth(value, 8)} AS value, {phi} AS contribution FROM clean"
         for name, value, phi in zip(catalog.FIXED_INPUTS, FROZEN, shapley_columns(FROZEN))
     )
     return with_(

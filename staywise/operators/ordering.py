@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from staywise.functions.sql import array, number, quoted, struct, text
@@ -108,14 +108,14 @@ def place_sql(value: str) -> str:
 
 
 def measured(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by…, feature, value) over a staged copy of just the columns needed, for several passes."""
-    return long_values(stage(df.select(*by, *[F.col(quoted(name)) for name in columns]), "measured"), columns, by)
+    """Staged (by…, feature, value, place), for several passes."""
+    return stage(long_values(df, columns, by).withColumn("place", F.expr(place_sql("value"))), "measured")
 
 
 def quantiles_of(
     values: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), widths: Sequence[int] = WIDTHS
 ) -> DataFrame:
-    """Linearly interpolated quantiles of (by…, feature, value), found by radix selection.
+    """Linearly interpolated quantiles of ``measured`` values, found by radix selection.
 
     One aggregate counts the values by the leading bits of their place; the
     buckets that hold a wanted rank are looked into by the next bits, and so
@@ -126,10 +126,9 @@ def quantiles_of(
     if sum(widths) != 64:
         raise ValueError("the widths must add up to 64 bits")
     groups = [*by, "feature"]
-    placed = values.withColumn("place", F.expr(place_sql("value")))
     shift = 64 - widths[0]
     counts = [F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")]
-    buckets = placed.groupBy(*groups, F.shiftright("place", shift).alias("prefix")).agg(*counts)
+    buckets = values.groupBy(*groups, F.shiftright("place", shift).alias("prefix")).agg(*counts)
     whole = Window.partitionBy(*groups)
     position = F.col("probability") * (F.col("size") - 1)
     sides = F.array(*[F.struct(F.lit(side).alias("side"), rank(position).cast("bigint").alias("rank")) for side, rank in (("below", F.floor), ("above", F.ceil))])
@@ -140,25 +139,25 @@ def quantiles_of(
         .select("*", F.inline(sides))
     )
     kept = [*groups, "probability", "position", "side", "rank"]
-    state = stage(_holding(wanted, kept), "selected")
+    state, unsettled = _staged(_holding(wanted, kept))
     for width in widths[1:]:
-        open_ranks = state.where("low < high")
-        if open_ranks.isEmpty():
+        if not unsettled:
             break
+        open_ranks = state.where("low < high")
         # Buckets still looked into: at most two for each group and probability.
         inside = open_ranks.select(*[F.col(name).alias(f"_{name}") for name in groups], F.col("prefix").alias("_prefix"), F.col("before").alias("_before")).distinct()
         same = F.shiftright("place", shift) == F.col("_prefix")
         for name in groups:
             same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
         shift -= width
-        finer = placed.join(inside, same).groupBy(*groups, "_prefix", "_before", F.shiftright("place", shift).alias("prefix")).agg(*counts)
+        finer = values.join(inside, same).groupBy(*groups, "_prefix", "_before", F.shiftright("place", shift).alias("prefix")).agg(*counts)
         upto = F.sum("n").over(_along(Window.partitionBy(*groups, "_prefix"), "prefix")) + F.col("_before")
         finer = finer.withColumn("upto", upto)
         ranks = open_ranks.select(*[F.col(name).alias(f"_{name}") for name in groups], F.col("prefix").alias("_bucket"), *kept[len(groups):])
         met = F.col("_prefix") == F.col("_bucket")
         for name in groups:
             met = met & F.col(name).eqNullSafe(F.col(f"_{name}"))
-        state = stage(state.where("low = high").unionByName(_holding(finer.join(ranks, met), kept)), "selected")
+        state, unsettled = _staged(state.where("low = high").unionByName(_holding(finer.join(ranks, met), kept)))
     below, above = (F.max(F.when(F.col("side") == side, F.col("low"))) for side in ("below", "above"))
     # Weights of both neighbours, so that equal neighbours give exactly their value.
     weighed = (F.ceil("position") - F.col("position")) * F.col("below") + (F.col("position") - F.floor("position")) * F.col("above")
@@ -173,6 +172,12 @@ def _along(window: WindowSpec, order: str) -> WindowSpec:
     return window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _staged(state: DataFrame) -> tuple[DataFrame, int]:
+    """The staged state, and how many ranks lie in buckets of several values, counted as it is written."""
+    seen = Observation()
+    return stage(state.observe(seen, F.count_if(F.col("low") < F.col("high")).alias("open")), "selected"), seen.get["open"]
+
+
 def _holding(buckets: DataFrame, kept: Sequence[str]) -> DataFrame:
     """Of buckets paired with ranks, those where the bucket holds the rank."""
     before = F.col("upto") - F.col("n")

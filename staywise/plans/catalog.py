@@ -1093,7 +1093,7 @@ def tree_additivity(spark, folder):
 def tree_top_attributions(spark, folder):
     """The two inputs that move each subscriber's score most."""
     ranked = trees.ranked_attributions(frozen_attributions(clean(spark, folder)), FIXED_INPUTS, ROLES.id, 2)
-    return ranked.select(ROLES.id, "rank", "feature", F.round("value", 6).alias("value"), F.round("contribution", 9).alias("contribution"))
+    return ranked.select(ROLES.id, "rank", "feature", F.round("value", 8).alias("value"), F.round("contribution", 9).alias("contribution"))
 
 
 @job

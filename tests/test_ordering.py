@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from staywise.operators.ordering import exact_quantiles, fit_medians, numbered, place_sql, quantiles_of, running_totals
+from staywise.operators.ordering import exact_quantiles, fit_medians, measured, numbered, place_sql, quantiles_of, running_totals
 
 PROBABILITIES = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
 
@@ -65,7 +65,7 @@ def test_quantiles_of_close_and_huge_values(spark):
 
 
 def test_quantiles_neither_sort_nor_range_partition(spark, capsys):
-    quantiles_of(skewed(spark).select(F.lit("v").alias("feature"), F.col("v").alias("value")), (0.5,)).explain()
+    quantiles_of(measured(skewed(spark), ["v"]), (0.5,)).explain()
     assert "rangepartitioning" not in capsys.readouterr().out
 
 
