@@ -29,6 +29,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(digest: Column, doc_id: Column) -> Column:
     """Name of the rows of one id and one text; a null id adds nothing to the digest, so it differs from any other."""
     return F.concat_ws(":", digest, doc_id.cast("bigint").cast("string"))
@@ -41,8 +49,9 @@ def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     reaches its task as one row per sending task; the join needs no shuffle of
     its own, as the rows lie by key.
     """
-    single = docs.withColumn("_row_key", key).dropDuplicates(["_row_key"])
-    return single.join(kept.toDF("_row_key"), "_row_key", "left_semi").select(*[F.col(f"`{name}`") for name in docs.columns])
+    name = free_name(docs, "row_key")
+    single = docs.withColumn(name, key).dropDuplicates([name])
+    return single.join(kept.toDF(name), name, "left_semi").select(*[F.col(f"`{column}`") for column in docs.columns])
 
 
 def in_batches(schema: pa.Schema, rows: Iterable[tuple], weight: Callable[[tuple], int] = lambda row: 0) -> Iterator[pa.RecordBatch]:
