@@ -20,6 +20,11 @@ WEIGHTS = {f"src{k}": 0.1 if k == 0 else 0.08 if k <= 5 else 0.04 for k in range
 EPOCHS = 1.0
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """Sources without a weight, and rows without a source, keep their share of the characters."""
+    return mixing.mix(docs, WEIGHTS, EPOCHS, others=EPOCHS)
+
+
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
     """Fitted on the labelled rows outside the held-out fifth."""
     labels = toxicity.labelled_rows(load(spark, folder, "labels")).where(~toxicity.held_out())
@@ -73,7 +78,7 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(load(spark, folder), WEIGHTS, EPOCHS)
+    return mixed(load(spark, folder))
 
 
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,14 +29,18 @@ def mixing() -> str:
 WITH weights(source, weight) AS (VALUES {listed}),
 sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY source),
 rates AS (
-  SELECT source, {EPOCHS!r}::DOUBLE * (SELECT sum(size) FROM sizes) * (weight / sum(weight) OVER ()) / size AS rate
+  SELECT source, {EPOCHS!r}::DOUBLE * (sum(size) OVER ()) * (weight / sum(weight) OVER ()) / size AS rate
   FROM sizes JOIN weights USING (source) WHERE size > 0),
+each AS (
+  SELECT DISTINCT d.source, CASE WHEN w.source IS NULL THEN {EPOCHS!r}::DOUBLE ELSE r.rate END AS rate
+  FROM documents d LEFT JOIN weights w ON w.source = d.source LEFT JOIN rates r ON r.source = d.source),
 steps AS (
   SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
-  FROM rates, generate_series(0, 300) AS g(k)),
+  FROM (SELECT source, rate, unnest(generate_series(0, ceil(rate + 60 + 14 * sqrt(rate))::BIGINT)) AS k FROM each WHERE rate > 0)),
 drawn AS (
-  SELECT d.*, (SELECT count(*) FROM steps s WHERE s.source = d.source AND s.upto < 1 - pow(2, -52) AND s.upto <=
-    ('0x' || substr(md5('{SEED}:' || d.doc_id::VARCHAR), 1, {DIGITS}))::BIGINT::DOUBLE / pow(16, {DIGITS})) AS n
+  SELECT d.*, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.upto < 1 - pow(2, -52) AND s.upto <=
+    ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || coalesce(d.text, '')), 1, {DIGITS}))::BIGINT::DOUBLE
+    / pow(16, {DIGITS})) AS n
   FROM documents d)
 SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INT AS copy FROM drawn WHERE n > 0"""
 

@@ -2,13 +2,14 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from staywise.llm import mixing
 from tests.llm.conftest import frame, sentences
 
 
-def drawn(rate, doc, seed=42):
-    u = int(hashlib.md5(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()[:13], 16) / 16**13
+def drawn(rate, doc, text, seed=42):
+    u = int(hashlib.md5(f"{seed}:{'null' if doc is None else doc}:{text or ''}".encode()).hexdigest()[:13], 16) / 16**13
     k, upto = 0, math.exp(-rate)
     while upto <= u:
         k += 1
@@ -25,7 +26,7 @@ def test_against_brute_force(odd, odd_rows):
         size[s] = size.get(s, 0) + len(t or "")
     total, whole = sum(size.values()), sum(w for s, w in WEIGHTS.items() if size.get(s))
     rate = {s: 2 * total * w / whole / size[s] for s, w in WEIGHTS.items() if size.get(s)}
-    want = sorted(((i, t, s, k) for i, t, s in odd_rows if rate.get(s) for k in range(1, drawn(rate[s], i) + 1)), key=str)
+    want = sorted(((i, t, s, k) for i, t, s in odd_rows if rate.get(s) for k in range(1, drawn(rate[s], i, t) + 1)), key=str)
     mixed = mixing.mix(odd, WEIGHTS, epochs=2.0)
     # ``copy`` is taken, so the copy number is called copy_.
     assert mixed.columns == [*odd.columns, "copy_"]
@@ -46,12 +47,35 @@ def test_shuffle_spreads_copies_and_sources(spark):
     assert order != sorted(order) and 100 < sum(x < 500 for x in order[:400]) < 300
 
 
-@pytest.mark.parametrize("rate", [0.01, 1.0, 30.0, 2000.0])
+@pytest.mark.parametrize("rate", [0.01, 1.0, 30.0, 2000.0, 1e6])
 def test_distribution(rate):
-    sums = mixing.distribution(rate)
+    first, sums = mixing.distribution(rate)
     assert sums == sorted(sums) and sums[-1] == pytest.approx(1, abs=1e-9)
-    mean = sum(1 - x for x in sums)
-    assert mean == pytest.approx(rate, rel=1e-6)
+    assert first + sum(1 - x for x in sums) == pytest.approx(rate, rel=1e-6)
+    assert len(sums) < 130 + 29 * math.sqrt(rate)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_null_and_shared_ids_draw_row_by_row(spark, seed):
+    rows = [(None, text, "a") for text in sentences(11, 1000, 6)] + [(7, text, "a") for text in sentences(12, 1000, 6)]
+    rows += [(None, "same text", "a")] * 500
+    mixed = mixing.mix(frame(spark, rows), {"a": 1.0}, 2.0, seed)
+    by_id = dict(mixed.where("text <> 'same text'").groupBy("doc_id").count().collect())
+    assert by_id[None] == pytest.approx(2000, abs=250) and by_id[7] == pytest.approx(2000, abs=250)
+    sizes = [r[0] for r in mixed.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_sources_without_a_weight(spark):
+    rows = [(k, text, ("a", "b", None, "new")[k % 4]) for k, text in enumerate(sentences(13, 2000, 6))]
+    docs = frame(spark, rows)
+    weights = {"a": 0.8, "b": 0.2, "zero": 0.0}
+    size = {s: sum(len(t) for _, t, x in rows if x == s) for s in ("a", "b")}
+    rate = {s: sum(size.values()) * weights[s] / size[s] for s in size}
+    want = {s: sum(drawn(rate.get(s, 1.0), i, t) for i, t, x in rows if x == s) for s in ("a", "b", None, "new")}
+    found = dict(mixing.mix(docs, weights, others=1.0).groupBy("source").count().collect())
+    assert found == want and found["new"] > 400
+    assert set(dict(mixing.mix(docs, weights).groupBy("source").count().collect())) == {"a", "b"}
 
 
 def test_no_weights_and_empty(odd, none):
