@@ -11,7 +11,8 @@ text's slots up in one table of 2**18 numbers, without a shuffle.
 
 The model is fitted on at most ``max_rows`` labelled rows (a documented bound:
 those with the smallest seeded hash of the id); slot counts are aggregated by
-Spark, the fit is Spark ML's.  Scoring covers every whole text.
+Spark, the fit is Spark ML's.  Scoring covers every whole text, a very long one
+in segments.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept alone; labels that are null or not 0/1 are ignored, as are labels of
@@ -23,13 +24,14 @@ rows; a null id is scored like any other.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,10 @@ LEAST_TEXTS = 3
 SMOOTHING = 1.0
 PENALTY = 0.001
 SEED = 42
+#: Characters of a text whose n-grams are worked out at a time.
+SEGMENT = 1 << 16
+#: Rows that the filter hands back at a time.
+FILTERED_ROWS = 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("slots", pa.list_(pa.int32()))])
@@ -69,6 +75,12 @@ def slots_of(text: str) -> np.ndarray:
 def _mark(text: str, seen: np.ndarray) -> None:
     """Set the slots of a text.  An n-gram may have a blank at either end but none inside."""
     folded = " " + " ".join(text.lower().split()) + " "
+    # A long text is read in segments, each with the beginning of the next, so that no n-gram is cut.
+    for at in range(0, len(folded), SEGMENT):
+        _mark_segment(folded[at : at + SEGMENT + max(SIZES) - 1], seen)
+
+
+def _mark_segment(folded: str, seen: np.ndarray) -> None:
     chars = np.frombuffer(folded.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
     blank = chars == 32
     grams = np.zeros(len(chars), dtype=np.uint64)
@@ -114,6 +126,7 @@ def fit(
     text_column: str = "text",
     max_rows: int = MAX_ROWS,
     features: int = FEATURES,
+    penalty: float = PENALTY,
 ) -> Model:
     """Fit on ``labels`` (doc_id, label), at most ``max_rows`` of them."""
     order = F.xxhash64("doc_id", F.lit(SEED))
@@ -146,17 +159,12 @@ def fit(
     slots = np.flatnonzero(ratios)
     if not len(slots):
         return Model(ratios, math.log((toxic + SMOOTHING) / (clean + SMOOTHING)))
-    places = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
-    places[slots] = np.arange(len(slots))
-
-    @F.udf(returnType=VectorUDT())
-    def vector(found: list[int]) -> SparseVector:
-        have = np.array(found, dtype=np.int64)
-        have = have[places[have] >= 0]
-        return SparseVector(len(slots), places[have].astype(np.int32), ratios[have])
-
-    training = rows.select(F.col("label").cast("double").alias("label"), vector("slots").alias("features"))
-    fitted = LogisticRegression(maxIter=60, regParam=PENALTY, standardization=False).fit(training)
+    # A text's picked slots as ones, scaled by the ratios: both in the JVM.
+    ones = CountVectorizerModel.from_vocabulary([str(slot) for slot in slots], inputCol="words", outputCol="ones")
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratios[slots]), inputCol="ones", outputCol="features")
+    training = rows.select(F.col("label").cast("double").alias("label"), F.col("slots").cast("array<string>").alias("words"))
+    training = scaled.transform(ones.setBinary(True).setMinTF(1.0).transform(training)).select("label", "features")
+    fitted = LogisticRegression(maxIter=60, regParam=penalty, standardization=False).fit(training)
     weights = np.zeros(1 << SLOT_BITS)
     weights[slots] = fitted.coefficients.toArray() * ratios[slots]
     return Model(weights, float(fitted.intercept))
@@ -165,7 +173,7 @@ def fit(
 def _scores(texts: Iterable[pa.StringScalar], model: Model) -> Iterator[float]:
     seen = np.zeros(1 << SLOT_BITS, dtype=bool)
     for text in texts:
-        _mark(text.as_py(), seen)
+        _mark(text.as_py() or "", seen)
         found = np.flatnonzero(seen)
         seen[found] = False
         margin = model.intercept + float(model.weights[found].sum())
@@ -187,11 +195,29 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_column}`").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True))
 
 
+def penalty_losses(docs: DataFrame, labels: DataFrame, penalties: Sequence[float], folds: int = 4) -> dict[float, float]:
+    """Mean log loss of every penalty over folds of ``labels``, rows of a fold scored by a model fitted on the others."""
+    losses = dict.fromkeys(penalties, 0.0)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(folds))
+    for k in range(folds):
+        held = stage(texts_of(docs).join(labels.where(fold == k), "doc_id"), "toxic-fold")
+        for penalty in penalties:
+            scored = score(held, fit(docs, labels.where(fold != k), penalty=penalty)).join(labels, "doc_id")
+            right = F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))
+            losses[penalty] += (scored.agg(F.avg(-F.log(F.greatest(right, F.lit(1e-15))))).first()[0] or 0.0) / folds
+    return losses
+
+
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents scored below ``threshold``, with all their columns; every row goes by its own text, whatever its id."""
 
-    @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(_scores(texts, model), pa.float64())
-
-    return docs.where(scored(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))) < threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string())
+            # Handed back in small parts: the rows waiting in a task are then one batch and little else.
+            for at in range(0, len(batch), FILTERED_ROWS):
+                clean = [found < threshold for found in _scores(texts.slice(at, FILTERED_ROWS), model)]
+                yield batch.slice(at, FILTERED_ROWS).filter(pa.array(clean, pa.bool_()))
+
+    place = docs.columns.index(text_column)
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from tests.llm.test_simhash_dedup import closed, slow_print
 def test_registered():
     names = list(registry.queries())
     assert [n for n in names if re.match(r"op\d+_", n)] == list(queries.QUERIES) and "pipeline" in names
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(sql.statements()))
@@ -72,6 +72,6 @@ def test_pipeline(spark):
     want = []
     for i, text, source in near:
         digest = hashlib.sha256(text.encode()).hexdigest()
-        want += [(i, len(coding.encode_ordinary(text)), digest)] * (drawn(rate[source], i) if source in rate else 0)
+        want += [(i, len(coding.encode_ordinary(text)), digest)] * drawn(rate.get(source, queries.EPOCHS), i, text)
     got = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got) == sorted(want)

@@ -32,6 +32,53 @@ def test_slots_are_those_of_word_grams():
     assert all(slots.values())
 
 
+def test_long_texts_are_read_in_segments(monkeypatch):
+    texts = sentences(3, 4, 400) + ["x" * 500, "é " * 300]
+    whole = [toxicity.slots_of(text).tolist() for text in texts]
+    monkeypatch.setattr(toxicity, "SEGMENT", 17)
+    assert [toxicity.slots_of(text).tolist() for text in texts] == whole
+
+
+def test_scores_against_a_plain_sum(spark):
+    """Log-count ratios, picked slots and scores worked out anew from the definition."""
+    texts = sentences(4, 120, 8)
+    rows = [(k, t + (" foul" if k % 3 == 0 else ""), "s") for k, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(100)], "doc_id long, label int")
+    model = toxicity.fit(docs, labels, features=300)
+    counts = {0: {}, 1: {}}
+    for k, text, _ in rows[:100]:
+        for slot in toxicity.slots_of(text).tolist():
+            of = counts[int(k % 3 == 0)]
+            of[slot] = of.get(slot, 0) + 1
+    toxic = sum(k % 3 == 0 for k in range(100))
+    ratio, pull = {}, {}
+    for slot in {*counts[0], *counts[1]}:
+        p, q = counts[1].get(slot, 0) + 1, counts[0].get(slot, 0) + 1
+        if p + q - 2 >= toxicity.LEAST_TEXTS:
+            ratio[slot] = np.log(p / (toxic + 2)) - np.log(q / (102 - toxic))
+            pull[slot] = abs(ratio[slot]) / np.sqrt(1 / p + 1 / q)
+    best = sorted(pull, key=lambda slot: (-round(pull[slot], 12), slot))[:300]
+    assert set(np.flatnonzero(model.weights).tolist()) <= {slot for slot in ratio if pull[slot] >= pull[best[-1]] - 1e-9}
+    x = np.array([[ratio[s] if s in set(toxicity.slots_of(t).tolist()) else 0.0 for s in best] for _, t, _ in rows])
+    y = np.array([float(k % 3 == 0) for k in range(100)])
+    w, b = model.weights[best] / np.array([ratio[s] for s in best]), model.intercept
+    # The fit stands at the least penalised loss: its gradient vanishes.
+    residual = 1 / (1 + np.exp(-(x[:100] @ w + b))) - y
+    assert np.abs(x[:100].T @ residual / 100 + toxicity.PENALTY * w).max() < 1e-3 and abs(residual.mean()) < 1e-3
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for k in range(120):
+        assert found[k] == pytest.approx(1 / (1 + np.exp(-(x[k] @ w + b))), abs=1e-9)
+
+
+def test_penalty_losses_use_the_given_labels_only(spark):
+    texts = sentences(6, 80, 8)
+    docs = frame(spark, [(k, t + (" foul" if k % 2 else ""), "s") for k, t in enumerate(texts)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, label int")
+    losses = toxicity.penalty_losses(docs, labels, [0.001, 100.0], folds=2)
+    assert losses[0.001] < losses[100.0] and losses[100.0] == pytest.approx(np.log(2), abs=0.15)
+
+
 def test_learns_a_word(spark):
     texts = sentences(1, 200)
     rows = [(k, t + (" vile" if k % 4 == 0 else ""), "s") for k, t in enumerate(texts)]
