@@ -1,4 +1,11 @@
-"""From raw documents to training tokens: five stages, each over all that the one before kept."""
+"""From raw documents to training tokens: five stages, each over all that the one before kept.
+
+Defined cases: a null text is an empty one and goes through every stage; rows
+with a null id, or sharing an id, are told apart by their text, and one of those
+equal in both is kept; columns beyond those of ``documents`` are carried along,
+whatever their names; a null source, or one without a weight, keeps its share;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +13,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staywise.llm import exact_dedup, mixing, queries, simhash_dedup, toxicity
+from staywise.llm import exact_dedup, queries, simhash_dedup, toxicity
 from staywise.llm.common import load
 from staywise.session import shared_folder
 
@@ -31,7 +39,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, queries.WEIGHTS, queries.EPOCHS).select(*docs.columns)
+    return queries.mixed(docs).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
