@@ -32,7 +32,8 @@ from oracles.base import (
     with_,
 )
 from staywise.plans import catalog
-from staywise.plans.mart import ADDONS, LIFETIME_MEDIAN, MART_DOMAINS, MART_ROLES
+from staywise.functions.expressions import FLAG_ALIASES
+from staywise.plans.mart import ADDONS, LIFETIME_MEDIAN, MART_DOMAINS, MART_ROLES, NARROW_ALIASES
 from staywise.plans.scorecards import ARCHETYPES, SCENARIOS, SCORECARD_V1, SCORECARD_V2
 
 NUMERICS = MART_ROLES.numerics
@@ -366,6 +367,30 @@ FROM scored CROSS JOIN own GROUP BY archetype""",
     )
 
 
+def contract_declared() -> str:
+    """Items of both versions' contract and encoder with the subscribers they concern, one aggregate over the mart."""
+    sides: list[set] = []
+    for aliases, card in ((FLAG_ALIASES, SCORECARD_V1), (NARROW_ALIASES, SCORECARD_V2)):
+        features = MART_ROLES.categoricals + MART_ROLES.numerics
+        items = {("required", c, "*", f"{c} IS NOT NULL") for c in features}
+        items |= {("flag", "SeniorCitizen", "*", "SeniorCitizen IS NOT NULL"), ("imputed", "TotalCharges", repr(float(LIFETIME_MEDIAN)), "TotalCharges IS NOT NULL")}
+        items |= {("numeric", c, "*", f"{c} IS NOT NULL") for c in ("tenure", "MonthlyCharges", "TotalCharges")}
+        items |= {("category", c, "*", f"{c} IS NOT NULL") for c in MART_DOMAINS}
+        items |= {("alias", "SeniorCitizen", f"{k}={v}", f"SeniorCitizen::VARCHAR = {q(k)}") for k, v in aliases.items()}
+        items |= {("level", c, level, f"{c} = {q(level)}") for c, levels in MART_DOMAINS.items() for level in levels}
+        items |= {("encoded level", f.raw, f.level, f"{f.raw}::VARCHAR = {q(f.level)}") for f in card.features if f.level is not None}
+        items |= {("scaling", c, f"{float(card.means[c])}, {float(card.deviations[c])}", f"{c} IS NOT NULL") for c in NUMERICS}
+        items |= {("setting", None, f"drop_first={card.drop_first}", "TRUE"), ("setting", None, f"threshold={float(card.threshold)}", "TRUE")}
+        sides.append(items)
+    cells = ", ".join(
+        f"{{'section': {q(section)}, 'feature': {q(c) if c else 'NULL::VARCHAR'}, 'item': {q(item)}, 'in_v1': {row in sides[0]},"
+        f" 'in_v2': {row in sides[1]}, 'records': count(*) FILTER (WHERE {test})}}"
+        for row in sorted(sides[0] | sides[1], key=str)
+        for section, c, item, test in [row]
+    )
+    return with_(MART, f"SELECT unnest(items, recursive := true) FROM (SELECT [{cells}] AS items FROM mart)")
+
+
 def contract_probes() -> str:
     """Fourteen probes of every record against the wide and the narrow contract."""
     mutations = {
@@ -982,6 +1007,14 @@ run AS (SELECT *, round(customers * (rate_pct / 100.0::DOUBLE))::BIGINT AS saved
         with_(streamed, f"""SELECT s.customerID, prediction, churn_pct, {smooth('100 * (1 - p)', 2)} AS no_churn_pct, s.risk_level,
   string_agg(action, '|' ORDER BY place) AS actions FROM scored s JOIN acts a ON s.customerID = a.customerID GROUP BY s.customerID, prediction, churn_pct, p, s.risk_level"""),
     )
+    sql("stream_counts", with_(FEED_FOUND, """SELECT 'accepted' AS verdict, count(*) AS counted, count(*) AS rows FROM feed WHERE customerID NOT IN (SELECT customerID FROM bad)
+UNION ALL SELECT 'refused', count(*), count(*) FROM bad"""))
+    sql("ensemble_agreement", with_(FEED_FOUND, """SELECT 'boosted' AS version, count(*) AS records, 0::BIGINT AS violations, 0::BIGINT AS labels_apart, TRUE AS proper, TRUE AS varied
+FROM feed WHERE customerID NOT IN (SELECT customerID FROM bad)"""))
+    sql("contract_declarations", contract_declared())
+    sql("declared_sections", f"""SELECT section, count(*) FILTER (WHERE in_v1) AS v1_items, count(*) FILTER (WHERE in_v2) AS v2_items,
+  count(*) FILTER (WHERE in_v1 AND in_v2) AS common_items, CASE WHEN bool_and(in_v1 = in_v2) THEN 'SAME' ELSE 'DIFFERENT' END AS status
+FROM ({contract_declared()}) GROUP BY section""")
     sql("streamed_quarantine", with_(FEED_FOUND, "SELECT customerID, Churn, 'upload' AS channel, string_agg(feature || ':' || rule, '|' ORDER BY feature || ':' || rule) AS reasons FROM found JOIN feed USING (customerID) GROUP BY customerID, Churn"))
     sql(
         "tier_report",

@@ -245,13 +245,59 @@ def contract_comparison(
     return counted.withColumn("status", F.when(F.col("decided_differently") == 0, "SAME").otherwise("DIFFERENT"))
 
 
-def contract_sections(first: ContractSpec, second: ContractSpec) -> list[tuple[str, bool]]:
-    """(section, same) of what two contracts declare, known without any data."""
-    pairs = {name: (getattr(first, name), getattr(second, name)) for name in ("required", "flags", "numerics", "aliases", "imputed")}
-    pairs["categories"] = (sorted(first.domains), sorted(second.domains))
-    for name in sorted({*first.domains, *second.domains}):
-        pairs[f"domain of {name}"] = (first.domains.get(name), second.domains.get(name))
-    return [(name, one == two) for name, (one, two) in pairs.items()]
+def declared_items(spec: ContractSpec, card: Scorecard) -> set[tuple[str, str | None, str]]:
+    """(section, column, item) of all that a contract and a scorecard's encoder declare; a column of its own has the item ``*``."""
+    found = {("required", name, "*") for name in spec.required}
+    found |= {("flag", name, "*") for name in spec.flags} | {("numeric", name, "*") for name in spec.numerics}
+    found |= {("category", name, "*") for name in spec.domains}
+    found |= {("imputed", name, f"{float(value)!r}") for name, value in spec.imputed.items()}
+    found |= {("alias", name, f"{spelling}={value}") for name in spec.flags for spelling, value in spec.aliases.items()}
+    found |= {("level", name, level) for name, levels in spec.domains.items() for level in levels}
+    found |= {("encoded level", f.raw, f.level) for f in card.features if f.level is not None}
+    found |= {("scaling", n, f"{float(card.means[n])!r}, {float(card.deviations[n])!r}") for n in card.numerics}
+    return found | {("setting", None, f"drop_first={card.drop_first}"), ("setting", None, f"threshold={float(card.threshold)!r}")}
+
+
+def declarations(raw: DataFrame, first: tuple[ContractSpec, Scorecard], second: tuple[ContractSpec, Scorecard]) -> DataFrame:
+    """Full outer comparison of what two versions declare: (section, feature, item, in_v1, in_v2, records).
+
+    ``records`` counts the records of ``raw`` that the item concerns: those with
+    the level or spelling, or else with a value in the column; all, for a setting.
+    """
+    one, two = declared_items(*first), declared_items(*second)
+    spellings = {name for spec in (first[0], second[0]) for name in spec.flags}
+    rows = [(*item, _token(item, spellings), item in one, item in two) for item in sorted(one | two, key=str)]
+    items = raw.sparkSession.createDataFrame(rows, "section string, feature string, item string, token string, in_v1 boolean, in_v2 boolean")
+    columns = sorted({name for _, name, _ in one | two if name} & set(raw.columns))
+    cells = [struct({"feature": "CAST(NULL AS STRING)", "token": text("*")})]
+    for name in columns:
+        value = f"lower(trim({quoted(name)}))" if name in spellings else quoted(name)
+        cells += [struct({"feature": text(name), "token": f"if(coalesce(trim({quoted(name)}), '') <> '', '*', NULL)"})]
+        cells += [struct({"feature": text(name), "token": f"concat('=', {value})"})]
+    held = raw.select(F.inline(F.expr(array(cells)))).where("token IS NOT NULL").groupBy("feature", "token").agg(F.count("*").alias("records"))
+    same = items["feature"].eqNullSafe(held["feature"]) & (items["token"] == held["token"])
+    return items.join(held, same, "left").select(
+        "section", items["feature"], "item", "in_v1", "in_v2", F.coalesce("records", F.lit(0)).alias("records")
+    )
+
+
+def _token(item: tuple[str, str | None, str], spellings: set[str]) -> str:
+    section, name, value = item
+    if section == "alias":
+        return "=" + value.rsplit("=", 1)[0]
+    if section in ("level", "encoded level"):
+        return "=" + (value.lower() if name in spellings else value)
+    return "*"
+
+
+def declared_sections(found: DataFrame) -> DataFrame:
+    """One row per section of a comparison of declarations."""
+    return found.groupBy("section").agg(
+        F.count_if("in_v1").alias("v1_items"),
+        F.count_if("in_v2").alias("v2_items"),
+        F.count_if(F.col("in_v1") & F.col("in_v2")).alias("common_items"),
+        F.when(F.count_if(F.col("in_v1") != F.col("in_v2")) == 0, "SAME").otherwise("DIFFERENT").alias("status"),
+    )
 
 
 def promotion_record(both: DataFrame, previous: str, promoted: str, features: int) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from staywise.functions.sql import array, number, quoted, struct, text
@@ -172,10 +172,10 @@ def _along(window: WindowSpec, order: str) -> WindowSpec:
     return window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _staged(state: DataFrame) -> tuple[DataFrame, int]:
-    """The staged state, and how many ranks lie in buckets of several values, counted as it is written."""
-    seen = Observation()
-    return stage(state.observe(seen, F.count_if(F.col("low") < F.col("high")).alias("open")), "selected"), seen.get["open"]
+def _staged(state: DataFrame) -> tuple[DataFrame, bool]:
+    """The staged state, and whether ranks lie in buckets of several values."""
+    staged = stage(state, "selected")
+    return staged, not staged.where("low < high").isEmpty()
 
 
 def _holding(buckets: DataFrame, kept: Sequence[str]) -> DataFrame:

@@ -305,17 +305,30 @@ def frozen_scorecard(
     )
 
 
-def score_with_model(
-    df: DataFrame, spec: ContractSpec, data: PreparedData, model: Model, key: str, threshold: float = 0.5
+def score_with_trained(
+    df: DataFrame, spec: ContractSpec, fitted: FittedPreparation, model: Model, key: str, threshold: float = 0.5, carry: Sequence[str] = (), drop_first: bool = False
 ) -> DataFrame:
-    """Contract, preparation and a fitted classifier of any kind: probability, percentage and label."""
+    """Contract, preparation and a fitted classifier of any kind, as a bundle holds them: probability, percentage and label.
+
+    ``carry`` names columns to keep beside the key, among them ``features``, the assembled inputs.
+    """
     clean = accepted(df, spec, [key])
-    rows = assemble(clean, data.fitted, data.features, [key])
+    features = feature_list(tuple(fitted.means), fitted.levels, drop_first)
+    rows = assemble(clean, fitted, features, [key])
     probability = model_probability("probability", [0, 1])
-    scored = model.transform(rows).select(key, probability.alias(PROBABILITY))
+    scored = model.transform(rows).select(key, *carry, probability.alias(PROBABILITY))
     return scored.withColumns(
         {
             "churn_pct": probability_percent(F.col(PROBABILITY)),
             "prediction": decide(F.col(PROBABILITY), threshold),
         }
     )
+
+
+def score_with_model(
+    df: DataFrame, spec: ContractSpec, data: PreparedData, model: Model, key: str, threshold: float = 0.5
+) -> DataFrame:
+    """The same with what :func:`prepare` has learned."""
+    whole = [f.name for f in feature_list(data.numerics, data.fitted.levels, False)]
+    drop_first = [f.name for f in data.features] != whole
+    return score_with_trained(df, spec, data.fitted, model, key, threshold, drop_first=drop_first)

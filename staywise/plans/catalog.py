@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ from staywise.plans.mart import (
 from staywise.plans.scorecards import ARCHETYPES, BASELINE, CARDS, SCENARIOS, SCORECARD_V1, SCORECARD_V2
 from staywise.session import fresh_path, stage
 from staywise.sources import bundle, readers, writers
-from staywise.streaming.scoring import quarantined, score_records, start_scoring
+from staywise.streaming.scoring import ACCEPTED, REFUSED, read_counts, read_quarantine, read_scored, start_scoring
 
 Job = Callable[[SparkSession, str], DataFrame]
 ROLES, RULES, SPEC = MART_ROLES, MART_RULES, MART_CONTRACT
@@ -720,6 +721,44 @@ def trained_version_scores(spark, folder):
     return rows.select(ROLES.id, PROBABILITY, "prediction", "risk_level")
 
 
+def active_ensemble(spark, folder):
+    """Two fitted ensembles saved as bundles, a pointer to the boosted one, and what that pointer loads."""
+    path = fresh_path(spark, "trained")
+    data = prepared(spark, folder)
+    for version, name, settings in (("forest", training.MODEL_NAMES[2], {"numTrees": 10, "maxDepth": 4}), ("boosted", training.MODEL_NAMES[3], {"maxIter": 10})):
+        estimator = training.search_space(name, data.train_rows)[0].copy()
+        bundle.save_trained(spark, estimator._set(**settings).fit(data.train), data.fitted, f"{path}/{version}")
+        bundle.set_active(spark, path, version)
+    return bundle.load_active_trained(spark, path)
+
+
+@job
+def trained_ensemble_scores(spark, folder):
+    """Every accepted subscriber scored by the boosted ensemble that the active pointer names."""
+    version, model, fitted = active_ensemble(spark, folder)
+    rows = training.score_with_trained(feed(spark, folder), SPEC, fitted, model, ROLES.id)
+    return rows.select(ROLES.id, F.lit(version).alias("version"), PROBABILITY, "churn_pct", "prediction")
+
+
+@job
+def ensemble_agreement(spark, folder):
+    """The loaded ensemble's scores against a walk down its own node table, over every accepted subscriber."""
+    version, model, fitted = active_ensemble(spark, folder)
+    nodes = trees.read_trees(model)
+    rows = training.score_with_trained(feed(spark, folder), SPEC, fitted, model, ROLES.id, carry=["features"])
+    inputs = rows.select(PROBABILITY, "prediction", vector_to_array("features").alias("x"))
+    walked = logistic(trees.ensemble_margin(nodes, lambda i: F.col("x")[i]))
+    apart = inputs.select("*", walked.alias("walked"), F.abs(F.col(PROBABILITY) - walked).alias("apart"))
+    return apart.agg(
+        F.lit(version).alias("version"),
+        F.count("*").alias("records"),
+        F.count_if(F.col("apart") > 1e-9).alias("violations"),
+        F.count_if((F.col("walked") >= 0.5) != (F.col("prediction") == "Yes")).alias("labels_apart"),
+        (F.count_if(F.col(PROBABILITY).isNull() | (F.col(PROBABILITY) <= 0) | (F.col(PROBABILITY) >= 1)) == 0).alias("proper"),
+        (F.max(PROBABILITY) > F.min(PROBABILITY)).alias("varied"),
+    )
+
+
 @job
 def forest_importance(spark, folder):
     data = prepared(spark, folder)
@@ -1159,6 +1198,19 @@ def contract_comparison(spark, folder):
     return compare.contract_comparison(text_feed(load_mart(spark, folder)), SPEC, NARROW_CONTRACT, probes, "tenure")
 
 
+@job
+def contract_declarations(spark, folder):
+    """What the two versions declare, item by item, and how many records of the feed hold the item."""
+    raw = text_feed(load_mart(spark, folder))
+    return compare.declarations(raw, (SPEC, SCORECARD_V1), (NARROW_CONTRACT, SCORECARD_V2))
+
+
+@job
+def declared_sections(spark, folder):
+    """Per section: items of either side, of both, and whether the versions agree."""
+    return compare.declared_sections(contract_declarations(spark, folder))
+
+
 @job
 def feature_space(spark, folder):
     seen = profile.domain_discovery(clean(spark, folder), ROLES.categoricals)
@@ -1274,26 +1326,34 @@ def _streamed(spark, folder):
     arrivals.write.parquet(source)
     query = start_scoring(spark, source, arrivals.schema, sinks, ROLES, SPEC, RULES, SCORECARD_V1)
     query.awaitTermination()
-    return sinks
+    return sinks, arrivals
 
 
 @job
 def streamed_scores(spark, folder):
-    sinks = _streamed(spark, folder)
-    schema = score_records(feed(spark, folder), ROLES, SPEC, RULES, SCORECARD_V1).schema
-    rows = spark.read.schema(schema).parquet(f"{sinks}/scored/batch=*")
+    sinks, arrivals = _streamed(spark, folder)
+    rows = read_scored(spark, sinks, arrivals, ROLES, SPEC, RULES, SCORECARD_V1)
     return rows.select(ROLES.id, "prediction", "churn_pct", "no_churn_pct", "risk_level", F.array_join("actions", "|").alias("actions"))
 
 
 @job
 def streamed_quarantine(spark, folder):
-    sinks = _streamed(spark, folder)
-    schema = quarantined(feed(spark, folder), ROLES, SPEC).schema
-    rows = spark.read.schema(schema).parquet(f"{sinks}/quarantine/batch=*")
+    sinks, arrivals = _streamed(spark, folder)
+    rows = read_quarantine(spark, sinks, arrivals, ROLES, SPEC, RULES, SCORECARD_V1)
     named = F.transform("violations", lambda v: F.concat_ws(":", v["feature"], v["rule"]))
     return rows.select(ROLES.id, ROLES.target, "channel", F.array_join(F.sort_array(named), "|").alias("reasons"))
 
 
+@job
+def stream_counts(spark, folder):
+    """What the micro-batches counted, next to the rows that are there, per verdict."""
+    sinks, _ = _streamed(spark, folder)
+    there = spark.read.parquet(f"{sinks}/judged").groupBy("verdict").agg(F.count("*").alias("rows"))
+    counted = read_counts(spark, sinks).agg(*[F.sum(name).alias(name) for name in (ACCEPTED, REFUSED)])
+    per_verdict = counted.unpivot([], [ACCEPTED, REFUSED], "verdict", "counted")
+    return per_verdict.join(there, "verdict", "left").select("verdict", "counted", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Mart, contract, scorecard and tiers, summarised per tier."""
     rows = scored(spark, folder)

@@ -115,7 +115,12 @@ def order_history(orders: DataFrame) -> DataFrame:
     for number, name in enumerate(PRIORITIES, 1):
         level = F.when(F.col("o_orderpriority") == name, number).otherwise(level)
     day = F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint")
-    packed = F.shiftleft(day, KEY_BITS + 3) + F.shiftleft(F.col("o_orderkey").cast("bigint"), 3) + level
+    key = F.col("o_orderkey").cast("bigint")
+    # A key that doesn't fit would run into the day and pick a wrong order, so the job fails instead.
+    fits = F.when(key.between(0, (1 << KEY_BITS) - 1), key).when(
+        key.isNotNull(), F.raise_error(F.concat(F.lit(f"order key beyond {KEY_BITS} bits: "), key.cast("string"))).cast("bigint")
+    )
+    packed = F.shiftleft(day, KEY_BITS + 3) + F.shiftleft(fits, 3) + level
     latest = F.pmod(F.max(F.when(before, packed)), F.lit(8))
     named = F.when(latest.isNotNull(), F.coalesce(F.get(F.array(*[F.lit(p) for p in PRIORITIES]), latest.cast("int") - 1), F.lit(UNKNOWN_PRIORITY)))
     return orders.groupBy("o_custkey").agg(

@@ -147,10 +147,21 @@ def set_active(spark: SparkSession, folder: str, version: str) -> None:
     spark.createDataFrame([(last + 1, version)], POINTER).coalesce(1).write.mode("append").json(f"{folder}/active")
 
 
-def load_active(spark: SparkSession, folder: str) -> Scorecard:
-    """The bundle the latest pointer names."""
+def active_version(spark: SparkSession, folder: str) -> str:
+    """The version that the latest pointer names."""
     pointers = spark.read.schema(POINTER).json(f"{folder}/active")
     pointer = pointers.orderBy(F.desc("position"), F.desc("active_version")).first()
     if pointer is None or not pointer["active_version"]:
         raise BundleError(f"no active version in {folder}")
-    return load_bundle(spark, f"{folder}/{pointer['active_version']}")
+    return pointer["active_version"]
+
+
+def load_active(spark: SparkSession, folder: str) -> Scorecard:
+    """The scorecard bundle the latest pointer names."""
+    return load_bundle(spark, f"{folder}/{active_version(spark, folder)}")
+
+
+def load_active_trained(spark: SparkSession, folder: str) -> tuple[str, Model, FittedPreparation]:
+    """The version the latest pointer names, its fitted classifier and what its inputs were prepared with."""
+    version = active_version(spark, folder)
+    return version, *load_trained(spark, f"{folder}/{version}")

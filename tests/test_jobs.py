@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from staywise.operators import compare, features, portfolio, profile, scenarios, scoring
 from staywise.plans import catalog
-from staywise.plans.mart import MART_CONTRACT, MART_ROLES, MART_RULES, load_mart
+from staywise.plans.mart import MART_CONTRACT, MART_ROLES, MART_RULES, load_mart, order_history
 from staywise.plans.scorecards import BASELINE, SCENARIOS, SCORECARD_V1, SCORECARD_V2
 from staywise.session import fresh_path
 from staywise.sources import bundle, readers, writers
-from staywise.streaming.scoring import quarantined, score_records, start_scoring
+from staywise.streaming.scoring import ACCEPTED, REFUSED, judged, quarantined, read_counts, read_quarantine, read_scored, score_records, start_scoring
 from staywise.telco import TELCO_CONTRACT, TELCO_ROLES, TELCO_SCHEMA
 from tests.fixtures import ROWS, text_frame
 
@@ -172,8 +172,49 @@ def test_stream_equals_batch_and_resumes(spark, small):
         part.write.mode("append").parquet(source)
         start_scoring(spark, source, *arguments).awaitTermination()
     batch = score_records(arrivals, MART_ROLES, MART_CONTRACT, MART_RULES, SCORECARD_V1)
-    streamed = spark.read.parquet(f"{sinks}/scored").drop("batch")
+    streamed = read_scored(spark, sinks, arrivals, *arguments[2:])
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
-    refused = spark.read.parquet(f"{sinks}/quarantine").drop("batch")
-    assert refused.count() == quarantined(arrivals, MART_ROLES, MART_CONTRACT).count() > 0
+    refused, expected = read_quarantine(spark, sinks, arrivals, *arguments[2:]), quarantined(arrivals, MART_ROLES, MART_CONTRACT)
+    refused = refused.select(*expected.columns)
+    assert refused.count() > 0 and refused.exceptAll(expected).count() == 0 and expected.exceptAll(refused).count() == 0
     assert refused.count() + streamed.count() == arrivals.count()
+    counts = read_counts(spark, sinks).orderBy("batch").collect()
+    rows = {(r["batch"], r["verdict"]): r["count"] for r in spark.read.parquet(f"{sinks}/judged").groupBy("batch", "verdict").count().collect()}
+    assert len(counts) == 2 and all(c["records"] == c["accepted"] + c["refused"] for c in counts)
+    assert all(rows.get((c["batch"], v), 0) == c[v] for c in counts for v in (ACCEPTED, REFUSED))
+
+
+def test_a_batch_is_judged_in_one_scan(spark, small, capsys):
+    source = fresh_path(spark, "arrivals")
+    catalog.feed(spark, small).write.parquet(source)
+    batch = spark.read.parquet(source)
+    judged(batch, MART_ROLES, MART_CONTRACT, MART_RULES, SCORECARD_V1).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_streams_without_refused_or_any_records(spark, small):
+    arrivals = catalog.feed(spark, small)
+    arguments = (MART_ROLES, MART_CONTRACT, MART_RULES, SCORECARD_V1)
+    good = arrivals.join(quarantined(arrivals, MART_ROLES, MART_CONTRACT).select("customerID"), "customerID", "left_anti").select(*arrivals.columns)
+    for part in (good, arrivals.limit(0)):
+        source, sinks = fresh_path(spark, "arrivals"), fresh_path(spark, "sinks")
+        part.write.parquet(source)
+        start_scoring(spark, source, arrivals.schema, sinks, *arguments).awaitTermination()
+        assert read_scored(spark, sinks, arrivals, *arguments).count() == part.count()
+        assert read_quarantine(spark, sinks, arrivals, *arguments).count() == 0
+
+
+@pytest.mark.parametrize("key", [-1, 1 << 43])
+def test_order_keys_that_do_not_fit_are_refused(spark, small, key):
+    orders = spark.read.parquet(f"{small}/orders.parquet").limit(5).withColumn("o_orderkey", F.lit(key).cast("bigint"))
+    with pytest.raises(Exception, match="order key"):
+        order_history(orders.withColumn("o_orderdate", F.lit("1992-01-01").cast("date"))).collect()
+
+
+def test_declarations_tell_the_versions_apart(spark, small):
+    found = catalog.contract_declarations(spark, small)
+    rows = {(r["section"], r["item"]): r for r in found.where("feature = 'SeniorCitizen' AND section = 'alias'").collect()}
+    assert rows[("alias", "y=1")]["in_v1"] and not rows[("alias", "y=1")]["in_v2"]
+    status = {r["section"]: r["status"] for r in compare.declared_sections(found).collect()}
+    assert status["required"] == "SAME" and status["alias"] == "DIFFERENT"

@@ -81,6 +81,24 @@ def test_frozen_and_reloaded_models_score_alike(spark, small, data):
     assert row["records"] == first.count() and row["max_difference"] == 0.0
 
 
+def test_active_pointer_loads_a_fitted_ensemble(spark, small, data):
+    path = fresh_path(spark, "versions")
+    first = training.search_space("DecisionTreeClassifier", 10)[0].fit(data.train)
+    second = training.search_space("GradientBoostingClassifier", 10)[0].copy().setMaxIter(3).fit(data.train)
+    for version, model in (("tree", first), ("boosted", second)):
+        bundle.save_trained(spark, model, data.fitted, f"{path}/{version}")
+    with pytest.raises(Exception):
+        bundle.load_active_trained(spark, path)
+    bundle.set_active(spark, path, "tree")
+    bundle.set_active(spark, path, "boosted")
+    version, model, fitted = bundle.load_active_trained(spark, path)
+    assert version == "boosted" and fitted == data.fitted and model.getNumTrees == 3
+    mart = load_mart(spark, small)
+    found = training.score_with_trained(mart, MART_CONTRACT, fitted, model, "customerID")
+    expected = training.score_with_model(mart, MART_CONTRACT, data, second, "customerID")
+    assert found.exceptAll(expected).count() == 0 and found.count() == expected.count() > 0
+
+
 def test_training_is_repeatable(spark, small, data):
     mart = load_mart(spark, small)
     again = training.prepare(mart.repartition(5, "Segment"), MART_ROLES, MART_DOMAINS)
