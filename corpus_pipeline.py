@@ -21,20 +21,31 @@ from staywise.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Spark's bound on what it sends to a Python worker at a time, and the bytes that the stages set it to.
+BATCH_SETTING, STAGE_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 #: The toxicity stage's model is not SQL.
 ORACLE_SQL: str | None = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole documents are long: by rows alone, the batches under way in a task would take much of its memory."""
+    spark.conf.set(BATCH_SETTING, str(STAGE_BATCH_BYTES))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier doesn't reject; it learns from the labelled rows outside the held-out fifth."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, queries.toxicity_model(spark, sf_dir))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash_dedup.deduplicate(docs)
 
 
@@ -43,6 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return queries.bpe_digests(docs)
 
 
