@@ -112,7 +112,8 @@ def labelled_rows(labels: DataFrame, id_column: str = "doc_id", label_column: st
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (
-        (doc, label, slots_of(text).tolist())
+        # As arrays: a list would hold an object for every slot.
+        (doc, label, slots_of(text).astype(np.int32))
         for batch in batches
         for doc, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")))
     )
