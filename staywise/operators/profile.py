@@ -140,6 +140,35 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     )
 
 
+#: Registers of a distinct-count sketch, as a power of two, and its relative error at one deviation.
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, feature, sketch): a bounded sketch of the distinct non-null values of every column, per part.
+
+    One pass and one small row per part; values of any type are counted by their text.
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(SKETCH_BITS)).alias("sketch"))
+            for c in columns
+        ]
+    )
+    return df.groupBy(*by).agg(cells.alias("cells")).select(*by, F.inline("cells"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sketches of any number of parts as one per feature; a value that several parts hold counts once."""
+    return sketches.groupBy(*by, "feature").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, feature, estimate) of stored sketches."""
+    return merged_sketches(sketches, by).select(*by, "feature", F.hll_sketch_estimate("sketch").alias("estimate"))
+
+
 def domain_discovery(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every level seen per category with its count, one row per level."""
     return (

@@ -152,6 +152,14 @@ def positive_index(labels: Sequence[object], positive: str = "Yes") -> int:
     return canonical.index(positive)
 
 
+def class_labels(df: DataFrame, column: str) -> list[str]:
+    """Class labels, by index, that an indexed label column carries in its metadata; refused where it has none."""
+    labels = df.schema[column].metadata.get("ml_attr", {}).get("vals")
+    if not labels:
+        raise ValueError(f"{column} names no class labels")
+    return list(labels)
+
+
 def model_probability(vector: str, labels: Sequence[object]) -> Column:
     """Positive-class entry of a fitted classifier's probability vector."""
     return vector_to_array(F.col(vector)).getItem(positive_index(labels))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise.functions.expressions import label_strict
-from staywise.operators.evaluation import champion, model_metrics
+from staywise.operators.evaluation import DIGITS, champion, model_metrics, ranking_summary
 from staywise.operators.features import (
     Feature,
     FittedPreparation,
@@ -31,6 +31,7 @@ from staywise.operators.features import (
     feature_list,
     fit_preparation,
     impute,
+    learned_levels,
     stratified_folds,
     stratified_split,
 )
@@ -84,6 +85,9 @@ class Candidate:
     settings: str
     mean_auc: float
     std_auc: float
+    #: Score of every fold and setting, and the folder of the scores it was computed from, if kept.
+    fold_auc: tuple[tuple[float, ...], ...] = ()
+    kept: str | None = None
 
 
 def assemble(df: DataFrame, fitted: FittedPreparation, features: Sequence[Feature], carry: Sequence[str]) -> DataFrame:
@@ -96,12 +100,17 @@ def assemble(df: DataFrame, fitted: FittedPreparation, features: Sequence[Featur
     return assembler.transform(plain).select(*carry, "features")
 
 
-def prepare(df: DataFrame, roles: ColumnRoles, levels: dict[str, tuple[str, ...]], drop_first: bool = False) -> PreparedData:
-    """Stratified split, fold numbers, then preparation learned on the training rows only."""
+def prepare(df: DataFrame, roles: ColumnRoles, levels: dict[str, tuple[str, ...]] | None, drop_first: bool = False) -> PreparedData:
+    """Stratified split, fold numbers, then preparation learned on the training rows only.
+
+    Without ``levels`` those of each category are learned from the training rows too.
+    """
     label = label_strict(roles.target, roles.positive, roles.negative).cast("double")
     labelled = df.withColumn("label", label).where(F.col("label").isNotNull())
     split = stratified_split(labelled, roles.id, roles.target, TEST_SHARE, SEED)
     train_raw = split.where(~F.col("is_test"))
+    if levels is None:
+        levels = learned_levels(train_raw, [c for c in roles.features if c not in roles.numerics])
     fitted = fit_preparation(train_raw, roles.numerics, levels)
     features = feature_list(roles.numerics, levels, drop_first)
     folded = stage(stratified_folds(train_raw, roles.id, roles.target, FOLDS, SEED + 1), "folds")
@@ -173,20 +182,36 @@ def search_space(name: str, rows: int) -> tuple[object, list[dict]]:
 
 
 def exact_auc() -> BinaryClassificationEvaluator:
-    """Area under ROC over every distinct score; the default would bin them."""
-    return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
+    """Area under ROC over every distinct probability.
+
+    The defaults would bin them and, for a tree, rank its leaves by their
+    number of positives instead of their share.
+    """
+    return BinaryClassificationEvaluator(rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
+
 
+def search(data: PreparedData, name: str, parallelism: int = 8, keep: str | None = None) -> tuple[DataFrame, Candidate]:
+    """Grid search over the folds, preparation learned anew in each; every setting's score and the refitted winner.
 
-def search(data: PreparedData, name: str, parallelism: int = 8) -> tuple[DataFrame, Candidate]:
-    """Grid search over the folds, preparation learned anew in each; every setting's score and the refitted winner."""
+    With ``keep`` the scores of each fold's rows, by models fitted on the
+    others, are stored in that folder, so that every figure can be checked.
+    """
     spark = data.train.sparkSession
     rows = round(data.train_rows * (FOLDS - 1) / FOLDS)
     estimator, grid = search_space(name, rows)
 
     def scores_of(fold: int) -> list[float]:
         train, held = (stage(part, "fold") for part in fold_rows(data, fold))
+
+        def tried(at: int) -> float:
+            model = estimator.fit(train, grid[at])
+            if keep:
+                scored = scored_with(model, held, name, data.carry[0])
+                scored.write.mode("overwrite").parquet(f"{keep}/fold={fold}/setting={at}")
+            return exact_auc().evaluate(model.transform(held))
+
         with ThreadPoolExecutor(parallelism) as pool:
-            return list(pool.map(lambda setting: exact_auc().evaluate(estimator.fit(train, setting).transform(held)), grid))
+            return list(pool.map(tried, range(len(grid))))
 
     found = np.array([scores_of(fold) for fold in range(FOLDS)])
     means, deviations = found.mean(axis=0).tolist(), found.std(axis=0).tolist()
@@ -198,7 +223,17 @@ def search(data: PreparedData, name: str, parallelism: int = 8) -> tuple[DataFra
     table = spark.createDataFrame(
         list(zip([name] * len(grid), settings, means, deviations)), "model string, settings string, mean_roc_auc double, std_roc_auc double"
     )
-    return table, Candidate(name, model, settings[best], means[best], deviations[best])
+    folds = tuple(tuple(row) for row in found.tolist())
+    return table, Candidate(name, model, settings[best], means[best], deviations[best], folds, keep)
+
+
+def out_of_fold(candidate: Candidate, spark: SparkSession) -> DataFrame:
+    """(model, fold, setting, positives, negatives, agrees): the kept scores ranked anew against the search's own figures."""
+    again = ranking_summary(spark.read.parquet(candidate.kept), "score", "label", ["model", "fold", "setting"])
+    told = [(fold, setting, auc) for fold, row in enumerate(candidate.fold_auc) for setting, auc in enumerate(row)]
+    figures = spark.createDataFrame(told, "fold int, setting int, told double")
+    agrees = F.abs(F.col("roc_auc") - F.col("told")) <= 10.0**-DIGITS
+    return again.join(figures, ["fold", "setting"]).select("model", "fold", "setting", "positives", "negatives", agrees.alias("agrees"))
 
 
 def describe_settings(name: str, index: int) -> str:

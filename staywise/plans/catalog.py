@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -493,6 +494,21 @@ def distinct_counts(spark, folder):
     return profile.distinct_counts(load_mart(spark, folder), [ROLES.id, *ROLES.features, ROLES.target])
 
 
+@job
+def distinct_sketch_bounds(spark, folder):
+    """Exact distinct values of every column, and whether stored sketches, merged with those of later rows, come within their bound."""
+    rows = load_mart(spark, folder)
+    columns = [ROLES.id, *ROLES.features, ROLES.target]
+    path = fresh_path(spark, "sketches")
+    early = F.pmod(F.xxhash64(ROLES.id), F.lit(5)) != 0
+    for arrivals in (rows.where(early), rows.where(~early)):
+        profile.distinct_sketches(arrivals, columns, ["Contract"]).write.mode("append").parquet(path)
+    counted = profile.sketched_counts(spark.read.parquet(path))
+    exact = profile.distinct_counts(rows, columns)
+    near = F.abs(F.col("estimate") - F.col("distinct_values")) <= F.lit(3 * profile.SKETCH_ERROR) * F.col("distinct_values")
+    return exact.join(counted, "feature").select("feature", "distinct_values", near.alias("within_bound"))
+
+
 @job
 def addon_shield(spark, folder):
     return portfolio.addon_shield(load_mart(spark, folder), ROLES)
@@ -535,6 +551,21 @@ def stratified_folds(spark, folder):
     )
 
 
+@job
+def fitted_levels(spark, folder):
+    """Levels that the training part shows of every category, with its records and those of the test part."""
+    split = features.stratified_split(load_mart(spark, folder), ROLES.id, ROLES.target)
+    categories = [c for c in ROLES.features if c not in ROLES.numerics]
+    learned = features.learned_levels(split.where(~F.col("is_test")), categories)
+    known = spark.createDataFrame([(c, level) for c, levels in learned.items() for level in levels], "feature string, level string")
+    counts = [
+        profile.domain_discovery(split.where(part), categories).withColumnRenamed("n", name)
+        for name, part in (("train_records", ~F.col("is_test")), ("test_records", F.col("is_test")))
+    ]
+    joined = known.join(counts[0], ["feature", "level"], "left").join(counts[1], ["feature", "level"], "left")
+    return joined.fillna(0, ["train_records", "test_records"])
+
+
 @job
 def scaling_statistics(spark, folder):
     """Learned on the training part only."""
@@ -655,7 +686,7 @@ def searched(spark, folder, name) -> tuple[DataFrame, training.Candidate]:
     """One classifier's grid search, run once per application and folder."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _searches:
-        _searches[key] = training.search(prepared(spark, folder), name)
+        _searches[key] = training.search(prepared(spark, folder), name, keep=fresh_path(spark, "out-of-fold"))
     return _searches[key]
 
 
@@ -698,6 +729,13 @@ def searched_gradient_boosting(spark, folder):
     return searched(spark, folder, training.MODEL_NAMES[3])[0]
 
 
+@job
+def out_of_fold_auc(spark, folder):
+    """Scores stored by the search for rows their models never saw, ranked anew: rows per fold and setting, and whether the figures agree."""
+    parts = [training.out_of_fold(searched(spark, folder, name)[1], spark) for name in training.MODEL_NAMES[:2]]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @job
 def experiment_record(spark, folder):
     """All four searches; scores, test metrics and the winning model are written, the record read back."""
@@ -794,6 +832,32 @@ def class_semantics(spark, folder):
     return scoring.class_semantics(load_mart(spark, folder), ROLES.target)
 
 
+@job
+def fitted_class_semantics(spark, folder):
+    """Positive class as the metadata of an indexed target names it: in either order, and refused where both classes mean it."""
+    churned = F.col(ROLES.target) == ROLES.positive
+    rows = load_mart(spark, folder).where(F.col(ROLES.target).isNotNull()).select(
+        F.col(ROLES.target).alias("plain"), F.when(churned, "yes").otherwise("1").alias("ambiguous")
+    )
+    found = None
+    for case, column, order in (("ascending", "plain", "alphabetAsc"), ("descending", "plain", "alphabetDesc"), ("ambiguous", "ambiguous", "alphabetAsc")):
+        indexed = StringIndexer(inputCol=column, outputCol="index", stringOrderType=order).fit(rows).transform(rows)
+        labels = scoring.class_labels(indexed, "index")
+        try:
+            at = scoring.positive_index(labels)
+        except ValueError:
+            at = None
+        part = indexed.agg(
+            F.lit(case).alias("case_name"),
+            F.lit(",".join(labels)).alias("labels"),
+            F.lit(at).cast("int").alias("positive_index"),
+            F.count("*").alias("records"),
+            F.count_if(F.col("index") == F.lit(at).cast("double")).alias("positives"),
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @job
 def risk_tiers(spark, folder):
     return scored(spark, folder).select(ROLES.id, "churn_pct", "risk_tier", "risk_level", "risk_status")

@@ -2,8 +2,9 @@ from dataclasses import replace
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StringIndexer
 
-from staywise.operators import scoring, training
+from staywise.operators import features, profile, scoring, training
 from staywise.plans.mart import MART_CONTRACT, MART_DOMAINS, MART_ROLES, load_mart
 from staywise.session import fresh_path
 from staywise.sources import bundle
@@ -107,3 +108,58 @@ def test_training_is_repeatable(spark, small, data):
     left = training.scored_with(first, data.test, "a", "customerID").select("customerID", "score")
     right = training.scored_with(second, again.test, "b", "customerID").select("customerID", "score")
     assert left.exceptAll(right).count() == 0
+
+
+def test_kept_scores_give_the_search_its_figures(spark, data):
+    """Every training row is scored once per setting; pairs counted one by one give each fold's area under the curve."""
+    _, best = training.search(data, "DecisionTreeClassifier", keep=fresh_path(spark, "kept"))
+    rows = spark.read.parquet(best.kept).collect()
+    for setting in range(3):
+        assert len({r["customerID"] for r in rows if r["setting"] == setting}) == data.train_rows
+    assert len(rows) == 3 * data.train_rows
+    for fold, figures in enumerate(best.fold_auc):
+        for setting, told in enumerate(figures):
+            of = [r for r in rows if (r["fold"], r["setting"]) == (fold, setting)]
+            up, down = ([r["score"] for r in of if r["label"] == k] for k in (1, 0))
+            won = sum((p > n) + (p == n) / 2 for p in up for n in down)
+            assert told == pytest.approx(won / (len(up) * len(down)), abs=1e-9)
+    assert all(r["agrees"] for r in training.out_of_fold(best, spark).collect())
+
+
+def test_levels_are_learned_from_the_training_part(spark, small):
+    rows = load_mart(spark, small)
+    learned = training.prepare(rows, MART_ROLES, None)
+    kept = {f.raw: set() for f in learned.features if f.level is not None}
+    for f in learned.features:
+        if f.level is not None:
+            kept[f.raw].add(f.level)
+    for name, levels in kept.items():
+        assert levels == {r[0] for r in learned.raw.where(f"{name} IS NOT NULL").select(name).distinct().collect()}
+
+
+def test_learned_levels_of_odd_columns(spark):
+    rows = spark.createDataFrame([("b", None), ("a", None), ("b", None), (None, None)], "x string, y string")
+    assert features.learned_levels(rows, ["x", "y"]) == {"x": ("a", "b"), "y": ()}
+    assert features.learned_levels(rows.limit(0), ["x"]) == {"x": ()}
+    with pytest.raises(ValueError):
+        features.learned_levels(rows, ["x"], most=1)
+
+
+def test_class_labels_come_from_metadata(spark):
+    rows = spark.createDataFrame([("Yes",), ("No",), ("Yes",)], "label string")
+    indexed = StringIndexer(inputCol="label", outputCol="index").fit(rows).transform(rows)
+    assert scoring.class_labels(indexed, "index") == ["Yes", "No"]
+    assert scoring.positive_index(scoring.class_labels(indexed, "index")) == 0
+    with pytest.raises(ValueError):
+        scoring.class_labels(rows, "label")
+
+
+def test_stored_sketches_merge(spark):
+    rows = spark.range(6000).selectExpr("id % 3 AS part", "id % 2000 AS same", "CAST(NULL AS string) AS none", "CAST(id AS string) AS own")
+    stored = profile.distinct_sketches(rows, ["same", "none", "own"], ["part"])
+    found = {r["feature"]: r["estimate"] for r in profile.sketched_counts(stored).collect()}
+    assert found["none"] == 0
+    assert found["same"] == pytest.approx(2000, rel=3 * profile.SKETCH_ERROR) and found["own"] == pytest.approx(6000, rel=3 * profile.SKETCH_ERROR)
+    per_part = {(r["part"], r["feature"]): r["estimate"] for r in profile.sketched_counts(stored, ["part"]).collect()}
+    assert per_part[0, "own"] == pytest.approx(2000, rel=3 * profile.SKETCH_ERROR) and len(per_part) == 9
+    assert profile.sketched_counts(profile.distinct_sketches(rows.limit(0), ["own"])).first()["estimate"] == 0
