@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from staywise.llm import byte_bpe, exact_dedup, fingerprints, licences, line_dedup, mixing, ranked_search, secrets, simhash_dedup, suffix_dedup, token_counts, toxicity, whitening
 from staywise.llm.common import load
+from staywise.session import stage
 
 #: Tokenizer files are parameters; these are the ones the queries use.
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +20,9 @@ COUNT_FILE = "byte_bpe_50k.tiktoken"
 WEIGHTS = {f"src{k}": 0.1 if k == 0 else 0.08 if k <= 5 else 0.04 for k in range(20)}
 EPOCHS = 1.0
 
+#: Searches ask for every row whose id is divisible by this, against all rows.
+QUERY_EVERY = 20
+
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Sources without a weight, and rows without a source, keep their share of the characters."""
@@ -82,8 +86,13 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    found = fingerprints.compare_edits(load(spark, folder))
-    return found.select(
+    """Beside the columns of the contract, ``n_near``: for every id divisible by 20, how many other fingerprints are within 3 bits."""
+    found = stage(fingerprints.compare_edits(load(spark, folder)), "fingerprints")
+    asked = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    counts = fingerprints.near_counts(found.where(asked), found)
+    counted = found.where(asked).join(counts, "fp", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint")))
+    both = counted.unionByName(found.where(~asked).withColumn("n_near", F.lit(None).cast("bigint")))
+    return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -91,6 +100,7 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.hex_digits(F.col("edited_fp")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
     )
 
 

@@ -3,6 +3,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from staywise.llm import fingerprints
 from staywise.llm.common import texts_of
@@ -16,9 +17,10 @@ def simhash(text):
 
 
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    hashed = [(i, t or "", xxhash.xxh64_intdigest(t or "", 42) >> 33) for i, t, _ in rows]
+    rows = sorted(hashed, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
     found = []
-    for k, (i, text) in enumerate(rows):
+    for k, (i, text, _) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + following[:quarter]
@@ -42,6 +44,24 @@ def test_ids_far_apart(spark):
     assert sorted(found, key=str) == brute(rows)
 
 
+def test_shared_and_missing_ids_are_spread(spark):
+    rows = [(None, f"no id, text {k} of many", "s") for k in range(300)] + [(7, f"shared id, text {k}", "s") for k in range(300)] + [(k, f"own {k}", "s") for k in range(300)]
+    rows += [(None, "no id, text 1 of many", "s"), (10**15, "far", "s"), (-(1 << 62), "lowest", "s")]
+    docs = frame(spark, rows)
+    found = [(i, n, d, signed(a), signed(b), signed(c)) for i, n, d, a, b, c in map(tuple, fingerprints.compare_edits(docs).collect())]
+    assert sorted(found, key=str) == brute(rows)
+    sizes = fingerprints.with_next(docs).where("NOT guest").groupBy("slice").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 120, "no slice holds a hot id whole"
+
+
+@pytest.mark.parametrize("bounds", [[], [5], [5, 5, 5], [-3, 0, 0, 0, 2, 9, 9, 40], list(range(0, 300, 3))])
+def test_count_up_to(spark, bounds):
+    values = spark.createDataFrame([(v,) for v in (-10, -3, 0, 1, 2, 5, 9, 40, 41, 150, 299)], "v long")
+    for equal in (False, True):
+        got = values.select("v", fingerprints.count_up_to(bounds, F.col("v"), equal)).collect()
+        assert all(n == sum(b <= v if equal else b < v for b in bounds) for v, n in got)
+
+
 def test_one_row_and_none(spark, none):
     assert fingerprints.compare_edits(none).count() == 0
     one = fingerprints.compare_edits(frame(spark, [(5, "just this text here", "s")])).first()
@@ -54,7 +74,9 @@ def test_within_radius(spark, odd, radius, blocks):
     extra = [(r["fp"] ^ mask,) for r in prints.limit(6).collect() for mask in (1, 3, 1 << 62, 7, 15, (1 << 40) | 1)]
     prints = prints.union(spark.createDataFrame([*extra, (None,)], "fp long"))
     values = {r["fp"] for r in prints.collect()} - {None}
-    found = {tuple(r) for r in fingerprints.within_radius(prints, prints, radius, blocks).collect()}
+    pairs = [tuple(r) for r in fingerprints.within_radius(prints, prints, radius, blocks).collect()]
+    found = set(pairs)
+    assert len(found) == len(pairs), "a pair that meets in several tables is returned once"
     near = {(a, b, signed(a ^ b).bit_count()) for a in values for b in values if a != b}
     assert found == {x for x in near if x[2] <= radius}
 
@@ -66,3 +88,6 @@ def test_query(spark, small):
         n, digest, fp, edited, following = want[r["doc_id"]]
         assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (n, digest, f"{fp:016x}", f"{edited:016x}")
         assert r["near_edited"] == 1 - (fp ^ edited).bit_count() / 64 and r["near_next"] == 1 - (fp ^ following).bit_count() / 64
+        others = {print_ for _, _, print_, _, _ in want.values()} - {fp}
+        near = sum((fp ^ other).bit_count() <= 3 for other in others)
+        assert r["n_near"] == (near if r["doc_id"] % 20 == 0 else None)
