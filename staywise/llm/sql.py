@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from staywise.llm.licences import COPYRIGHT_LINE, LICENCES, NOT_WORD, NOTICES, SPELLINGS
+from staywise.llm.licences import COPYRIGHT_LINE, DIGESTS, LICENCES, LINE_END, NOT_WORD, NOTICES, SENTENCE_END, SPELLINGS, WRAPPED, headed
 from staywise.llm.mixing import DIGITS, SEED
 from staywise.llm.queries import EPOCHS, WEIGHTS
 
@@ -45,39 +45,55 @@ drawn AS (
 SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INT AS copy FROM drawn WHERE n > 0"""
 
 
-def canonical(text: str) -> str:
-    form = f"regexp_replace(lower({text}) || chr(10), '[\\r\\x{{2028}}\\x0B\\x0C]', chr(10), 'g')"
-    form = f"regexp_replace({form}, {quoted(COPYRIGHT_LINE)}, '\\1', 'g')"
-    form = f"' ' || replace(regexp_replace({form}, {quoted(NOT_WORD)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ')"
+def lower_lines(text: str) -> str:
+    lines = f"regexp_replace(lower({text}) || chr(10), {quoted(LINE_END.replace('x{0B}', 'x0B').replace('x{0C}', 'x0C'))}, chr(10), 'g')"
+    return f"regexp_replace({lines}, {quoted(WRAPPED)}, ' copyright \\1', 'g')"
+
+
+def words_only(lines: str) -> str:
+    form = f"' ' || replace(regexp_replace({lines}, {quoted(NOT_WORD)}, ' ', 'g'), chr(10), ' ' || chr(10) || ' ')"
     for spelt, meant in SPELLINGS:
         form = f"replace({form}, ' {spelt} ', ' {meant} ')"
     return form
 
 
+def canonical(lines: str) -> str:
+    return words_only(f"regexp_replace({lines}, {quoted(COPYRIGHT_LINE)}, '\\1', 'g')")
+
+
 def flat(text: str) -> str:
     return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
 
 
 def licence_scan() -> str:
-    texts = [(name, text) for table in (LICENCES, NOTICES) for name, found in table.items() for text in found]
-    listed = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in texts)
-    noted = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, found in NOTICES.items() for text in found)
+    noted = [(name, text) for name, found in NOTICES.items() for text in found]
+
+    def values(rows: list[tuple[str, str]]) -> str:
+        return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in rows)
+
+    def digest(text: str) -> str:
+        return f"sha256({flat(canonical(lower_lines(text)))})"
+
+    given = values([(name, found) for name, digests in DIGESTS.items() for found in digests])
+    sentences = f"regexp_replace(array_to_string(regexp_extract_all(lowered, {quoted(COPYRIGHT_LINE)}), ''), {quoted(SENTENCE_END)}, chr(10), 'g')"
     return f"""
 WITH whole AS (
-  SELECT form, min(name) AS licence FROM (
-    SELECT {flat(canonical('body'))} AS form, name FROM (VALUES {listed}) AS t(name, body)) GROUP BY form),
+  SELECT digest, min(name) AS licence FROM (
+    SELECT {digest('body')} AS digest, name FROM (VALUES {values(headed(LICENCES) + noted)}) AS t(name, body)
+    UNION ALL SELECT digest, name FROM (VALUES {given}) AS t(name, digest)) GROUP BY digest),
 notice AS (
   SELECT form, min(name) AS licence FROM (
-    SELECT {flat(canonical('body'))} AS form, name FROM (VALUES {noted}) AS t(name, body)) GROUP BY form),
-forms AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS form FROM documents),
+    SELECT {flat(canonical(lower_lines('body')))} AS form, name FROM (VALUES {values(noted)}) AS t(name, body)) GROUP BY form),
+lowered AS (SELECT doc_id, {lower_lines("coalesce(text, '')")} AS lowered FROM documents),
+forms AS (SELECT row_number() OVER () AS row, doc_id, {canonical('lowered')} AS form, {words_only(sentences)} AS said FROM lowered),
 lines AS (
-  SELECT doc_id, {flat('line')} AS form FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM forms)),
+  SELECT row, {flat('line')} AS form FROM (SELECT row, unnest(string_split(form || chr(10) || said, chr(10))) AS line FROM forms)),
 named AS (
-  SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT licence, ' ' ORDER BY licence) AS notices
-  FROM lines JOIN notice USING (form) GROUP BY doc_id)
-SELECT f.doc_id, sha256({flat('f.form')}) AS digest, w.licence, coalesce(n.n_notices, 0) AS n_notices,
-  coalesce(n.notices, '') AS notices
-FROM forms f LEFT JOIN whole w ON w.form = {flat('f.form')} LEFT JOIN named n ON n.doc_id = f.doc_id"""
+  SELECT row, count(*) AS n_notices, string_agg(DISTINCT licence, ' ' ORDER BY licence) AS notices
+  FROM lines JOIN notice USING (form) GROUP BY row),
+digests AS (SELECT row, doc_id, sha256({flat('form')}) AS digest FROM forms)
+SELECT doc_id, digest, w.licence, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
+FROM digests LEFT JOIN whole w USING (digest) LEFT JOIN named n USING (row)"""
 
 
 def either_case(words: str) -> str:
