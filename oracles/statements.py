@@ -613,6 +613,27 @@ WHERE rule = 'unknown_value' AND feature <> 'SeniorCitizen' GROUP BY feature, va
         with_(FEED_FOUND + ", counted AS (SELECT feature, rule, count(*) AS n FROM found GROUP BY 1, 2)", """SELECT 'feed' AS batch, 0::BIGINT AS records,
   (SELECT string_agg(feature || ': ' || rule || ' in ' || n || ' record(s)', '; ' ORDER BY feature, rule) FROM counted) || '; every value is in the report' AS refusal
 UNION ALL SELECT 'conforming', (SELECT count(*) FROM feed WHERE customerID NOT IN (SELECT customerID FROM bad)), NULL"""),
+    )
+    sql(
+        "guarded_batches",
+        with_(FEED_FOUND + """, counted AS (SELECT feature, rule, count(*) AS n FROM found GROUP BY 1, 2),
+sizes AS (SELECT count(*) FILTER (WHERE customerID NOT IN (SELECT customerID FROM bad)) AS good,
+  count(*) FILTER (WHERE customerID IN (SELECT customerID FROM bad)) AS refused, (SELECT count(*) FROM found) AS findings,
+  (SELECT string_agg(feature || ': ' || rule || ' in ' || n || ' record(s)', '; ' ORDER BY feature, rule) FROM counted) || '; every value is in the report' AS refusal
+  FROM feed)""", """SELECT 'feed' AS batch, 'accepted' AS part, good AS counted, good AS written, 0::BIGINT AS findings, refusal FROM sizes
+UNION ALL SELECT 'feed', 'refused', refused, refused, findings, refusal FROM sizes
+UNION ALL SELECT 'conforming', 'accepted', good, good, 0, NULL FROM sizes
+UNION ALL SELECT 'conforming', 'refused', 0, 0, 0, NULL
+UNION ALL SELECT 'empty', 'accepted', 0, 0, 0, 'no records provided'
+UNION ALL SELECT 'empty', 'refused', 0, 0, 0, 'no records provided'"""),
+    )
+    needed = "feature <> 'Churn'"
+    sql(
+        "required_columns",
+        f"""SELECT upload, feature, upload <> 'incomplete' OR feature NOT IN ('tenure', 'Contract') AS present,
+  CASE WHEN upload <> 'incomplete' OR feature NOT IN ('tenure', 'Contract') THEN missing END AS missing,
+  CASE WHEN upload = 'incomplete' THEN 'missing required columns: ' || (SELECT string_agg(feature, ', ' ORDER BY list_position({list(catalog.SPEC.required)!r}, feature)) FROM (VALUES ('tenure'), ('Contract')) AS t(feature)) END AS refusal
+FROM ({s['missing_value_counts']}) CROSS JOIN (VALUES ('complete'), ('incomplete'), ('reordered')) AS u(upload) WHERE {needed}""",
     )
     sql("violation_report", with_(FEED_FOUND, "SELECT feature, rule, count(*) AS records FROM found GROUP BY 1, 2"))
     sql(
@@ -1033,6 +1054,11 @@ run AS (SELECT *, round(customers * (rate_pct / 100.0::DOUBLE))::BIGINT AS saved
 UNION ALL SELECT 'refused', count(*), count(*) FROM bad"""))
     sql("ensemble_agreement", with_(FEED_FOUND, """SELECT 'boosted' AS version, count(*) AS records, 0::BIGINT AS violations, 0::BIGINT AS labels_apart, TRUE AS proper, TRUE AS varied
 FROM feed WHERE customerID NOT IN (SELECT customerID FROM bad)"""))
+    sql(
+        "explainer_choice",
+        with_(SPLIT, """SELECT family, explainer, (SELECT count(*) FROM split WHERE is_test) AS records FROM (VALUES
+  ('LogisticRegression', 'linear'), ('DecisionTreeClassifier', 'tree'), ('RandomForestClassifier', 'tree'), ('GBTClassifier', 'tree'), ('LinearSVC', NULL)) AS t(family, explainer)"""),
+    )
     sql("contract_declarations", contract_declared())
     sql("declared_sections", f"""SELECT section, count(*) FILTER (WHERE in_v1) AS v1_items, count(*) FILTER (WHERE in_v2) AS v2_items,
   count(*) FILTER (WHERE in_v1 AND in_v2) AS common_items, CASE WHEN bool_and(in_v1 = in_v2) THEN 'SAME' ELSE 'DIFFERENT' END AS status

@@ -8,6 +8,7 @@ or in a batch.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,10 @@ from pyspark.sql import types as T
 from staywise.functions.expressions import flag_number, flag_sql, is_missing, missing_sql, number_sql, to_number
 from staywise.functions.sql import array, one_of, quoted, struct, text
 from staywise.roles import ContractSpec
+from staywise.session import fresh_path
 
+ACCEPTED, REFUSED = "accepted", "refused"
+NO_RECORDS = "no records provided"
 MISSING = "missing"
 UNKNOWN = "unknown_value"
 INFINITE = "infinite"
@@ -37,6 +41,19 @@ def require_columns(columns: Sequence[str], spec: ContractSpec) -> None:
         raise ContractViolation(f"missing required columns: {', '.join(absent)}")
 
 
+def required_report(df: DataFrame, spec: ContractSpec) -> DataFrame:
+    """One row per required column: whether the upload has it, and in how many records it is missing (NULL if absent)."""
+    cells = [
+        F.struct(
+            F.lit(name).alias("feature"),
+            F.lit(name in df.columns).alias("present"),
+            (F.count_if(is_missing(name, df.schema[name].dataType)) if name in df.columns else F.lit(None).cast("bigint")).alias("missing"),
+        )
+        for name in spec.required
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
 def _finding(test: str, feature: str, rule: str) -> str:
     row = {"feature": text(feature), "rule": text(rule), "value": f"CAST({quoted(feature)} AS STRING)"}
     return f"CASE WHEN {test} THEN {struct(row)} END"
@@ -142,17 +159,80 @@ def infinity_report(df: DataFrame, spec: ContractSpec) -> DataFrame:
     return df.agg(cells.alias("cells")).select(F.inline("cells"))
 
 
+@dataclass(frozen=True)
+class Guarded:
+    """A batch judged in the pass that wrote it; both parts are read from what was written."""
+
+    accepted: DataFrame
+    refused: DataFrame
+    #: Records of either verdict, and records by broken (feature, rule); bounded by the contract.
+    records: dict[str, int]
+    broken: dict[tuple[str, str], int]
+
+    @property
+    def refusal(self) -> str | None:
+        """Why strict mode would not take the batch."""
+        if not sum(self.records.values()):
+            return NO_RECORDS
+        lines = [f"{feature}: {rule} in {n} record(s)" for (feature, rule), n in sorted(self.broken.items())]
+        return "; ".join(lines) + "; every value is in the report" if lines else None
+
+
+def judged(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = ()) -> DataFrame:
+    """Every record once, by a narrow projection: its verdict, what is taken if accepted, as it arrived with the reasons if refused."""
+    require_columns(df.columns, spec)
+    cleaned = clean_columns(df.schema, spec)
+    reasons = violation_array(df.schema, spec).alias("violations")
+    rows = df.select(
+        F.struct(*carry, *[cleaned[name].alias(name) for name in spec.required]).alias("taken"),
+        F.struct(*carry, *spec.required, reasons).alias("record"),
+    )
+    refused = F.size("record.violations") > 0
+    return rows.select(
+        F.when(refused, REFUSED).otherwise(ACCEPTED).alias("verdict"),
+        F.when(~refused, F.col("taken")).alias("taken"),
+        F.when(refused, F.col("record")).alias("record"),
+    )
+
+
+def guard(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = (), path: str | None = None) -> Guarded:
+    """Judge, write and count a batch with one scan of it: a folder per verdict under ``path``.
+
+    Strict, quarantine and empty-batch handling all read the outcome; the batch
+    itself is not looked at again.
+    """
+    rows = judged(df, spec, carry)
+    path = path or fresh_path(df.sparkSession, "guarded")
+    rows.write.partitionBy("verdict").parquet(path)
+    written = df.sparkSession.read.schema(rows.schema).parquet(path)
+    reasons = written.select("verdict", F.posexplode_outer("record.violations").alias("place", "found"))
+    counted = reasons.groupBy("verdict", "found.feature", "found.rule").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("records")
+    )
+    records, broken = {ACCEPTED: 0, REFUSED: 0}, {}
+    for row in counted.collect():
+        records[row["verdict"]] += row["records"]
+        if row["feature"] is not None:
+            broken[row["feature"], row["rule"]] = row["n"]
+    # The verdict is a folder name, so either part opens only its own files.
+    return Guarded(
+        written.where(F.col("verdict") == ACCEPTED).select("taken.*"),
+        written.where(F.col("verdict") == REFUSED).select("record.*"),
+        records,
+        broken,
+    )
+
+
 def strict(df: DataFrame, spec: ContractSpec, carry: Sequence[str] = ()) -> DataFrame:
-    """The cleaned batch, or :class:`ContractViolation` when any record breaks a rule.
+    """The cleaned batch, or :class:`ContractViolation` when any record breaks a rule or there is none.
 
     The message counts every broken (feature, rule), which the contract bounds;
     the refused values themselves are rows of ``report``, all of them.
     """
-    counts = violation_report(df, spec).orderBy("feature", "rule").collect()
-    if counts:
-        lines = [f"{row['feature']}: {row['rule']} in {row['records']} record(s)" for row in counts]
-        raise ContractViolation("; ".join(lines) + "; every value is in the report", findings(df, spec, carry))
-    return accepted(df, spec, carry)
+    guarded = guard(df, spec, carry)
+    if guarded.refusal:
+        raise ContractViolation(guarded.refusal, guarded.refused.select(*carry, F.inline("violations")))
+    return guarded.accepted
 
 
 def describe_contract(spec: ContractSpec, df: DataFrame) -> DataFrame:

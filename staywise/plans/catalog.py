@@ -5,6 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.classification import (
+    DecisionTreeClassifier,
+    GBTClassifier,
+    LinearSVC,
+    LogisticRegression,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -272,7 +279,7 @@ def contract_rejected(spark, folder):
 def strict_batches(spark, folder):
     """Strict mode over the whole feed and over its conforming part: rows taken, or the refusal."""
     whole = feed(spark, folder)
-    conforming = whole.join(contract.rejected(whole, SPEC, [ROLES.id]).select(ROLES.id), ROLES.id, "left_anti")
+    conforming = whole.where(contract.conforms_sql(whole.schema, SPEC))
     outcomes = []
     for name, batch in (("feed", whole), ("conforming", conforming)):
         try:
@@ -282,6 +289,52 @@ def strict_batches(spark, folder):
     return spark.createDataFrame(outcomes, "batch string, records bigint, refusal string")
 
 
+@job
+def guarded_batches(spark, folder):
+    """A faulty, a conforming and an empty batch, each judged in the pass that writes it: both parts as written, and what strict mode says."""
+    whole = feed(spark, folder)
+    batches = {"feed": whole, "conforming": whole.where(contract.conforms_sql(whole.schema, SPEC)), "empty": whole.where(F.lit(False))}
+    parts = []
+    for name, batch in batches.items():
+        guarded = contract.guard(batch, SPEC, [ROLES.id])
+        for part, rows, found in (
+            (contract.ACCEPTED, guarded.accepted, F.lit(0).cast("bigint")),
+            (contract.REFUSED, guarded.refused, F.coalesce(F.sum(F.size("violations")), F.lit(0).cast("bigint"))),
+        ):
+            parts.append(
+                rows.agg(
+                    F.lit(name).alias("batch"),
+                    F.lit(part).alias("part"),
+                    F.lit(guarded.records[part]).cast("bigint").alias("counted"),
+                    F.count("*").alias("written"),
+                    found.alias("findings"),
+                    F.lit(guarded.refusal).cast("string").alias("refusal"),
+                )
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@job
+def required_columns(spark, folder):
+    """Uploads with all, with fewer and with reordered and further columns: each required column, and whether the upload is taken."""
+    whole = feed(spark, folder)
+    uploads = {
+        "complete": whole,
+        "incomplete": whole.drop("tenure", "Contract"),
+        "reordered": whole.select(*whole.columns[::-1], F.lit("x").alias("further")),
+    }
+    parts = []
+    for name, upload in uploads.items():
+        try:
+            contract.require_columns(upload.columns, SPEC)
+            refusal = None
+        except contract.ContractViolation as refused:
+            refusal = str(refused)
+        found = contract.required_report(upload, SPEC)
+        parts.append(found.select(F.lit(name).alias("upload"), "feature", "present", "missing", F.lit(refusal).cast("string").alias("refusal")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @job
 def flag_normalised(spark, folder):
     rows = feed(spark, folder).select(F.lower(F.trim("SeniorCitizen")).alias("token"), flag_number("SeniorCitizen").alias("flag"))
@@ -1119,6 +1172,30 @@ def stable_logistic(spark, folder):
     return wide.select(ROLES.id, F.round(logistic(F.col("z")), 9).alias("p"))
 
 
+@job
+def explainer_choice(spark, folder):
+    """Small models of each family, fitted on the mart: which exact explainer applies, or that none does, and the test rows it would explain."""
+    data = prepared(spark, folder, drop_first=True)
+    small = {"featuresCol": "features", "labelCol": "label", "seed": SEED}
+    families = {
+        "LogisticRegression": LogisticRegression(featuresCol="features", labelCol="label", maxIter=2),
+        "DecisionTreeClassifier": DecisionTreeClassifier(maxDepth=2, **small),
+        "RandomForestClassifier": RandomForestClassifier(maxDepth=2, numTrees=2, **small),
+        "GBTClassifier": GBTClassifier(maxDepth=2, maxIter=2, **small),
+        "LinearSVC": LinearSVC(featuresCol="features", labelCol="label", maxIter=2),
+    }
+    parts = []
+    for name, family in families.items():
+        model = family.fit(data.train)
+        try:
+            kind = trees.explainer_kind(model)
+        except TypeError:
+            kind = None
+        rows = model.transform(data.test).agg(F.count("prediction").alias("records"))
+        parts.append(rows.select(F.lit(name).alias("family"), F.lit(kind).cast("string").alias("explainer"), "records"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # A fixed two-tree ensemble over raw columns: feature 0 tenure, 1 MonthlyCharges, 2 SeniorCitizen.
 FIXED_INPUTS = ("tenure", "MonthlyCharges", "SeniorCitizen")
 FIXED_TREES = (

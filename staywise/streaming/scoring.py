@@ -10,12 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from staywise.functions.sql import quoted
-from staywise.operators.contract import accepted, clean_columns, rejected, require_columns, violation_array
+from staywise.operators.contract import ACCEPTED, REFUSED, accepted, clean_columns, rejected, require_columns, violation_array
 from staywise.operators.scoring import Scorecard, interventions, with_score, with_tiers
 from staywise.roles import ColumnRoles, ContractSpec, RuleBook
 
-
-ACCEPTED, REFUSED = "accepted", "refused"
 COUNTS = "records bigint, accepted bigint, refused bigint"
 
 

@@ -92,3 +92,37 @@ def test_accepted_and_rejected_split_the_batch(spark):
     assert kept.join(refused, "customerID").count() == 0
     assert refused.count() == 3
     assert refused.where(F.size("violations") == 0).count() == 0
+
+
+def test_guard_reads_the_batch_once(spark, tmp_path):
+    rows = ROWS + mutated([("Contract", "Five year"), ("tenure", None), ("SeniorCitizen", "perhaps")])
+    frame = text_frame(spark, rows)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    guarded = contract.guard(frame.mapInArrow(counted, frame.schema), TELCO_CONTRACT, ["customerID"], str(tmp_path / "written"))
+    assert guarded.records == {"accepted": len(ROWS), "refused": 3}
+    assert guarded.broken == {("Contract", "unknown_value"): 1, ("tenure", "missing"): 1, ("SeniorCitizen", "unknown_value"): 1}
+    assert guarded.accepted.count() == len(ROWS) and guarded.refused.where("size(violations) = 1").count() == 3
+    assert seen.value == len(rows)
+    plain = contract.accepted(frame, TELCO_CONTRACT, ["customerID"])
+    assert guarded.accepted.columns == plain.columns and guarded.accepted.exceptAll(plain).count() == 0
+
+
+def test_guard_of_an_empty_batch(spark):
+    empty = text_frame(spark, ROWS).limit(0)
+    guarded = contract.guard(empty, TELCO_CONTRACT)
+    assert guarded.records == {"accepted": 0, "refused": 0} and guarded.refusal == contract.NO_RECORDS
+    assert guarded.accepted.count() == guarded.refused.count() == 0
+    with pytest.raises(contract.ContractViolation, match=contract.NO_RECORDS):
+        contract.strict(empty, TELCO_CONTRACT)
+
+
+def test_guard_counts_records_with_several_faults_once(spark):
+    [row] = mutated([("Contract", "Five year")])
+    guarded = contract.guard(text_frame(spark, ROWS + [row | {"tenure": None, "gender": "X"}]), TELCO_CONTRACT, ["customerID"])
+    assert guarded.records["refused"] == 1 and len(guarded.broken) == 3
