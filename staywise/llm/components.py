@@ -13,9 +13,10 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Links are undirected.  Each round hangs the larger neighbours of every
     node under its smallest one, then the smaller ones; the minimum per node is
-    combined before the shuffle and joined back, so a node with very many
-    links never gathers them in one task.  Rounds grow with the logarithm of
-    the number of nodes; each is written to the shared folder.
+    combined before the shuffle and joined back.  All links of a node meet at
+    one key of that join; those of a node with very many are split over tasks
+    by Spark's skew join (adaptive execution, on by default).  Rounds grow with
+    the logarithm of the number of nodes; each is written to the shared folder.
     """
     a, b = F.col(left), F.col(right)
     edges = stage(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
