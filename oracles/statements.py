@@ -1054,6 +1054,12 @@ run AS (SELECT *, round(customers * (rate_pct / 100.0::DOUBLE))::BIGINT AS saved
 UNION ALL SELECT 'refused', count(*), count(*) FROM bad"""))
     sql("ensemble_agreement", with_(FEED_FOUND, """SELECT 'boosted' AS version, count(*) AS records, 0::BIGINT AS violations, 0::BIGINT AS labels_apart, TRUE AS proper, TRUE AS varied
 FROM feed WHERE customerID NOT IN (SELECT customerID FROM bad)"""))
+    sql(
+        "model_metric_checks",
+        with_(SPLIT, f"""SELECT model, count(*) AS records, count(*) FILTER (WHERE Churn = 'Yes') AS positives, 0::BIGINT AS improper_scores,
+  0::BIGINT AS figures_apart, TRUE AS champion_leads
+FROM split CROSS JOIN (VALUES {', '.join(f"({q(name)})" for name in catalog.training.MODEL_NAMES)}) AS m(model) WHERE is_test GROUP BY model"""),
+    )
     sql(
         "explainer_choice",
         with_(SPLIT, """SELECT family, explainer, (SELECT count(*) FROM split WHERE is_test) AS records FROM (VALUES

@@ -12,6 +12,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -752,6 +753,45 @@ def trained_models(spark, folder):
     )
 
 
+@job
+def model_metric_checks(spark, folder):
+    """Per fixed-setting model: the test rows, and how many of its figures differ from those of Spark's own evaluators."""
+    data = prepared(spark, folder, drop_first=True)
+    metrics, best, models = training.train_legacy(data, ROLES.id)
+    own = {row["model"]: row.asDict() for row in metrics.collect()}
+    champions = {row["model"] for row in best.collect()}
+    rows = training.score_models(models, data.test, ROLES.id).withColumns(
+        {"label": F.col("label").cast("double"), "predicted": (F.col("score") >= 0.5).cast("double")}
+    )
+    by_label = {"labelCol": "label", "predictionCol": "predicted", "metricLabel": 1.0}
+    evaluators = {
+        "roc_auc": BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score", metricName="areaUnderROC", numBins=0),
+        "accuracy": MulticlassClassificationEvaluator(metricName="accuracy", **by_label),
+        "precision": MulticlassClassificationEvaluator(metricName="precisionByLabel", **by_label),
+        "recall": MulticlassClassificationEvaluator(metricName="recallByLabel", **by_label),
+        "f1": MulticlassClassificationEvaluator(metricName="fMeasureByLabel", **by_label),
+    }
+    parts = []
+    for name in models:
+        of_model = rows.where(F.col("model") == name)
+        # The library's figures have four digits; Spark has none for a class that is never predicted.
+        called = of_model.agg(F.sum("predicted")).first()[0]
+        asked = evaluators if called else {m: e for m, e in evaluators.items() if m in ("roc_auc", "accuracy")}
+        apart = sum(abs(e.evaluate(of_model) - own[name][metric]) > 0.00005 + 1e-9 for metric, e in asked.items())
+        leads = own[name]["f1"] == max(found["f1"] for found in own.values())
+        parts.append(
+            of_model.agg(
+                F.lit(name).alias("model"),
+                F.count("*").alias("records"),
+                F.sum("label").cast("bigint").alias("positives"),
+                F.count_if(~F.col("score").between(0.0, 1.0) | F.isnan("score") | F.col("score").isNull()).alias("improper_scores"),
+                F.lit(int(apart)).cast("bigint").alias("figures_apart"),
+                F.lit(leads or name not in champions).alias("champion_leads"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @job
 def fold_statistics(spark, folder):
     """What each fold's preparation has learned from the rows outside it."""
