@@ -19,6 +19,7 @@ sorts after all others; rows repeating an id and text count towards
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm.common import in_batches, keep_rows, partitions, row_key, texts_of
+from staywise.llm.common import SMALL_BATCH_BYTES, in_batches, keep_rows, partitions, row_key, rows_of, texts_of
 from staywise.operators.ordering import running_totals
 from staywise.session import fresh_path, stage
 
 CAPACITY = 4096
-FLUSH_BYTES = 16 << 20
+#: Memory after which a task sends the distinct texts it holds, and what one takes beside its characters.
+FLUSH_BYTES = 4 << 20
+HELD_BYTES = 300
 KEY_BITS = 64
 
 _SENT = pa.schema([("owner", pa.int32()), ("key", pa.int64()), ("text", pa.string()), ("first_id", pa.int64()), ("n", pa.int64())])
@@ -117,22 +120,21 @@ def _combine(starts: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: dict[tuple[int, str], list[int]] = {}
         size = 0
-        for batch in batches:
-            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
-                doc = _LAST if doc is None else doc
-                seen = held.get((key, text))
-                if seen is None:
-                    held[key, text] = [doc, 1]
-                    size += len(text)
-                    if size > FLUSH_BYTES:
-                        yield from flushed(held)
-                        held, size = {}, 0
-                else:
-                    seen[0] = min(seen[0], doc)
-                    seen[1] += 1
+        for doc, key, text in rows_of(batches, "doc_id", "key", "text"):
+            doc = _LAST if doc is None else doc
+            seen = held.get((key, text))
+            if seen is None:
+                held[key, text] = [doc, 1]
+                size += sys.getsizeof(text) + HELD_BYTES
+                if size > FLUSH_BYTES:
+                    yield from flushed(held)
+                    held, size = {}, 0
+            else:
+                seen[0] = min(seen[0], doc)
+                seen[1] += 1
         yield from flushed(held)
 
-    return lambda batches: in_batches(_SENT, rows(batches), lambda row: len(row[2]))
+    return lambda batches: in_batches(_SENT, rows(batches), lambda row: sys.getsizeof(row[2]), SMALL_BATCH_BYTES)
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,20 +143,19 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         at: int | None = None
         chain: dict[str, list[int]] = {}
-        for batch in batches:
-            for key, text, first, n in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "first_id", "n"))):
-                if key != at:
-                    yield from ((at, i, *found, kept) for i, (kept, found) in enumerate(chain.items()))
-                    at, chain = key, {}
-                found = chain.get(text)  # compares the whole text, not its hash
-                if found is None:
-                    chain[text] = [first, n]
-                else:
-                    found[0] = min(found[0], first)
-                    found[1] += n
+        for key, text, first, n in rows_of(batches, "key", "text", "first_id", "n"):
+            if key != at:
+                yield from ((at, i, *found, kept) for i, (kept, found) in enumerate(chain.items()))
+                at, chain = key, {}
+            found = chain.get(text)  # compares the whole text, not its hash
+            if found is None:
+                chain[text] = [first, n]
+            else:
+                found[0] = min(found[0], first)
+                found[1] += n
         yield from ((at, i, *found, kept) for i, (kept, found) in enumerate(chain.items()))
 
-    return in_batches(_ENTRY, rows(), lambda row: len(row[4]))
+    return in_batches(_ENTRY, rows(), lambda row: sys.getsizeof(row[4]), SMALL_BATCH_BYTES)
 
 
 def build(

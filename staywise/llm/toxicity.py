@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from staywise.llm.common import in_batches, texts_of
+from staywise.llm.common import SMALL_BATCH_BYTES, in_batches, rows_of, texts_of
 from staywise.session import stage
 
 SLOT_BITS = 18
@@ -114,10 +114,9 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (
         # As arrays: a list would hold an object for every slot.
         (doc, label, slots_of(text).astype(np.int32))
-        for batch in batches
-        for doc, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")))
+        for doc, label, text in rows_of(batches, "doc_id", "label", "text")
     )
-    return in_batches(_SLOTS, rows, lambda row: 4 * len(row[2]))
+    return in_batches(_SLOTS, rows, lambda row: 4 * len(row[2]), SMALL_BATCH_BYTES)
 
 
 def fit(

@@ -1,7 +1,8 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from staywise.llm import exact_dedup, simhash_dedup
-from staywise.llm.common import keep_rows
+from staywise.llm.common import ROWS_AT_ONCE, in_batches, keep_rows, rows_of
 from tests.llm.conftest import sentences
 
 
@@ -18,3 +19,12 @@ def test_dedup_stages_leave_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_key string, _row_key string")
     for module in (exact_dedup, simhash_dedup):
         assert sorted(map(tuple, module.deduplicate(docs).collect())) == rows[:6]
+
+
+def test_batches_are_read_in_parts_and_written_by_bytes():
+    schema = pa.schema([("n", pa.int64()), ("text", pa.string())])
+    batches = [pa.record_batch({"n": range(k), "text": ["x" * 100] * k}, schema=schema) for k in (0, 1, 2 * ROWS_AT_ONCE + 3)]
+    rows = list(rows_of(batches, "text", "n"))
+    assert rows == [("x" * 100, n) for k in (1, 2 * ROWS_AT_ONCE + 3) for n in range(k)]
+    parts = list(in_batches(schema, ((n, text) for text, n in rows), lambda row: len(row[1]), 1000))
+    assert {len(part) for part in parts[:-1]} == {10} and sum(map(len, parts)) == len(rows)

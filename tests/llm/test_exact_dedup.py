@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from staywise.llm import exact_dedup
@@ -48,6 +49,16 @@ def test_flushes_are_merged(spark, monkeypatch):
     assert made(exact_dedup.groups(frame(spark, rows))) == brute(rows)
 
 
+def test_short_and_wide_texts_are_flushed_by_the_memory_they_take(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FLUSH_BYTES", 1 << 20)
+    # A million bytes are held by some 2,700 texts of a few characters, or by 4 of 65,536 characters of four bytes each.
+    for texts in [str(k) for k in range(20_000)], ["\U0001F600" * 65_536 + str(k) for k in range(8)]:
+        batch = pa.record_batch({"doc_id": range(len(texts)), "key": range(len(texts)), "text": texts})
+        sent = [row["text"] for part in exact_dedup._combine([0])([batch, batch]) for row in part.to_pylist()]
+        # A flush forgets its texts, so those that come again are sent again.
+        assert set(sent) == set(texts) and len(sent) > 1.5 * len(texts)
+
+
 def test_deduplicate_keeps_columns(odd, odd_rows):
     kept = exact_dedup.deduplicate(odd)
     assert kept.columns == odd.columns
