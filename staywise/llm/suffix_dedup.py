@@ -6,7 +6,8 @@ task, so the work is dealt by content:
 
 1. Every window of ``length`` bytes has an anchor, the smallest hash among its
    grams of ``gram`` bytes.  Equal windows have equal anchors.  The windows of
-   a document that share an anchor are neighbours and form a block.
+   a document that share an anchor are neighbours and form a block.  Least
+   hashes are small numbers, so they are mixed once more before they deal.
 2. Documents are grouped by id.  Each group sends its distinct anchor hashes,
    dealt by hash; an anchor that one group alone has, and there in one place,
    belongs to windows that nothing repeats.  The groups get one bit per hash back.
@@ -19,7 +20,8 @@ task, so the work is dealt by content:
    builds the suffix array of each: sampled triples are sorted, recursion
    orders their names, the remaining suffixes are merged in.  Suffixes next to
    each other whose first ``length`` bytes agree are one string, and its
-   smallest document is known.
+   smallest document is known.  The number of shards follows the bytes of the
+   input, so a shard holds as much whatever their sum and the session's settings.
 5. Places of windows that a smaller document has go back to their group, which
    cuts them out of the texts.
 
@@ -49,12 +51,14 @@ from staywise.llm.suffix_array import suffix_array
 
 LENGTH = 50
 GRAM = 24
-#: Documents whose ids agree but for so many last bits form a group.
-GROUP_BITS = 9
+#: Documents whose ids agree but for so many last bits form a group; more bits, up to the second number, for large inputs.
+GROUP_BITS, MOST_BITS = 9, 12
+#: Bytes that a group of more documents may have on average, and messages between groups and shards that make it worth while.
+GROUP_BYTES, MESSAGES = 4 << 20, 1 << 20
 #: Positions that are hashed at a time, so that the arrays stay in cache.
 SEGMENT = 1 << 15
-#: Shards per shuffle partition: a shard is what one call holds in memory.
-SHARDS = 4
+#: Shards per shuffle partition at least, and bytes of text per shard at most: a shard is what one call holds in memory.
+SHARDS, SHARD_BYTES = 4, 4 << 20
 #: Symbols that one suffix array is meant to hold; a shard is split by its anchors' hashes to stay below.
 SYMBOLS = 1 << 20
 
@@ -91,6 +95,14 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return found ^ (found >> np.uint64(29))
 
 
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """One to one; spreads the least of many hashes, which lie near zero, evenly over all numbers."""
+    with np.errstate(over="ignore"):
+        found = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        found = (found ^ (found >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return found ^ (found >> np.uint64(31))
+
+
 @dataclass
 class Texts:
     """The texts of a group in one array of bytes, ordered by id and text."""
@@ -146,7 +158,7 @@ class Texts:
             begins, stops = begins[keep], stops[keep]
             starts.append(begins + low)
             sizes.append(stops - begins)
-            hashes.append(grams[anchor[begins]])
+            hashes.append(mixed(grams[anchor[begins]]))
             last = high
         return np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
 
@@ -236,7 +248,7 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, inverse.ravel()
 
 
-def _send_blocks(docs: pa.Table, bits: pa.Table, length: int, gram: int, parts: int) -> pa.Table:
+def _send_blocks(docs: pa.Table, marks: pa.Table, length: int, gram: int, parts: int, bits: int) -> pa.Table:
     """Distinct blocks that may repeat, with their places, one message per shard."""
     if not docs.num_rows:
         return _HASHES.empty_table()
@@ -245,7 +257,7 @@ def _send_blocks(docs: pa.Table, bits: pa.Table, length: int, gram: int, parts:
     distinct, counts = np.unique(hashes, return_counts=True)
     wanted = counts > 1
     cuts = np.searchsorted(_parts_of(distinct, parts), np.arange(parts + 1))
-    for part, payload in zip(bits.column("part").to_pylist(), bits.column("payload").to_pylist()):
+    for part, payload in zip(marks.column("part").to_pylist(), marks.column("payload").to_pylist()):
         a, b = cuts[part], cuts[part + 1]
         wanted[a:b] |= np.unpackbits(np.frombuffer(payload, np.uint8), count=b - a).astype(bool)
     chosen = _member(hashes, distinct[wanted])
@@ -258,12 +270,12 @@ def _send_blocks(docs: pa.Table, bits: pa.Table, length: int, gram: int, parts:
     sent = []
     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a < b:
-            sent.append((part, group, _pack(texts, starts[a:b], sizes[a:b], strips[a:b], doc[a:b], length, gram)))
+            sent.append((part, group, _pack(texts, starts[a:b], sizes[a:b], strips[a:b], doc[a:b], length, gram, bits)))
     return _table(_HASHES, sent)
 
 
 def _pack(
-    texts: Texts, starts: np.ndarray, sizes: np.ndarray, strips: np.ndarray, doc: np.ndarray, length: int, gram: int
+    texts: Texts, starts: np.ndarray, sizes: np.ndarray, strips: np.ndarray, doc: np.ndarray, length: int, gram: int, bits: int
 ) -> bytes:
     """Distinct blocks (windows, strip, bytes) and, per place, kind, start and document."""
     rows = _rows_of(texts.data, starts, sizes, length, 2 * length - gram)
@@ -272,12 +284,12 @@ def _pack(
     body = _bytes_of(texts.data, starts[index], sizes[index] + length - 1)
     ids = texts.ids[doc]
     # Within a group the last bits tell ids apart; a null id has a number of its own.
-    short = np.where(ids == _LAST, 1 << GROUP_BITS, ids & ((1 << GROUP_BITS) - 1)).astype(np.uint16)
+    short = np.where(ids == _LAST, 1 << bits, ids & ((1 << bits) - 1)).astype(np.uint16)
     # Groups are far below 4 GB: a row that long is more than Spark holds.
     return _squeezed(head, sizes[index].astype(np.uint16), strips[index], kind.astype(np.uint32), starts.astype(np.uint32), short, body)
 
 
-def _unpack(group: int, message: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(group: int, message: bytes, bits: int) -> tuple[np.ndarray, ...]:
     """(windows, strips, bytes) of distinct blocks, (kind, start, id) of places."""
     planes = _expanded(message)
     distinct, places = _array(planes, np.int64, 2, 0).tolist()
@@ -286,7 +298,7 @@ def _unpack(group: int, message: bytes) -> tuple[np.ndarray, ...]:
         found.append(_array(planes, kind, count, at))
         at += count * np.dtype(kind).itemsize
     sizes, strips, kinds, starts, short = found
-    ids = np.where(short == 1 << GROUP_BITS, _LAST, np.left_shift(np.int64(group), GROUP_BITS) + short.astype(np.int64))
+    ids = np.where(short == 1 << bits, _LAST, np.left_shift(np.int64(group), bits) + short.astype(np.int64))
     return sizes, strips, np.frombuffer(planes, np.uint8, offset=at), kinds.astype(np.int64), starts.astype(np.int64), ids
 
 
@@ -323,27 +335,33 @@ def window_owners(sizes: np.ndarray, body: np.ndarray, owners: np.ndarray, lengt
     return least
 
 
-def _own_blocks(table: pa.Table, length: int, gram: int) -> pa.Table:
-    """Places of removed windows, (start, windows) in the group's bytes, for every group that sent blocks."""
+def _own_blocks(table: pa.Table, length: int, gram: int, bits: int) -> pa.Table:
+    """Places of removed windows, (start, windows) in the group's bytes, for every group that sent blocks.
+
+    The messages stay packed: their blocks are taken out first and their places, one message's at a time, at the end.
+    """
     part = table.column("part")[0].as_py()
-    groups = table.column("grp").to_pylist()
-    messages = [_unpack(group, x) for group, x in zip(groups, table.column("payload").to_pylist())]
+    groups, messages = table.column("grp").to_pylist(), table.column("payload").to_pylist()
     width = 2 * length - gram
-    sizes = np.concatenate([m[0] for m in messages]).astype(np.int64)
-    body = np.concatenate([m[2] for m in messages])
+    parts = []
+    for group, message in zip(groups, messages):
+        n, strips, body, kinds, _, ids = _unpack(group, message, bits)
+        least = np.full(len(n), _LAST, dtype=np.int64)
+        np.minimum.at(least, kinds, ids)
+        parts.append((n, strips, body.copy(), least))
+    sizes, strips, body, least = (np.concatenate(x) for x in zip(*parts))
+    shifts = np.cumsum([0, *(len(x[0]) for x in parts)]).tolist()
+    del parts
+    sizes = sizes.astype(np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + length - 1)])[:-1]
     index, kind = _distinct(_rows_of(body, begins, sizes, length, width))
     # One owner per distinct block of the shard: the smallest document that has it.
     owners = np.full(len(index), _LAST, dtype=np.int64)
-    shift, of_place = 0, []
-    for n, _, _, kinds, _, ids in messages:
-        of_place.append(kind[shift + kinds])
-        np.minimum.at(owners, of_place[-1], ids)
-        shift += len(n)
+    np.minimum.at(owners, kind, least)
     ahead = np.cumsum(sizes[index]) - sizes[index]
     # A block that is the only one of its anchor shares no window with another, and its windows differ.
     least = np.repeat(owners, sizes[index])
-    strips = np.concatenate([m[1] for m in messages])[index]
+    strips = strips[index]
     _, numbered, blocks = np.unique(strips, return_inverse=True, return_counts=True)
     rivals = np.flatnonzero(blocks[numbered] > 1)
     # Blocks of one anchor have one strip, so runs of strips can be sorted on their own.
@@ -363,8 +381,11 @@ def _own_blocks(table: pa.Table, length: int, gram: int) -> pa.Table:
         least[np.repeat(ahead[order[low:high]], sizes[some]) + np.arange(len(found)) - first] = found
         low = high
     rows = []
-    for group, (_, _, _, _, starts, ids), kinds in zip(groups, messages, of_place):
-        count = sizes[index][kinds]
+    sizes = sizes[index]
+    for group, message, shift in zip(groups, messages, shifts):
+        _, _, _, kinds, starts, ids = _unpack(group, message, bits)
+        kinds = kind[shift + kinds]
+        count = sizes[kinds]
         first = np.repeat(np.cumsum(count) - count, count)
         offset = np.arange(int(count.sum())) - first
         gone = least[np.repeat(ahead[kinds], count) + offset] < np.repeat(ids, count)
@@ -398,25 +419,37 @@ def _cut(docs: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     return _table(_OUT, rows)
 
 
+def layout(rows: int, size: int, parts: int) -> tuple[int, int]:
+    """(shards, bits of an id that a group leaves out) for so many documents and bytes; ``parts`` shards at least.
+
+    Every group may send to every shard, so larger inputs get larger groups, else messages would grow with the square.
+    """
+    shards, bits = max(parts, -(-size // SHARD_BYTES)), GROUP_BITS
+    while bits < MOST_BITS and (rows >> bits) * shards > MESSAGES and (size << bits + 1) <= GROUP_BYTES * rows:
+        bits += 1
+    return shards, bits
+
+
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int | None = None, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """(doc_id, n_bytes, starts, stops, kept): removed byte runs and the remaining bytes of every row."""
     gram = gram or max(1, length * GRAM // LENGTH)
-    parts = SHARDS * partitions(docs.sparkSession)
     rows = texts_of(docs, id_column, text_column)
+    seen = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("bytes")).first()
+    parts, bits = layout(seen["rows"], seen["bytes"], SHARDS * partitions(docs.sparkSession))
     # Null ids are dealt by their text, so that they don't form one group.
-    group = F.coalesce(F.shiftright("doc_id", GROUP_BITS), F.xxhash64("text"))
+    group = F.coalesce(F.shiftright("doc_id", bits), F.xxhash64("text"))
     grouped = rows.select(group.alias("grp"), "doc_id", F.col("text").cast("binary").alias("text")).repartition("grp")
     hashes = grouped.groupBy("grp").applyInArrow(
         lambda table: _send_hashes(table, length, gram, parts), "part int, grp bigint, payload binary"
     )
-    bits = hashes.groupBy("part").applyInArrow(_mark_hashes, "grp bigint, part int, payload binary")
-    blocks = grouped.groupBy("grp").cogroup(bits.groupBy("grp")).applyInArrow(
-        lambda left, right: _send_blocks(left, right, length, gram, parts), "part int, grp bigint, payload binary"
+    marks = hashes.groupBy("part").applyInArrow(_mark_hashes, "grp bigint, part int, payload binary")
+    blocks = grouped.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(
+        lambda left, right: _send_blocks(left, right, length, gram, parts, bits), "part int, grp bigint, payload binary"
     )
     answers = blocks.groupBy("part").applyInArrow(
-        lambda table: _own_blocks(table, length, gram), "grp bigint, part int, payload binary"
+        lambda table: _own_blocks(table, length, gram, bits), "grp bigint, part int, payload binary"
     )
     return grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(
         lambda left, right: _cut(left, right, length),

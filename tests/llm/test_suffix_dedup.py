@@ -80,3 +80,35 @@ def test_query(spark, small):
     rows = duckdb.sql(f"SELECT doc_id, encode(coalesce(text, '')) FROM '{small}/documents.parquet'").fetchall()
     want = {i: (n, sum(b - a for a, b in zip(x, y)), len(x), hashlib.sha256(kept).hexdigest()) for i, n, x, y, kept in brute(rows, 50)}
     assert {r[0]: tuple(r)[1:] for r in op1_suffix_dedup(spark, small).collect()} == want
+
+
+def test_shards_are_even():
+    """Anchors are least hashes, which lie near zero; dealt as they are, one shard of 64 would get a third of the blocks."""
+    import pyarrow as pa
+
+    data = np.random.default_rng(4).integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    hashes = suffix_dedup.Texts.of(pa.table({"grp": [0], "doc_id": [1], "text": [data]})).windows(50, 24)[2]
+    counts = np.bincount(suffix_dedup._parts_of(np.unique(hashes), 64), minlength=64)
+    assert counts.max() < 1.5 * counts.mean() and counts.min() > 0.5 * counts.mean()
+
+
+def test_layout_follows_the_input():
+    """A shard holds as many bytes whatever the session's partitions, and messages don't grow with the square of the input."""
+    assert suffix_dedup.layout(0, 0, 48) == (48, suffix_dedup.GROUP_BITS)
+    assert suffix_dedup.layout(250_000, 500 << 20, 200) == (200, suffix_dedup.GROUP_BITS)
+    shards, bits = suffix_dedup.layout(3_000_000, 6 << 30, 48)
+    assert shards == (6 << 30) // suffix_dedup.SHARD_BYTES and bits > suffix_dedup.GROUP_BITS
+    assert suffix_dedup.layout(3_000, 6 << 30, 48)[1] == suffix_dedup.GROUP_BITS  # long texts don't get larger groups
+
+
+def test_larger_groups_and_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "MESSAGES", 100)
+    r = random.Random(3)
+    rows = [(r.choice([None, *range(0, 20_000, 50)]), "".join(r.choice("ab") for _ in range(r.randint(0, 60))), "s") for _ in range(90)]
+    size = sum(len(t) for _, t, _ in rows)
+    assert suffix_dedup.layout(len(rows), size, 1)[0] > 20
+    assert found_in(frame(spark, rows), 12) == brute([(i, t.encode()) for i, t, _ in rows], 12)
+    monkeypatch.setattr(suffix_dedup, "MESSAGES", -1)
+    assert suffix_dedup.layout(len(rows), size, 1)[1] == suffix_dedup.MOST_BITS
+    assert found_in(frame(spark, rows), 12) == brute([(i, t.encode()) for i, t, _ in rows], 12)
