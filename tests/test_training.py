@@ -163,3 +163,12 @@ def test_stored_sketches_merge(spark):
     per_part = {(r["part"], r["feature"]): r["estimate"] for r in profile.sketched_counts(stored, ["part"]).collect()}
     assert per_part[0, "own"] == pytest.approx(2000, rel=3 * profile.SKETCH_ERROR) and len(per_part) == 9
     assert profile.sketched_counts(profile.distinct_sketches(rows.limit(0), ["own"])).first()["estimate"] == 0
+
+
+def test_deep_forest_keeps_the_rows_nodes_and_its_trees(data):
+    """Without kept nodes every level of the fixed forest sends all its trees to the tasks; the trees are the same."""
+    forest = training.legacy_estimators(data.train_rows)["RandomForestClassifier"]
+    assert forest.getCacheNodeIds() and forest.getMaxDepth() == training.FOREST_DEPTH
+    few, plain = (forest.copy()._set(numTrees=10, cacheNodeIds=kept) for kept in (True, False))
+    without_uid = lambda model: model.toDebugString.split("\n", 1)[1]
+    assert without_uid(few.fit(data.train)) == without_uid(plain.fit(data.train))
