@@ -172,3 +172,13 @@ def test_deep_forest_keeps_the_rows_nodes_and_its_trees(data):
     few, plain = (forest.copy()._set(numTrees=10, cacheNodeIds=kept) for kept in (True, False))
     without_uid = lambda model: model.toDebugString.split("\n", 1)[1]
     assert without_uid(few.fit(data.train)) == without_uid(plain.fit(data.train))
+
+
+def test_fixed_models_are_fitted_once(spark, small, monkeypatch):
+    from staywise.plans import catalog
+
+    calls = []
+    monkeypatch.setattr(catalog, "_legacy", {})
+    monkeypatch.setattr(training, "train_legacy", lambda *a: calls.append(a) or ("metrics", "best", {}))
+    assert catalog.fixed_models(spark, small) == catalog.fixed_models(spark, small) == ("metrics", "best", {})
+    assert len(calls) == 1
