@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
@@ -38,7 +41,7 @@ from staywise.operators.features import (
 from staywise.operators.contract import accepted
 from staywise.operators.scoring import PROBABILITY, Scorecard, decide, model_probability, probability_percent
 from staywise.roles import ColumnRoles, ContractSpec
-from staywise.session import stage
+from staywise.session import fresh_path, stage
 
 SEED = 42
 FOLDS = 5
@@ -74,6 +77,9 @@ class PreparedData:
     numerics: tuple[str, ...]
     #: Statistics learned without a fold, filled in when they are first needed.
     per_fold: dict[int, FittedPreparation] = field(default_factory=dict)
+    #: Staged training and validation rows of the folds, likewise; each is made under its lock.
+    staged: dict[int, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
+    locks: tuple[Lock, ...] = field(default_factory=lambda: tuple(Lock() for _ in range(FOLDS)))
 
 
 @dataclass(frozen=True)
@@ -138,6 +144,15 @@ def fold_rows(data: PreparedData, fold: int) -> tuple[DataFrame, DataFrame]:
     return train, rows.where(F.col("fold") == fold)
 
 
+def staged_fold(data: PreparedData, fold: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`fold_rows`, written once for all fits."""
+    with data.locks[fold]:
+        if fold not in data.staged:
+            train, held = fold_rows(data, fold)
+            data.staged[fold] = stage(train, "fold"), stage(held, "fold")
+        return data.staged[fold]
+
+
 def penalty(c: float, rows: int) -> float:
     """Spark averages the loss over rows, so an inverse strength C becomes 1 / (C · rows)."""
     return 1.0 / (c * rows)
@@ -185,50 +200,99 @@ def search_space(name: str, rows: int) -> tuple[object, list[dict]]:
     raise ValueError(f"unknown classifier {name}")
 
 
-def exact_auc() -> BinaryClassificationEvaluator:
+def served_settings(name: str, estimator: object, grid: Sequence[dict]) -> list[list[int]]:
+    """Settings that one fit serves, the one that is fitted first.
+
+    A boosted model's first rounds don't depend on the later ones, so of
+    settings that differ in the rounds alone the longest is fitted.
+    """
+    if name != MODEL_NAMES[3]:
+        return [[i] for i in range(len(grid))]
+    alike: dict[tuple, list[int]] = {}
+    for i, setting in enumerate(grid):
+        rest = tuple(sorted((param.name, value) for param, value in setting.items() if param != estimator.maxIter))
+        alike.setdefault(rest, []).append(i)
+    return [sorted(found, key=lambda i: -grid[i][estimator.maxIter]) for found in alike.values()]
+
+
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The boosted model as it was after so many rounds."""
+    if rounds >= model.getNumTrees:
+        return model
+    whole, jvm = model._java_obj, SparkContext._active_spark_context._jvm
+    made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        whole.uid(), whole.trees()[:rounds], whole.treeWeights()[:rounds], model.numFeatures, model.numClasses
+    )
+    return model._copyValues(GBTClassificationModel(made))._set(maxIter=rounds)
+
+
+def exact_auc(column: str = "probability") -> BinaryClassificationEvaluator:
     """Area under ROC over every distinct probability.
 
     The defaults would bin them and, for a tree, rank its leaves by their
     number of positives instead of their share.
     """
-    return BinaryClassificationEvaluator(rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
+    return BinaryClassificationEvaluator(rawPredictionCol=column, metricName="areaUnderROC", numBins=0)
+
 
+#: Fits that a search runs at a time while the rows fill few partitions.
+MOST_FITS = 12
 
-def search(data: PreparedData, name: str, parallelism: int = 8, keep: str | None = None) -> tuple[DataFrame, Candidate]:
+
+def fits_at_once(data: PreparedData) -> int:
+    """As many fits as keep all cores busy: each holds its rows in memory, so large tables get few."""
+    cores, parts = data.train.sparkSession.sparkContext.defaultParallelism, data.train.rdd.getNumPartitions()
+    return max(2, min(MOST_FITS, -(-2 * cores // max(1, parts))))
+
+
+def search(data: PreparedData, name: str, parallelism: int | None = None, keep: str | None = None) -> tuple[DataFrame, Candidate]:
     """Grid search over the folds, preparation learned anew in each; every setting's score and the refitted winner.
 
     With ``keep`` the scores of each fold's rows, by models fitted on the
     others, are stored in that folder, so that every figure can be checked.
     """
+    return search_all(data, {name: keep}, parallelism)[name]
+
+
+def search_all(data: PreparedData, keeps: Mapping[str, str | None], parallelism: int | None = None) -> dict[str, tuple[DataFrame, Candidate]]:
+    """:func:`search` of several classifiers, all their fits, of any fold, ``parallelism`` at a time; ``keeps`` has a folder for each."""
     spark = data.train.sparkSession
     rows = round(data.train_rows * (FOLDS - 1) / FOLDS)
-    estimator, grid = search_space(name, rows)
-
-    def scores_of(fold: int) -> list[float]:
-        train, held = (stage(part, "fold") for part in fold_rows(data, fold))
-
-        def tried(at: int) -> float:
-            model = estimator.fit(train, grid[at])
-            if keep:
-                scored = scored_with(model, held, name, data.carry[0])
-                scored.write.mode("overwrite").parquet(f"{keep}/fold={fold}/setting={at}")
-            return exact_auc().evaluate(model.transform(held))
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            return list(pool.map(tried, range(len(grid))))
-
-    found = np.array([scores_of(fold) for fold in range(FOLDS)])
-    means, deviations = found.mean(axis=0).tolist(), found.std(axis=0).tolist()
-    settings = [describe_settings(name, i) for i in range(len(grid))]
-    best = max(range(len(grid)), key=lambda i: (means[i], -i))
-    # The winner is fitted on all training rows; a strength per row follows their number.
-    chosen = search_space(name, data.train_rows)
-    model = chosen[0].fit(data.train, chosen[1][best])
-    table = spark.createDataFrame(
-        list(zip([name] * len(grid), settings, means, deviations)), "model string, settings string, mean_roc_auc double, std_roc_auc double"
-    )
-    folds = tuple(tuple(row) for row in found.tolist())
-    return table, Candidate(name, model, settings[best], means[best], deviations[best], folds, keep)
+
+    def searched(name: str) -> tuple[DataFrame, Candidate]:
+        estimator, grid = search_space(name, rows)
+        folder = keeps[name] or fresh_path(spark, "out-of-fold")
+
+        def tried(fold: int, served: list[int]) -> list[tuple[int, int, float]]:
+            train, held = staged_fold(data, fold)
+            model, found = estimator.fit(train, grid[served[0]]), []
+            for at in served:
+                of_setting = model if at == served[0] else first_rounds(model, grid[at][estimator.maxIter])
+                scored, path = scored_with(of_setting, held, name, data.carry[0]), f"{folder}/fold={fold}/setting={at}"
+                scored.write.mode("overwrite").parquet(path)
+                found.append((fold, at, exact_auc("score").evaluate(spark.read.schema(scored.schema).parquet(path))))
+            return found
+
+        fits = [fits_pool.submit(tried, fold, served) for fold in range(FOLDS) for served in served_settings(name, estimator, grid)]
+        found = np.empty((FOLDS, len(grid)))
+        for fit in fits:
+            for fold, at, auc in fit.result():
+                found[fold, at] = auc
+        means, deviations = found.mean(axis=0).tolist(), found.std(axis=0).tolist()
+        settings = [describe_settings(name, i) for i in range(len(grid))]
+        best = max(range(len(grid)), key=lambda i: (means[i], -i))
+        # The winner is fitted on all training rows; a strength per row follows their number.
+        chosen = search_space(name, data.train_rows)
+        model = fits_pool.submit(chosen[0].fit, data.train, chosen[1][best]).result()
+        table = spark.createDataFrame(
+            list(zip([name] * len(grid), settings, means, deviations)), "model string, settings string, mean_roc_auc double, std_roc_auc double"
+        )
+        folds = tuple(tuple(row) for row in found.tolist())
+        return table, Candidate(name, model, settings[best], means[best], deviations[best], folds, keeps[name])
+
+    names = sorted(keeps, key=MODEL_NAMES.index, reverse=True)  # the longest chains of jobs begin first
+    with ThreadPoolExecutor(parallelism or fits_at_once(data)) as fits_pool, ThreadPoolExecutor(len(names) or 1) as pool:
+        return dict(zip(names, pool.map(searched, names)))
 
 
 def out_of_fold(candidate: Candidate, spark: SparkSession) -> DataFrame:

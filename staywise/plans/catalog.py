@@ -747,12 +747,14 @@ def fixed_models(spark, folder) -> tuple[DataFrame, DataFrame, dict[str, Model]]
     return _legacy[key]
 
 
-def searched(spark, folder, name) -> tuple[DataFrame, training.Candidate]:
-    """One classifier's grid search, run once per application and folder."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _searches:
-        _searches[key] = training.search(prepared(spark, folder), name, keep=fresh_path(spark, "out-of-fold"))
-    return _searches[key]
+def searched(spark, folder, *names) -> list[tuple[DataFrame, training.Candidate]]:
+    """Grid searches of classifiers, each run once per application and folder, together with the others that are asked for."""
+    key = (spark.sparkContext.applicationId, folder)
+    missing = {name: fresh_path(spark, "out-of-fold") for name in names if (*key, name) not in _searches}
+    if missing:
+        for name, found in training.search_all(prepared(spark, folder), missing).items():
+            _searches[*key, name] = found
+    return [_searches[*key, name] for name in names]
 
 
 @job
@@ -815,28 +817,28 @@ def fold_statistics(spark, folder):
 
 @job
 def searched_logistic(spark, folder):
-    return searched(spark, folder, training.MODEL_NAMES[0])[0]
+    return searched(spark, folder, training.MODEL_NAMES[0])[0][0]
 
 
 @job
 def searched_decision_tree(spark, folder):
-    return searched(spark, folder, training.MODEL_NAMES[1])[0]
+    return searched(spark, folder, training.MODEL_NAMES[1])[0][0]
 
 
 @job
 def searched_random_forest(spark, folder):
-    return searched(spark, folder, training.MODEL_NAMES[2])[0]
+    return searched(spark, folder, training.MODEL_NAMES[2])[0][0]
 
 
 @job
 def searched_gradient_boosting(spark, folder):
-    return searched(spark, folder, training.MODEL_NAMES[3])[0]
+    return searched(spark, folder, training.MODEL_NAMES[3])[0][0]
 
 
 @job
 def out_of_fold_auc(spark, folder):
     """Scores stored by the search for rows their models never saw, ranked anew: rows per fold and setting, and whether the figures agree."""
-    parts = [training.out_of_fold(searched(spark, folder, name)[1], spark) for name in training.MODEL_NAMES[:2]]
+    parts = [training.out_of_fold(candidate, spark) for _, candidate in searched(spark, folder, *training.MODEL_NAMES[:2])]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -845,7 +847,7 @@ def experiment_record(spark, folder):
     """All four searches; scores, test metrics and the winning model are written, the record read back."""
     path = fresh_path(spark, "experiment")
     data = prepared(spark, folder)
-    candidates = [searched(spark, folder, name)[1] for name in training.MODEL_NAMES]
+    candidates = [candidate for _, candidate in searched(spark, folder, *training.MODEL_NAMES)]
     record, best = training.experiment_record(data, candidates, ROLES.id)
     record.write.json(f"{path}/record")
     bundle.save_trained(spark, best.model, data.fitted, f"{path}/champion")

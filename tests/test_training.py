@@ -182,3 +182,31 @@ def test_fixed_models_are_fitted_once(spark, small, monkeypatch):
     monkeypatch.setattr(training, "train_legacy", lambda *a: calls.append(a) or ("metrics", "best", {}))
     assert catalog.fixed_models(spark, small) == catalog.fixed_models(spark, small) == ("metrics", "best", {})
     assert len(calls) == 1
+
+
+def test_first_rounds_of_a_boosted_model_are_the_shorter_model(data):
+    from pyspark.ml.functions import vector_to_array
+
+    estimator = training.search_space("GradientBoostingClassifier", 10)[0]
+    long, short = (estimator.copy()._set(maxIter=rounds, stepSize=0.1).fit(data.train) for rounds in (6, 3))
+    cut = training.first_rounds(long, 3)
+    assert cut.getNumTrees == 3 and long.getNumTrees == 6
+    assert cut.toDebugString.split("\n", 1)[1] == short.toDebugString.split("\n", 1)[1] and cut.treeWeights == short.treeWeights
+    scores = [sorted((r[0], r[1]) for r in m.transform(data.test).select("customerID", vector_to_array("probability")[1]).collect()) for m in (cut, short)]
+    assert scores[0] == scores[1]
+
+
+def test_boosted_search_fits_each_rate_once_per_fold(spark, data, monkeypatch):
+    """Two rounds for the short and four for the long settings: ten fits of folds and one of the winner, figures as of single fits."""
+    from pyspark.ml.classification import GBTClassifier
+
+    fitted = []
+    plain = GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, rows: fitted.append(self.getMaxIter()) or plain(self, rows))
+    monkeypatch.setattr(training, "BOOST_GRID", ((2, 0.1), (2, 0.01), (4, 0.1), (4, 0.01)))
+    _, best = training.search(data, "GradientBoostingClassifier")
+    assert sorted(fitted[:10]) == [4] * 10 and len(fitted) == 11
+    train, held = training.staged_fold(data, 3)
+    for at, (rounds, rate) in enumerate(training.BOOST_GRID):
+        model = training.search_space("GradientBoostingClassifier", 10)[0].copy()._set(maxIter=rounds, stepSize=rate).fit(train)
+        assert best.fold_auc[3][at] == pytest.approx(training.exact_auc().evaluate(model.transform(held)), abs=1e-12)
