@@ -210,3 +210,10 @@ def test_boosted_search_fits_each_rate_once_per_fold(spark, data, monkeypatch):
     for at, (rounds, rate) in enumerate(training.BOOST_GRID):
         model = training.search_space("GradientBoostingClassifier", 10)[0].copy()._set(maxIter=rounds, stepSize=rate).fit(train)
         assert best.fold_auc[3][at] == pytest.approx(training.exact_auc().evaluate(model.transform(held)), abs=1e-12)
+
+
+def test_searched_forests_keep_the_rows_nodes_and_their_trees(data):
+    estimator, grid = training.search_space("RandomForestClassifier", data.train_rows)
+    assert estimator.getCacheNodeIds()
+    kept, plain = (estimator.copy()._set(numTrees=5, maxDepth=10, cacheNodeIds=way).fit(data.train) for way in (True, False))
+    assert kept.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
